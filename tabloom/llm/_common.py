@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Text bytes that a Python worker looks at together (one longer text is still handled whole).
 CHUNK_BYTES = 3 << 20
+#: Rows that go to a Python worker together, at most.
+BATCH_ROWS = 2000
 #: Characters that separate words; every operator here uses the same six.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
@@ -34,12 +37,26 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
 
 
-def lower_ascii(text: Column) -> Column:
-    """Lower-case A-Z only, whatever the locale and the other letters."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def discard(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def texts_of(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """df's columns for a Python worker. Texts are long, so fewer rows go together than Spark's default."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.select(*columns)
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
@@ -58,6 +75,16 @@ def pieces_of(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
         part = batch.slice(start, stop - start)
         yield part, pc.fill_null(part.column(part.schema.get_field_index(column)), "")
         start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers that wait for their next batch share an executor's limit with those at work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other systems' C libraries have no such call
+        pass
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
