@@ -29,8 +29,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ._common import staged
 
 TREES, BITS, SEED = 160, 20, 5
-BLOCK, QUERIES = 4096, 512
-FLOOR, SHARE = 2048, 0.5
+BLOCK, QUERIES = 8192, 2048
+FLOOR, SHARE = 2560, 0.32
 
 
 def usable(vector: Column) -> Column:
@@ -47,28 +47,30 @@ class Forest:
         self.planes = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, trees * bits)).astype(np.float32)
         unit = x / longest
         codes = self.strings(np.hstack([unit, np.sqrt(np.clip(1 - (unit * unit).sum(axis=1, keepdims=True), 0, None))]))
-        self.order = np.argsort(codes, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(codes, self.order, axis=0)
+        self.order = np.argsort(codes, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(codes, self.order, axis=1)
 
     def strings(self, lifted: np.ndarray) -> np.ndarray:
-        """The hash string of each row in each tree, as a number whose first bit is the highest."""
-        signs = lifted.astype(np.float32) @ self.planes > 0
-        signs = signs.reshape(len(lifted), -1, self.bits)
-        return signs @ (1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64))
+        """[trees, rows]: the hash string of each row, as a number whose first bit is the highest."""
+        signs = (lifted.astype(np.float32) @ self.planes > 0).reshape(len(lifted), -1, self.bits)
+        out = np.zeros(signs.shape[:2], np.int32)
+        for i in range(self.bits):
+            out = (out << 1) | signs[:, :, i]
+        return np.ascontiguousarray(out.T)
 
     def candidates(self, q: np.ndarray, least: int) -> np.ndarray:
         """[queries, rows] marks of the rows that the synchronous ascent reaches."""
         unit = q / np.sqrt((q * q).sum(axis=1, keepdims=True))
         codes = self.strings(np.hstack([unit, np.zeros((len(q), 1))]))
-        n, trees = self.sorted.shape
+        trees, n = self.sorted.shape
         low, high = np.zeros((trees, len(q)), np.int64), np.zeros((trees, len(q)), np.int64)
         climbing = np.arange(len(q))
         for depth in range(self.bits, -1, -1):
             tail = self.bits - depth
             for t in range(trees):
-                prefix = codes[climbing, t] >> tail
-                low[t, climbing] = np.searchsorted(self.sorted[:, t], prefix << tail)
-                high[t, climbing] = np.searchsorted(self.sorted[:, t], (prefix + 1) << tail)
+                prefix = codes[t, climbing] >> tail
+                low[t, climbing] = np.searchsorted(self.sorted[t], prefix << tail)
+                high[t, climbing] = np.searchsorted(self.sorted[t], ((prefix + 1) << tail) - 1, "right")
             climbing = climbing[(high[:, climbing] - low[:, climbing]).sum(axis=0) < least]
             if not len(climbing):
                 break
@@ -77,7 +79,7 @@ class Forest:
             size = high[t] - low[t]
             row = np.repeat(np.arange(len(q)), size)
             at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[t], size)
-            marks[row, self.order[at, t]] = True
+            marks[row, self.order[t, at]] = True
         return marks
 
 
