@@ -83,6 +83,7 @@ def collect_within(df: DataFrame, seconds: float = SECONDS) -> list:
         sc.cancelJobsWithTag(tag)
 
     timer = threading.Timer(seconds, stop)
+    sc.setInterruptOnCancel(True)
     sc.addJobTag(tag)
     timer.start()
     try:
@@ -94,3 +95,4 @@ def collect_within(df: DataFrame, seconds: float = SECONDS) -> list:
     finally:
         timer.cancel()
         sc.removeJobTag(tag)
+        sc.setInterruptOnCancel(False)

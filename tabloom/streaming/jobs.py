@@ -9,22 +9,27 @@ from ..operators import catalog
 from ..operators.metrics import named
 
 
+def timed(events: DataFrame, time: str, late: str) -> DataFrame:
+    """events with a watermark on a time column, which may lack a time zone."""
+    return events.withColumn(time, named(time).cast("timestamp")).withWatermark(time, late)
+
+
 def windowed(events: DataFrame, time: str, measure: str, keys: list[str], width: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Sum, count and mean of a measure in tumbling (or with slide, sliding) windows, for streams and tables alike."""
     w = F.window(named(time), width, slide) if slide else F.window(named(time), width)
-    g = events.withWatermark(time, late).groupBy(w.alias("w"), *map(named, keys))
+    g = timed(events, time, late).groupBy(w.alias("w"), *map(named, keys))
     return g.agg(F.sum(named(measure)).alias("total"), F.count(F.lit(1)).alias("n"), F.avg(named(measure)).alias("mean")).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *map(named, keys), "total", "n", "mean")
 
 
 def sessions(events: DataFrame, time: str, key: str, gap: str, late: str = "10 minutes") -> DataFrame:
     """Runs of a key's events without a pause of `gap`."""
-    g = events.withWatermark(time, late).groupBy(F.session_window(named(time), gap).alias("w"), named(key))
+    g = timed(events, time, late).groupBy(F.session_window(named(time), gap).alias("w"), named(key))
     return g.agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), named(key), "n")
 
 
 def once_each(arrivals: DataFrame, keys: list[str], time: str, late: str = "1 day") -> DataFrame:
     """Arrivals without the repeats that at-least-once delivery brings within `late`."""
-    return arrivals.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+    return timed(arrivals, time, late).dropDuplicatesWithinWatermark(keys)
 
 
 def state_versions(spark: SparkSession, root: str) -> list[int]:
