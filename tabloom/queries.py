@@ -10,7 +10,7 @@ from .functions import text as T
 from .functions.currency import currency_counts
 from .operators import browse, catalog, clean, meaning, metrics as M, profile as P
 from .plans import guard
-from .sources.readers import flattened, narrative_words
+from .sources.readers import flattened, html_rows, narrative_words
 from .streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,9 +138,9 @@ def pareto_customer(spark, sf_dir):
     return _pareto(table(spark, sf_dir, "orders"), "o_totalprice", "o_custkey")
 
 
-@query("WITH b AS (SELECT min(l_extendedprice) AS lo, (max(l_extendedprice) - min(l_extendedprice)) / 12 AS w FROM lineitem) SELECT floor((l_extendedprice - lo) / w)::DOUBLE AS bucket, round(min(lo) + floor((l_extendedprice - lo) / w) * min(w), 2) AS from_value, count(*) AS n FROM lineitem, b GROUP BY floor((l_extendedprice - lo) / w)")
+@query("WITH b AS (SELECT min(l_extendedprice) AS lo, (max(l_extendedprice) - min(l_extendedprice)) / 12 AS w FROM lineitem) SELECT floor((l_extendedprice - lo) / w)::DOUBLE AS bucket, round(min(lo) + floor((l_extendedprice - lo) / w) * min(w), 4) AS from_value, count(*) AS n FROM lineitem, b GROUP BY floor((l_extendedprice - lo) / w)")
 def histogram_price(spark, sf_dir):
-    return rounded(M.histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice"))
+    return rounded(M.histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice"), 4)
 
 
 @query("SELECT min(o_totalprice) AS min, max(o_totalprice) AS max, round(avg(o_totalprice), 2) AS mean, round(median(o_totalprice), 2) AS median, round(stddev_samp(o_totalprice), 2) AS std, round(quantile_cont(o_totalprice, 0.25), 2) AS p25, round(quantile_cont(o_totalprice, 0.75), 2) AS p75 FROM orders")
@@ -364,6 +364,11 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", narrative_words(F.col("html")).alias("words"))
 
 
+@query()
+def html_tables(spark, sf_dir):
+    return html_rows(table(spark, sf_dir, "pages"), "html", "page_id")
+
+
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, date_trunc('hour', ts)::TIMESTAMP + INTERVAL 1 HOUR AS window_end, event_type, round(sum(value), 4) AS total, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY ALL")
 def windowed_events(spark, sf_dir):
     return rounded(jobs.windowed(table(spark, sf_dir, "events"), "ts", "value", ["event_type"], "1 hour"), 4)

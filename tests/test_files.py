@@ -96,3 +96,12 @@ def test_process(spark, tmp_path):
     board = dashboard(run)
     assert board["kpis"]["total_amount"] == want and [c.kind for c in board["charts"]] == ["bar", "donut", "histogram"]
     assert json.loads(json.dumps(run.artifacts()))["recipe"]
+
+
+def test_gzip(spark, tmp_path):
+    import gzip
+
+    p = tmp_path / "a.csv.gz"
+    p.write_bytes(gzip.compress(b"name,n\nx,1\ny,2\n"))
+    df, _ = readers.read(spark, str(p))
+    assert rows_of(df) == [("x", "1"), ("y", "2")]
