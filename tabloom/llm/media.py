@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import arrow_schema, batch_of, pieces_of
+from ._common import arrow_schema, batch_of, pieces_of, texts_of
 
 RATE, UP, DOWN = 16_000, 3, 4  # 16 kHz becomes 12 kHz
 WINDOW, HOP, FFT, BANDS = 300, 120, 512, 32  # 25 ms every 10 ms at 12 kHz
@@ -153,7 +153,7 @@ def audio_spans(table: DataFrame, media_col="media", id_col="doc_id") -> DataFra
                         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * part[0].size), pa.array(part.ravel()))
                         yield batch_of(schema, [doc_id] * len(part), np.arange(i, i + len(part)), times[i : i + 256, 0], times[i : i + 256, 1], flat)
 
-    return table.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, ddl)
+    return texts_of(table, F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, ddl)
 
 
 def with_audio(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -167,7 +167,7 @@ def with_audio(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
                 held = [payload_of(t) for t in texts.to_pylist()]
                 yield batch_of(schema, part.column(0), [n for _, n in held], [to_wav(p) for p, _ in held])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
+    return texts_of(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
 
 
 DIGEST = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, n_spans int, n_segments int, active_s double, feature string"
@@ -192,4 +192,4 @@ def audio_digest(table: DataFrame) -> DataFrame:
             if rows:
                 yield batch_of(schema, *zip(*rows, strict=True))
 
-    return table.mapInArrow(run, DIGEST)
+    return texts_of(table, "*").mapInArrow(run, DIGEST)

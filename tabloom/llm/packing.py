@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import arrow_schema, batch_of, pieces_of, staged
+from ._common import arrow_schema, batch_of, pieces_of, staged, texts_of
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Texts made of these characters only go through the faster of the two equal tokenizers. Tests
@@ -86,7 +86,7 @@ def token_pieces(docs: DataFrame, path: str, ranks_path: str | None = None, capa
                         out.append((doc_id, piece, a, b - a, zlib.crc32(ids[a:b].tobytes())))
                 yield batch_of(schema, *zip(*out, strict=True))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
+    return texts_of(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import arrow_schema, batch_of, mixed, per_text, pieces_of
+from ._common import arrow_schema, batch_of, mixed, per_text, pieces_of, texts_of
 
 MARK = "▁"
 LONG = 96
@@ -163,4 +163,4 @@ def token_counts(docs: DataFrame, path: str, id_col="doc_id", text_col="text") -
                 full = np.array([len(w) > 0 for w in words], np.int64)
                 yield batch_of(schema, part.column(0), per_text(full[codes] if words else n, offsets), per_text(n[codes] if words else n, offsets))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
+    return texts_of(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)

@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._common import arrow_schema, batch_of, hash_words, pieces_of, staged
+from ._common import arrow_schema, batch_of, hash_words, pieces_of, staged, texts_of
 
 BLOCK = 64
 NEAREST = 15
@@ -154,8 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, may_teach: Column | None = None, per
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int64())) for x in (codes, n)]
                 yield batch_of(schema, part.column(0), part.column(1), hash_words(texts).astype(np.int64), *lists)
 
-    found = docs.join(F.broadcast(sample), docs["doc_id"].cast("long") == F.col("ex_id")).where(F.col("text").isNotNull()).select("ex_id", "label", "text")
-    examples = staged(found.mapInArrow(read, ddl).dropDuplicates(["ex_id"]).dropDuplicates(["text_code"]), "tox-examples")
+    told_texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("ex_id"), "text")
+    found = told_texts.join(F.broadcast(sample), "ex_id").select("ex_id", "label", "text")
+    examples = staged(texts_of(found, "*").mapInArrow(read, ddl).dropDuplicates(["ex_id"]).dropDuplicates(["text_code"]), "tox-examples")
     sizes = {r[0]: r[1] for r in examples.groupBy("label").count().collect()}
     a, b = sizes.get(1, 0), sizes.get(0, 0)
     if not a + b:
@@ -167,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_teach: Column | None = None, per
     seen = seen.where("n1 + n0 > 1")
     strength = strength or float(np.sqrt(2 * np.log(max(seen.count(), 2))))
     told = seen.withColumn("z", z).where((F.col("z") >= strength) & ((half1 >= lift * half0) | (half0 >= lift * half1)))
-    chosen = told.orderBy(F.desc("z"), "term").limit(max_terms).toPandas().sort_values("term")
+    chosen = told.orderBy(F.desc("z"), "term").limit(max_terms).toArrow().to_pandas().sort_values("term")
     codes, idf = chosen["term"].to_numpy(np.int64), np.log((1 + a + b) / (chosen["n1"] + chosen["n0"]).to_numpy()) + 1
     place = "ex_id long, label int, places array<long>, counts array<long>"
 
@@ -182,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_teach: Column | None = None, per
                 rows.append((at[hit][order], n[hit][order]))
             yield pd.DataFrame({"ex_id": f["ex_id"], "label": f["label"], "places": [r[0] for r in rows], "counts": [r[1] for r in rows]})
 
-    held = examples.mapInPandas(pick, place).toPandas().sort_values("ex_id").reset_index(drop=True)
+    held = examples.mapInPandas(pick, place).toArrow().to_pandas().sort_values("ex_id").reset_index(drop=True)
     weights = np.where(held["label"] == 1, totals.get(1, 0) / max(a, 1), totals.get(0, 0) / max(b, 1))
     vectors = [(np.asarray(t, np.int64), np.asarray(n, np.int64)) for t, n in zip(held["places"], held["counts"], strict=True)]
     index = Index(codes, idf, held["ex_id"].to_numpy(np.int64), held["label"].to_numpy(), weights, vectors)
@@ -204,14 +205,14 @@ def calibrate(docs: DataFrame, index: Index, vectors: list, held: pd.DataFrame)
         for f in frames:
             yield pd.DataFrame({"id": f["id"], "vote": [index.vote(*index.nearest(*own[i], NEAREST, but=i)) for i in f["id"]]})
 
-    got = spark.range(0, len(index.ids), numPartitions=8).mapInPandas(votes, "id long, vote double").toPandas().sort_values("id")
+    got = spark.range(0, len(index.ids), numPartitions=8).mapInPandas(votes, "id long, vote double").toArrow().to_pandas().sort_values("id")
     index.steps = isotonic(np.round(got["vote"].to_numpy(), 12), index.labels, index.weights)
 
 
 def score(docs: DataFrame, index: Index, id_col="doc_id", text_col="text", nearest=NEAREST) -> DataFrame:
     """doc_id, score, and as evidence the nearest examples' ids with their cosines."""
     ddl = "doc_id bigint, score double, evidence array<bigint>, cosines array<float>"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scorer(docs, index, nearest, False), ddl)
+    return texts_of(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scorer(docs, index, nearest, False), ddl)
 
 
 def scorer(docs: DataFrame, index: Index, nearest: int, whole: bool):
@@ -249,4 +250,4 @@ def scorer(docs: DataFrame, index: Index, nearest: int, whole: bool):
 def scored_documents(docs: DataFrame, index: Index, name="toxic_score", nearest=NEAREST) -> DataFrame:
     """docs with the score as one column more."""
     out = docs.select("*").schema.add("toxic_score__", "double")
-    return docs.mapInArrow(scorer(docs, index, nearest, True), out).withColumnRenamed("toxic_score__", name)
+    return texts_of(docs, "*").mapInArrow(scorer(docs, index, nearest, True), out).withColumnRenamed("toxic_score__", name)

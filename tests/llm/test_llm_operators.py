@@ -306,7 +306,8 @@ def judged(spark):
         labels.append((i, int(bad)))
     rows += [(400, None), (401, ""), (None, "vile foul"), (402, "VILE!"), (5, rows[5][1])]
     labels += [(400, 1), (401, 0), (None, 1), (0, None), (0, 1), (999, 1)]
-    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"label": F.lit("x"), "ex_id": F.lit(1), "rank": F.lit(2)})
+    return docs, spark.createDataFrame(labels, "doc_id long, toxic int").withColumns({"label": F.lit("y"), "rank": F.lit(3), "ex_id": F.lit(4)})
 
 
 def test_toxicity(judged):
