@@ -86,7 +86,7 @@ def append(arrivals: DataFrame, root: str, batch: Column | None = None) -> int:
     version = (versions(spark, root) or [0])[-1] + 1
     folder = f"{root}/data/{uuid.uuid4().hex}"
     rows = arrivals if batch is None else arrivals.withColumn("__part", batch)
-    (rows.write if batch is None else rows.write.partitionBy("__part")).parquet(folder)
+    (rows.write if batch is None else rows.write.partitionBy("__part")).option("compression", "zstd").parquet(folder)
     commit(manifest(spark, root).unionByName(entries_of(spark, arrivals.schema, folder, version)), root, version)
     return version
 
@@ -122,8 +122,9 @@ def compact(spark: SparkSession, schema: StructType, root: str, target_bytes: in
     names = [F.col(f"`{n}`") for n in schema.names]
     rows = read_files(spark, schema, paths).select(*names, F.col("_metadata.file_path").alias("__part")).withColumnRenamed("__part", "__path")
     rows = rows.join(wanted.withColumnRenamed("path", "__path"), "__path").withColumn("__part", F.pmod(F.xxhash64(*names), "parts"))
+    # more partitions than files, so that few tasks write two
     files = todo.groupBy("__merge").agg(F.first("parts").alias("n")).agg(F.sum("n")).first()[0]
-    rows.select(*names, "__merge", "__part").repartition(int(files), "__merge", "__part").write.partitionBy("__merge", "__part").parquet(folder)
+    rows.select(*names, "__merge", "__part").repartition(4 * int(files), "__merge", "__part").write.partitionBy("__merge", "__part").option("compression", "zstd").parquet(folder)
     kept = now.join(todo.select("path"), "path", "left_anti").select("path", "bytes", "rows", "born")
     commit(kept.unionByName(entries_of(spark, schema, folder, version)), root, version)
     todo.unpersist()
