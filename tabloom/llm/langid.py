@@ -20,15 +20,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._common import arrow_schema, batch_of, fold_of, hash_words, mixed, pieces_of
+from ._common import arrow_schema, batch_of, fold_of, hash_words, mixed, pieces_of, staged, texts_of
 
 GRAMS = (4, 3, 2, 1)
 EVIDENCE = 24
 SMOOTH = 0.5
+#: Up to so many languages, the ends of their samples are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_LANGUAGES = 10_000
 COUNTS = "lang string, kind int, entry bigint, n bigint"
 
 
@@ -67,17 +70,17 @@ def grams_of(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Log frequencies [entries, languages] of words (kind 0) and n-grams (kind n), by sorted code."""
 
-    def __init__(self, counts: list[tuple[str, int, int, int]]):
-        self.langs = sorted({c[0] for c in counts})
-        place = {x: i for i, x in enumerate(self.langs)}
+    def __init__(self, counts: pd.DataFrame):
+        self.langs = sorted(counts["lang"].unique())
+        place = pd.Categorical(counts["lang"], categories=self.langs).codes
         self.codes, self.rows = {}, {}
         for kind in (0, *GRAMS):
-            own = [c for c in counts if c[1] == kind]
-            codes = np.unique(np.array([c[2] for c in own], np.int64))
+            own = (counts["kind"] == kind).to_numpy()
+            entry = counts["entry"].to_numpy(np.int64)[own]
+            codes = np.unique(entry)
             table = np.full((len(codes), len(self.langs)), SMOOTH)
-            if own:
-                table[np.searchsorted(codes, [c[2] for c in own]), [place[c[0]] for c in own]] += [c[3] for c in own]
-            self.codes[kind], self.rows[kind] = codes, np.log(table / table.sum(axis=0)) if own else table
+            table[np.searchsorted(codes, entry), place[own]] += counts["n"].to_numpy()[own]
+            self.codes[kind], self.rows[kind] = codes, np.log(table / table.sum(axis=0)) if len(codes) else table
 
     def find(self, kind: int, codes: np.ndarray) -> np.ndarray:
         """The row of each code, -1 where the model has none."""
@@ -109,13 +112,14 @@ class Model:
 def sample_of(docs: DataFrame, may_teach: Column, per_language: int) -> DataFrame:
     """lang and text of the sample; the rank is found on hashes alone, so no text is shuffled for it."""
     taught = docs.where(may_teach & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("order"))
-    slim = taught.select("lang", "order").distinct()
+    slim = staged(taught.select("lang", "order").distinct(), "lang-orders")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
     ends = slim.withColumn("rank", rank).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("order").alias("end"))
+    ends = F.broadcast(ends) if ends.count() <= BROADCAST_LANGUAGES else ends
     return taught.join(ends, "lang").where("order <= end").dropDuplicates(["lang", "order"]).select("lang", "text")
 
 
-def fit(docs: DataFrame, may_teach: Column | None = None, per_language=1500, max_entries=60_000) -> Model:
+def fit(docs: DataFrame, may_teach: Column | None = None, per_language=1500, max_entries=40_000) -> Model:
     """A model from docs (text, lang); may_teach says which rows may be learned from."""
     schema = arrow_schema(COUNTS)
 
@@ -137,16 +141,16 @@ def fit(docs: DataFrame, may_teach: Column | None = None, per_language=1500, max
                         yield batch_of(schema, [lang] * len(entry), [kind] * len(entry), entry, total)
 
     docs = docs.select("lang", "text", F.coalesce(F.lit(True) if may_teach is None else may_teach, F.lit(False)).alias("teaches"))
-    counts = sample_of(docs, F.col("teaches"), per_language).mapInArrow(count, COUNTS).groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n"))
+    counts = texts_of(sample_of(docs, F.col("teaches"), per_language), "*").mapInArrow(count, COUNTS).groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n"))
     counts = counts.where("n > 1 or kind > 0")
     rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "entry"))
-    return Model([tuple(r) for r in counts.withColumn("rank", rank).where(F.col("rank") <= max_entries).drop("rank").collect()])
+    return Model(counts.withColumn("rank", rank).where(F.col("rank") <= max_entries).drop("rank").toArrow().to_pandas())
 
 
 def identify(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, lang_pred and score of every row."""
     ddl = "doc_id bigint, lang_pred string, score double"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(predictor(model, docs, ddl, False), ddl)
+    return texts_of(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(predictor(model, docs, ddl, False), ddl)
 
 
 def predictor(model: Model, docs: DataFrame, ddl: str, whole: bool):
@@ -178,7 +182,7 @@ def predictor(model: Model, docs: DataFrame, ddl: str, whole: bool):
 def identified_documents(docs: DataFrame, model: Model, pred="lang_pred", score="lang_score") -> DataFrame:
     """docs with two columns more."""
     out = docs.select("*").schema.add("lang_pred__", "string").add("lang_score__", "double")
-    return docs.mapInArrow(predictor(model, docs, "", True), out).withColumnsRenamed({"lang_pred__": pred, "lang_score__": score})
+    return texts_of(docs, "*").mapInArrow(predictor(model, docs, "", True), out).withColumnsRenamed({"lang_pred__": pred, "lang_score__": score})
 
 
 def held_out(doc_id: Column, folds=4, fold=2) -> Column:
