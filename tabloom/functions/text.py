@@ -118,22 +118,43 @@ def parse_number(c: Column) -> Column:
     return F.when(negative, -n).otherwise(n)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often `use` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_date(c: Column) -> Column:
     """A date written year first or day first (month first where only that is possible), or with an
     Arabic month name; years 1900 to 2200. Null where there is no such day."""
-    s = western_digits(strip(c.cast("string")))
-    first, last = "^(\\d{4})[-/.](\\d{1,2})[-/.](\\d{1,2})$", "^(\\d{1,2})[-/.](\\d{1,2})[-/.](\\d{4})$"
-    part = lambda pattern, i: F.regexp_extract(s, pattern, i).try_cast("int")
-    by_year = s.rlike(first)
-    year, month, day = (F.when(by_year, part(first, i)).otherwise(part(last, 4 - i)) for i in (1, 2, 3))
-    swapped = (month > 12) & (day <= 12)
-    numeric = _date(year, F.when(swapped, day).otherwise(month), F.when(swapped, month).otherwise(day))
-    key = search_key(s)
-    numbers = F.regexp_extract_all(key, F.lit("\\d+"), 0)
+    return bound(western_digits(strip(c.cast("string"))), lambda s: F.coalesce(_numeric_date(s), _named_date(s)))
+
+
+def _numeric_date(s: Column) -> Column:
+    written = s.rlike("^(?:\\d{4}[-/.]\\d{1,2}[-/.]\\d{1,2}|\\d{1,2}[-/.]\\d{1,2}[-/.]\\d{4})$")
+    parts = F.split(F.when(written, s), "[-/.]")
+
+    def ordered(p: Column) -> Column:
+        by_year = F.length(p[0]) == 4
+        return F.struct(F.when(by_year, p[0]).otherwise(p[2]).cast("int").alias("y"), p[1].cast("int").alias("m"), F.when(by_year, p[2]).otherwise(p[0]).cast("int").alias("d"))
+
+    def swapped(x: Column) -> Column:
+        other = (x["m"] > 12) & (x["d"] <= 12)
+        return F.struct(x["y"].alias("y"), F.when(other, x["d"]).otherwise(x["m"]).alias("m"), F.when(other, x["m"]).otherwise(x["d"]).alias("d"))
+
+    return bound(bound(bound(parts, ordered), swapped), lambda x: _date(x["y"], x["m"], x["d"]))
+
+
+def _named_date(s: Column) -> Column:
     months = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("month")) for k, v in MONTH_NAMES.items()])
-    named = F.get(F.filter(months, lambda m: F.contains(key, m["name"])), 0)["month"]
-    pick = lambda i: F.when(F.size(numbers) >= 2, F.element_at(numbers, i)).try_cast("int")
-    return F.coalesce(numeric, _date(pick(-1), named, pick(1)))
+
+    def read(key: Column) -> Column:
+        named = F.get(F.filter(months, lambda m: F.contains(key, m["name"])), F.lit(0))["month"]
+        numbers = F.regexp_extract_all(key, F.lit("\\d+"), F.lit(0))
+        enough = F.when(F.size(numbers) >= 2, numbers)
+        return F.struct(F.element_at(enough, -1).try_cast("int").alias("y"), named.alias("m"), F.element_at(enough, 1).try_cast("int").alias("d"))
+
+    key = F.when(s.rlike("[\u0621-\u064a]"), search_key(s))  # texts without Arabic letters name no month
+    return bound(bound(key, read), lambda x: _date(x["y"], x["m"], x["d"]))
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:

@@ -1,7 +1,7 @@
 """Column profiles: types, statistics and quality issues of all columns from a few wide aggregations.
 
-The first pass counts, for every column at once, blanks, distinct values and how many values read
-as numbers, dates or booleans; types follow on the driver from those counts. The second computes the
+The first pass counts, for every column at once, blanks and how many values read as numbers, dates
+or booleans, and a grouping of all cells counts distinct values; types follow on the driver. The second computes the
 statistics of the numeric columns, with the exact order statistics nearest to the quartiles, and the
 third counts outliers between the fences. Whole columns are looked at, never samples.
 """
@@ -68,19 +68,33 @@ class TableProfile:
 def counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row: for column i, counts named i_total, i_blank, i_unique, i_bool, i_number, i_whole, i_date and more."""
     out: list[Column] = [F.count(F.lit(1)).alias("rows")]
+    read: list[Column] = []
     for i, name in enumerate(columns or df.columns):
         c = named(name).cast("string")
         full = ~T.is_blank(c)
-        number, date = T.parse_number(c), T.parse_date(c)
+        # what a cell reads as is found once, in a projection below the aggregation
+        read += [F.when(full, c).alias(f"v{i}"), F.when(full, T.parse_number(c)).alias(f"x{i}"), F.when(full, T.parse_date(c)).alias(f"d{i}")]
+        v, x, d = F.col(f"v{i}"), F.col(f"x{i}"), F.col(f"d{i}")
         tests = {
-            "blank": ~full, "bool": full & T.is_boolean_word(c), "number": full & number.isNotNull(), "whole": full & (number == F.floor(number)),
-            "date": full & date.isNotNull(), "zero_led": full & T.loses_leading_zero(c), "spaced": full & (c != T.strip(c)), "indic": full & T.has_indic_digits(c),
-            "hijri": full & T.is_hijri_like(c), "negative": full & (number < 0), "zero": full & (number == 0),
+            "blank": v.isNull(), "bool": T.is_boolean_word(v), "number": x.isNotNull(), "whole": x == F.floor(x), "date": d.isNotNull(), "zero_led": T.loses_leading_zero(v),
+            "spaced": v != T.strip(v), "indic": T.has_indic_digits(v), "hijri": d.isNotNull() & T.is_hijri_like(v), "negative": x < 0, "zero": x == 0,
         }
         out += [F.count_if(t).alias(f"{i}_{k}") for k, t in tests.items()]
-        out += [F.count_distinct(F.when(full, T.strip(c))).alias(f"{i}_unique"), F.count_distinct(F.when(full & T.is_boolean_word(c), F.lower(T.strip(c)))).alias(f"{i}_bools")]
-        out += [F.min(F.when(full, date)).alias(f"{i}_first"), F.max(F.when(full, date)).alias(f"{i}_last"), F.round(F.avg(F.when(full, F.length(c))), 1).alias(f"{i}_length")]
-    return df.agg(*out)
+        out += [F.min(d).alias(f"{i}_first"), F.max(d).alias(f"{i}_last"), F.round(F.avg(F.length(v)), 1).alias(f"{i}_length")]
+    names = columns or df.columns
+    unique = distinct_values(df, names).agg(F.map_from_entries(F.collect_list(F.struct("column", "n"))).alias("__unique"))
+    found = [F.coalesce(F.element_at("__unique", F.lit(i)), F.lit(0)).alias(f"{i}_unique") for i in range(len(names))]
+    return df.select(*read).agg(*out).crossJoin(unique).select("*", *found).drop("__unique")
+
+
+def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column (its place) and n, the exact number of distinct values that are not blank.
+
+    Values are grouped by column and value, so that each row is read once; distinct counts side by
+    side in one aggregation would copy every row for every column.
+    """
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("column"), named(c).cast("string").alias("value")) for i, c in enumerate(columns)])).alias("x")).select("x.*")
+    return cells.where(~T.is_blank(F.col("value"))).select("column", T.strip(F.col("value")).alias("value")).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n"))
 
 
 def infer_type(kind, got: dict) -> tuple[str, float]:
