@@ -1,16 +1,22 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
 Fitting takes a documented, bounded sample: the `per_label` labelled ids of either label with the
-smallest hash. Of the sample's words, those that are far more (or less) common in one label are
-the index's terms; a text is the TF-IDF vector of these. The examples lie in blocks of BLOCK, and
-each term keeps its largest weight in each block. A search adds these up to a bound for each block
-and reads blocks from the highest bound down until none can hold a nearer example, so the k nearest
-are exact. Their votes, weighted by similarity and by how many rows of the whole table an example
-stands for, are mapped to probabilities by isotonic regression on leave-one-out votes. The index
-holds at most 2 * per_label examples and max_terms terms and is broadcast within that bound.
-
-Defined results: a text without any term (null and empty texts too) gets the share of toxic rows
-among such examples; an example without label, text or id teaches nothing; an id that is labelled
+smallest hash. A text is the TF-IDF vector of all its words; document frequencies are counted over
+all documents, and a word's weight is raised by `relevance`, where its rates in the sample differ
+between the labels; no word's is lowered. The examples lie in blocks of BLOCK. Of terms that many examples hold, weights are
+kept as a matrix with the largest of each block; of the others as inverted lists. A search adds the
+lists up, bounds each block by the largest of these sums and the products of the block's largest
+weights, and reads only blocks that can hold a nearer example, so the k nearest are exact. Their
+votes, weighted by similarity and by how many rows of the whole table an example stands for, are
+mapped to probabilities by isotonic regression on leave-one-out votes. The index holds all words of
+at most 2 * per_label examples and is broadcast within that bound.
+
+Words that no example holds change a text's norm alone, so neither its neighbours nor its score.
+For the cosines, `score` sends them, packed by task, to shards by word, where their frequencies are
+counted over the documents scored; the sums of squares go back to their texts.
+
+Defined results: a text without any word of an example (null and empty texts too) gets the share of
+toxic rows among examples without words; an example without label, text or id teaches nothing; an id that is labelled
 twice counts as toxic if one label says so; without examples every score is 0; equal texts get
 equal scores; equally near examples are taken in order of their number. Other columns do not matter.
 """
@@ -23,12 +29,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._common import arrow_schema, batch_of, hash_words, pieces_of, staged, texts_of
+from ._common import arrow_schema, batch_of, hash_words, mixed, pieces_of, staged, texts_of
+from .language_model import packed, unpacked
 
 BLOCK = 64
 NEAREST = 15
+#: Terms of one example in so many are kept as a matrix, the COLUMNS most frequent at most.
+OFTEN, COLUMNS = 24, 512
+QUERIES = 64  # texts that are searched together
+HOME = 4096  # texts of a task whose norms are brought together
+SHARD_BYTES, MAX_SHARDS = 64 << 20, 4096
 
 
 def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,46 +59,110 @@ def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes[pairs % m] if len(pairs) else np.zeros(0, np.int64), n, np.searchsorted(pairs, np.arange(len(texts) + 1) * m)
 
 
-def known_terms(texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As terms_of for the terms in `known` (sorted codes), as their places there; others are not counted."""
+def known_terms(texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As terms_of for the terms in `known` (sorted codes), as their places there; and codes, counts and texts of all others."""
     clean = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(texts), "[^\\p{L}\\p{N}]+", " "), " ")
     lists = pc.ascii_split_whitespace(clean)
-    coded = lists.flatten().dictionary_encode()
-    sizes = np.diff(lists.offsets.to_numpy().astype(np.int64))
+    flat = lists.flatten()
+    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy().astype(np.int64)))[full]
+    coded = flat.filter(pa.array(full)).dictionary_encode()
     codes = hash_words(coded.dictionary).astype(np.int64)
     at = np.minimum(np.searchsorted(known, codes), max(len(known) - 1, 0))
     place = np.where(known[at] == codes, at, -1) if len(known) else np.full(len(codes), -1)
-    of_word = place[coded.indices.to_numpy(zero_copy_only=False)] if len(codes) else np.zeros(0, np.int64)
-    m = max(len(known), 1)
-    hit = of_word >= 0
-    pairs, n = np.unique(np.repeat(np.arange(len(texts)), sizes)[hit] * m + of_word[hit], return_counts=True)
-    return pairs % m, n, np.searchsorted(pairs, np.arange(len(texts) + 1) * m)
+    index = coded.indices.to_numpy(zero_copy_only=False)
+    of_word = place[index] if len(codes) else np.zeros(0, np.int64)
+    m, hit = max(len(known), 1), of_word >= 0
+    pairs, n = np.unique(owner[hit] * m + of_word[hit], return_counts=True)
+    w = max(len(codes), 1)
+    others, times = np.unique(owner[~hit] * w + index[~hit], return_counts=True)
+    return pairs % m, n, np.searchsorted(pairs, np.arange(len(texts) + 1) * m), (codes[others % w] if len(others) else np.zeros(0, np.int64), times, others // w)
+
+
+def idf_of(frequency: np.ndarray, documents: int) -> np.ndarray:
+    return np.log((1 + documents) / np.maximum(frequency, 1)) + 1
+
+
+def relevance(n1: np.ndarray, n0: np.ndarray, a: int, b: int) -> np.ndarray:
+    """1 + (z / s)^2 for words in n1 of a toxic and n0 of b other examples: z is that of the difference
+    in rates, s what about one word of the sample would reach by chance. Words of one example have 1."""
+    p = (n1 + n0) / max(a + b, 1)
+    z = (n1 / max(a, 1) - n0 / max(b, 1)) / np.sqrt(p * (1 - p) * (1 / max(a, 1) + 1 / max(b, 1)) + 1e-12)
+    several = n1 + n0 > 1
+    return 1 + np.where(several, z * z, 0) / (2 * np.log(max(several.sum(), 2)))
 
 
 class Index:
     """Examples by block and term. vectors: for each example its term places and counts."""
 
-    def __init__(self, known: np.ndarray, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]):
-        self.known, self.idf = known, idf
+    def __init__(self, known: np.ndarray, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], documents: int = 0, shards: int = 1):
+        self.known, self.idf, self.documents, self.shards = known, idf, documents, shards
         full = np.array([len(t) > 0 for t, _ in vectors], bool)
         rest = weights[~full].sum()
         self.without = float((weights[~full] * labels[~full]).sum() / rest) if rest else 0.0
+        rank = np.argsort(np.argsort(idf, kind="stable"), kind="stable")
         kept = [i for i in np.flatnonzero(full)]
-        kept.sort(key=lambda i: (tuple(vectors[i][0][:3]), ids[i]))  # like examples share blocks
+        kept.sort(key=lambda i: (tuple(np.sort(rank[vectors[i][0]])[:3]), ids[i]))  # like examples share blocks
         self.ids, self.labels, self.weights = ids[kept], labels[kept].astype(float), weights[kept]
         self.blocks = -(-len(kept) // BLOCK)
-        postings: list[list[tuple[int, float]]] = [[] for _ in known]
-        for place, i in enumerate(kept):
-            terms, counts = vectors[i]
-            for t, w in zip(terms, self.vector(terms, counts), strict=True):
-                postings[t].append((place, w))
-        self.where = [np.array([p for p, _ in x], np.int64) for x in postings]
-        self.what = [np.array([w for _, w in x]) for x in postings]
-        self.most = np.zeros((len(known), self.blocks))
-        for t, (p, w) in enumerate(zip(self.where, self.what, strict=True)):
-            np.maximum.at(self.most[t], p // BLOCK, w)
-        self.ends = [np.searchsorted(p, np.arange(self.blocks + 1) * BLOCK) for p in self.where]
+        self.terms, self.counts = (np.concatenate([vectors[i][x] for i in kept]).astype(np.int32) if kept else np.zeros(0, np.int32) for x in (0, 1))
+        self.ends = np.concatenate([[0], np.cumsum([len(vectors[i][0]) for i in kept])]).astype(np.int64)
         self.steps = (np.zeros(1), np.zeros(1))
+        self.shared = None
+
+    def __getstate__(self) -> dict:
+        """What is broadcast: the examples' terms and counts; each worker makes the matrix and the lists for itself."""
+        small = np.uint8 if self.counts.max(initial=0) < 256 else np.int32
+        return {k: v for k, v in self.__dict__.items() if k not in ("column", "matrix", "most", "at", "value", "start")} | {"counts": self.counts.astype(small), "shared": None}
+
+    def __getattr__(self, name: str):
+        if name not in ("column", "matrix", "most", "at", "value", "start"):
+            raise AttributeError(name)
+        self.prepare()
+        return self.__dict__[name]
+
+    def own(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Term places and counts of the example at place i."""
+        part = slice(self.ends[i], self.ends[i + 1])
+        return self.terms[part], self.counts[part].astype(np.int64)
+
+    def broadcast(self, docs: DataFrame):
+        """The broadcast index, sent once. Its calibration is that of the moment, so it travels by itself."""
+        if self.shared is None:
+            self.shared = docs.sparkSession.sparkContext.broadcast(self)
+        return self.shared
+
+    def prepare(self) -> None:
+        n = len(self.ids)
+        place = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.ends))
+        value = (1 + np.log(self.counts.astype(float))) * self.idf[self.terms]
+        value /= np.sqrt(np.bincount(place, value * value, n))[place] if n else 1
+        held = np.bincount(self.terms, minlength=len(self.known))
+        often = np.argsort(-held, kind="stable")[:COLUMNS]
+        often = often[held[often] * OFTEN > n]
+        self.column = np.full(len(self.known), -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        self.matrix = np.zeros((self.blocks * BLOCK, len(often)))
+        dense = self.column[self.terms] >= 0
+        self.matrix[place[dense], self.column[self.terms[dense]]] = value[dense]
+        self.most = self.matrix.reshape(self.blocks, BLOCK, len(often)).max(axis=1).T if self.blocks else np.zeros((len(often), 0))
+        order = np.argsort(self.terms[~dense], kind="stable")
+        self.at, self.value = place[~dense][order], value[~dense][order]
+        self.start = np.concatenate([[0], np.cumsum(np.where(self.column < 0, held, 0))]).astype(np.int64)
+
+    @property
+    def where(self) -> list[np.ndarray]:
+        """The places of the examples that hold each term."""
+        return [np.flatnonzero(self.matrix[:, c]) if c >= 0 else self.at[self.start[t] : self.start[t + 1]] for t, c in enumerate(self.column)]
+
+    @property
+    def what(self) -> list[np.ndarray]:
+        """The weights that belong to `where`."""
+        return [self.matrix[self.matrix[:, c] != 0, c] if c >= 0 else self.value[self.start[t] : self.start[t + 1]] for t, c in enumerate(self.column)]
+
+    def square(self, terms: np.ndarray, counts: np.ndarray) -> float:
+        w = (1 + np.log(counts)) * self.idf[terms]
+        return float((w * w).sum())
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
@@ -93,31 +170,54 @@ class Index:
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples, nearest first; `but` is left out."""
-        q = self.vector(terms, counts)
-        bound = q @ self.most[terms]
-        order = np.argsort(-bound, kind="stable")
-        at, near = np.zeros(0, np.int64), np.zeros(0)
-        for b in order:
-            if bound[b] <= 0 or len(near) == k and bound[b] < near[-1] - 1e-12:
-                break
-            score = np.zeros(min(BLOCK, len(self.ids) - b * BLOCK))
-            for t, w in zip(terms, q, strict=True):
-                s = slice(self.ends[t][b], self.ends[t][b + 1])
-                score[self.where[t][s] - b * BLOCK] += w * self.what[t][s]
-            if 0 <= but - b * BLOCK < len(score):
-                score[but - b * BLOCK] = 0
-            hit = np.flatnonzero(score > 0)
-            at, near = np.concatenate([at, hit + b * BLOCK]), np.round(np.concatenate([near, score[hit]]), 12)
-            first = np.lexsort((at, -near))[:k]
-            at, near = at[first], near[first]
-        return at, near
+        return self.search([(terms, counts)], k, [but])[0]
+
+    def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """As nearest, for several texts, each with a term at least."""
+        n, m = len(vectors), self.blocks * BLOCK
+        if not n or not m:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * n
+        terms, owner = np.concatenate([t for t, _ in vectors]), np.repeat(np.arange(n), [len(t) for t, _ in vectors])
+        w = np.concatenate([self.vector(t, c) for t, c in vectors])
+        dense = self.column[terms] >= 0
+        q = np.zeros((n, self.matrix.shape[1]))
+        q[owner[dense], self.column[terms[dense]]] = w[dense]
+        first, size = self.start[terms[~dense]], self.start[terms[~dense] + 1] - self.start[terms[~dense]]
+        at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+        rest = np.bincount(np.repeat(owner[~dense] * m, size) + self.at[at], np.repeat(w[~dense], size) * self.value[at], n * m).astype(float).reshape(n, self.blocks, BLOCK)
+        bound = rest.max(axis=2) + q @ self.most
+        score = np.full((n, self.blocks, BLOCK), -1.0)
+        left = np.full(n, -1) if but is None else np.asarray(but)
+
+        def read(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                rows = np.flatnonzero(wanted[:, b])
+                score[rows, b] = rest[rows, b] + q[rows] @ self.matrix[b * BLOCK : (b + 1) * BLOCK].T
+            out = np.flatnonzero(left >= 0)
+            score[out, left[out] // BLOCK, left[out] % BLOCK] = -1
+
+        some = min(self.blocks, -(-k // BLOCK) + 1)
+        best = np.argpartition(-bound, some - 1, axis=1)[:, :some]
+        opened = np.zeros(bound.shape, bool)
+        np.put_along_axis(opened, best, True, axis=1)
+        read(opened)
+        found = np.take_along_axis(score, best[:, :, None], axis=1).reshape(n, -1)
+        least = np.partition(found, -k, axis=1)[:, -k] if found.shape[1] >= k else np.full(n, -1.0)
+        read(~opened & (bound > 0) & (bound >= least[:, None] - 1e-12))
+        out = []
+        for own, low in zip(score.reshape(n, m), least, strict=True):
+            hit = np.flatnonzero((own > 0) & (own >= low - 1e-12))
+            near = np.round(own[hit], 12)
+            top = np.lexsort((hit, -near))[:k]
+            out.append((hit[top], near[top]))
+        return out
 
     def vote(self, at: np.ndarray, near: np.ndarray) -> float:
         w = near**2 * self.weights[at]
         return float((w * self.labels[at]).sum() / w.sum()) if len(at) else self.without
 
-    def calibrated(self, vote: float) -> float:
-        return float(np.interp(vote, *self.steps))
+    def calibrated(self, vote: float, steps: tuple[np.ndarray, np.ndarray]) -> float:
+        return float(np.interp(vote, *steps))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,12 +232,8 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return p[:, 0] / p[:, 2], p[:, 1] / p[:, 2]
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_teach: Column | None = None, per_label=8000, max_terms=4096, strength=None, lift=3.0) -> Index:
-    """An index from docs (doc_id, text) and labels (doc_id, toxic); may_teach is over doc_id.
-
-    strength: the z score of the difference in rates that makes a word a term; by default the one
-    that about one word of the sample would reach by chance. lift: the least ratio of the rates.
-    """
+def fit(docs: DataFrame, labels: DataFrame, may_teach: Column | None = None, per_label=8000) -> Index:
+    """An index from docs (doc_id, text) and labels (doc_id, toxic); may_teach is over doc_id."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(F.coalesce(may_teach, F.lit(False))) if may_teach is not None else known
     known = known.groupBy(F.col("doc_id").cast("long").alias("ex_id")).agg(F.max("toxic").cast("int").alias("label"))
@@ -161,88 +257,161 @@ def fit(docs: DataFrame, labels: DataFrame, may_teach: Column | None = None, per
     a, b = sizes.get(1, 0), sizes.get(0, 0)
     if not a + b:
         return Index(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), [])
-    seen = examples.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0"))
-    r1, r0, p = F.col("n1") / F.lit(max(a, 1)), F.col("n0") / F.lit(max(b, 1)), (F.col("n1") + F.col("n0")) / F.lit(a + b)
-    z = F.abs(r1 - r0) / F.sqrt(p * (1 - p) * F.lit(1 / max(a, 1) + 1 / max(b, 1)) + 1e-12)
-    half1, half0 = (F.col("n1") + 0.5) / F.lit(a + 1.0), (F.col("n0") + 0.5) / F.lit(b + 1.0)
-    seen = seen.where("n1 + n0 > 1")
-    strength = strength or float(np.sqrt(2 * np.log(max(seen.count(), 2))))
-    told = seen.withColumn("z", z).where((F.col("z") >= strength) & ((half1 >= lift * half0) | (half0 >= lift * half1)))
-    chosen = told.orderBy(F.desc("z"), "term").limit(max_terms).toArrow().to_pandas().sort_values("term")
-    codes, idf = chosen["term"].to_numpy(np.int64), np.log((1 + a + b) / (chosen["n1"] + chosen["n0"]).to_numpy()) + 1
-    place = "ex_id long, label int, places array<long>, counts array<long>"
-
-    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for t, n in zip(f["terms"], f["counts"], strict=True):
-                t, n = np.asarray(t, np.int64), np.asarray(n, np.int64)
-                at = np.minimum(np.searchsorted(codes, t), max(len(codes) - 1, 0))
-                hit = codes[at] == t if len(codes) else np.zeros(len(t), bool)
-                order = np.argsort(at[hit])
-                rows.append((at[hit][order], n[hit][order]))
-            yield pd.DataFrame({"ex_id": f["ex_id"], "label": f["label"], "places": [r[0] for r in rows], "counts": [r[1] for r in rows]})
-
-    held = examples.mapInPandas(pick, place).toArrow().to_pandas().sort_values("ex_id").reset_index(drop=True)
-    weights = np.where(held["label"] == 1, totals.get(1, 0) / max(a, 1), totals.get(0, 0) / max(b, 1))
-    vectors = [(np.asarray(t, np.int64), np.asarray(n, np.int64)) for t, n in zip(held["places"], held["counts"], strict=True)]
-    index = Index(codes, idf, held["ex_id"].to_numpy(np.int64), held["label"].to_numpy(), weights, vectors)
-    calibrate(docs, index, vectors, held)
+    held = examples.select("ex_id", "label", "terms", F.col("counts").cast("array<int>")).toArrow().sort_by("ex_id").combine_chunks()
+    lists = held["terms"].combine_chunks()
+    terms, counts, ends = lists.flatten().to_numpy(), held["counts"].combine_chunks().flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    known, terms = np.unique(terms, return_inverse=True)
+    terms = terms.astype(np.int32)
+    frequency, documents, size = document_frequencies(docs, known)
+    vectors = []
+    for i, j in zip(ends[:-1], ends[1:], strict=True):
+        order = np.argsort(terms[i:j])
+        vectors.append((terms[i:j][order], counts[i:j][order]))
+    label = held["label"].to_numpy()
+    toxic = np.repeat(label == 1, np.diff(ends))
+    n1, n0 = (np.bincount(terms[x], minlength=len(known)) for x in (toxic, ~toxic))
+    weights = np.where(label == 1, totals.get(1, 0) / max(a, 1), totals.get(0, 0) / max(b, 1))
+    index = Index(known, idf_of(frequency, documents) * relevance(n1, n0, a, b), held["ex_id"].to_numpy(), label, weights, vectors, documents, int(min(MAX_SHARDS, max(8, -(-size // SHARD_BYTES)))))
+    calibrate(docs, index)
     return index
 
 
-def calibrate(docs: DataFrame, index: Index, vectors: list, held: pd.DataFrame) -> None:
+def document_frequencies(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """How many of all documents hold each of the known terms, the number of documents, and the bytes of their texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    ddl = "place bigint, n bigint"
+    schema = arrow_schema(ddl)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, rows, size = np.zeros(len(shared.value), np.int64), 0, 0
+        for batch in batches:
+            for part, texts in pieces_of(batch, "text"):
+                seen += np.bincount(known_terms(texts, shared.value)[0], minlength=len(seen))
+                rows, size = rows + len(texts), size + (pc.sum(pc.binary_length(texts)).as_py() or 0)
+        held = np.flatnonzero(seen)
+        yield batch_of(schema, [-1, -2], [rows, size])
+        for i in range(0, len(held), 50_000):
+            yield batch_of(schema, held[i : i + 50_000], seen[held[i : i + 50_000]])
+
+    got = texts_of(docs, "text").mapInArrow(count, ddl).groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    place, n = got["place"].to_numpy(), got["n"].to_numpy()
+    out = np.zeros(len(known), np.int64)
+    out[place[place >= 0]] = n[place >= 0]
+    return out, int(n[place == -1].sum()), int(n[place == -2].sum())
+
+
+def calibrate(docs: DataFrame, index: Index) -> None:
     """Leave-one-out votes of all examples (a Spark job over their numbers), then the isotonic map."""
     if not len(index.ids):
         return
-    place = {int(x): i for i, x in enumerate(index.ids)}
-    own = {place[int(x)]: v for x, v in zip(held["ex_id"], vectors, strict=True) if int(x) in place}
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((index, own))
+    shared = index.broadcast(docs)
 
     def votes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, own = shared.value
+        index = shared.value
         for f in frames:
-            yield pd.DataFrame({"id": f["id"], "vote": [index.vote(*index.nearest(*own[i], NEAREST, but=i)) for i in f["id"]]})
+            ids = f["id"].tolist()
+            found = [x for i in range(0, len(ids), QUERIES) for x in index.search([index.own(j) for j in ids[i : i + QUERIES]], NEAREST, ids[i : i + QUERIES])]
+            yield pd.DataFrame({"id": ids, "vote": [index.vote(*x) for x in found]})
 
-    got = spark.range(0, len(index.ids), numPartitions=8).mapInPandas(votes, "id long, vote double").toArrow().to_pandas().sort_values("id")
+    got = docs.sparkSession.range(0, len(index.ids), numPartitions=8).mapInPandas(votes, "id long, vote double").toArrow().to_pandas().sort_values("id")
     index.steps = isotonic(np.round(got["vote"].to_numpy(), 12), index.labels, index.weights)
 
 
+def judged(index: Index, steps: tuple[np.ndarray, np.ndarray], texts: pa.Array, nearest: int) -> tuple[np.ndarray, list, list, np.ndarray, tuple]:
+    """Of each text the score, the nearest examples' ids, their cosines over the examples' words and the
+    sum of squares of these words' weights; and the other words, as known_terms gives them."""
+    terms, counts, ends, others = known_terms(texts, index.known)
+    scores, ids, cosines, squares = np.full(len(texts), index.without), [[]] * len(texts), [[]] * len(texts), np.zeros(len(texts))
+    full = np.flatnonzero(np.diff(ends))
+    for i in range(0, len(full), QUERIES):
+        group = full[i : i + QUERIES]
+        vectors = [(terms[ends[j] : ends[j + 1]], counts[ends[j] : ends[j + 1]]) for j in group]
+        for j, own, (at, near) in zip(group, vectors, index.search(vectors, nearest), strict=True):
+            squares[j] = index.square(*own)
+            if len(at):
+                scores[j], ids[j], cosines[j] = round(index.calibrated(index.vote(at, near), steps), 9), index.ids[at].tolist(), near.tolist()
+    return scores, ids, cosines, squares, others
+
+
 def score(docs: DataFrame, index: Index, id_col="doc_id", text_col="text", nearest=NEAREST) -> DataFrame:
     """doc_id, score, and as evidence the nearest examples' ids with their cosines."""
-    ddl = "doc_id bigint, score double, evidence array<bigint>, cosines array<float>"
-    return texts_of(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scorer(docs, index, nearest, False), ddl)
-
+    shared, steps, shards = index.broadcast(docs), index.steps, index.shards
+    ddl = "home bigint, shard int, at bigint, doc_id bigint, score double, square double, evidence array<bigint>, near array<float>, words binary, texts binary, counts binary"
+    schema = arrow_schema(ddl)
+    out_ddl = "doc_id bigint, score double, evidence array<bigint>, cosines array<float>"
+    result = arrow_schema(out_ddl)
+
+    def rows_of(home: int, shard: int | None, words: np.ndarray, texts: np.ndarray, counts: np.ndarray) -> tuple:
+        return (home, shard, *[None] * 6, *(packed(x) for x in (words, texts, counts)))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts with what the index says of them; and for each shard the words that no example holds."""
+        ix, first, seen, held = shared.value, TaskContext.get().partitionId() << 28, 0, []
+
+        def others() -> Iterator[pa.RecordBatch]:
+            words, n, text = (np.concatenate(x) for x in zip(*held, strict=True))
+            shard = (mixed(words.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+            order = np.lexsort((text, words, shard))
+            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+            parts = [(s, order[cuts[s] : cuts[s + 1]]) for s in range(shards) if cuts[s] < cuts[s + 1]]
+            for i in range(0, len(parts), 64):
+                rows = [rows_of(first + (seen - 1) // HOME, s, words[o], text[o].astype(np.uint16), np.minimum(n[o], 2**32 - 1).astype(np.uint32)) for s, o in parts[i : i + 64]]
+                yield batch_of(schema, *zip(*rows, strict=True))
 
-def scorer(docs: DataFrame, index: Index, nearest: int, whole: bool):
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+        for batch in batches:
+            for part, texts in pieces_of(batch, "text"):
+                for a in range(0, len(texts), HOME):
+                    own = texts.slice(a, HOME)
+                    if held and (seen - 1) // HOME != (seen + len(own) - 1) // HOME:
+                        yield from others()
+                        held, seen = [], -(-seen // HOME) * HOME
+                    scores, ids, near, squares, rest = judged(ix, steps, own, nearest)
+                    at = seen + np.arange(len(own))
+                    held.append((rest[0], rest[1], rest[2] + seen % HOME))
+                    none = pa.nulls(len(own), pa.binary())
+                    yield batch_of(schema, first + at // HOME, pa.nulls(len(own), pa.int32()), at % HOME, part.column(0).slice(a, HOME), scores, squares, pa.array(ids, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.float32())), none, none, none)
+                    seen += len(own)
+        if held:
+            yield from others()
+
+    def count(table: pa.Table) -> pa.Table:
+        """The squares of a shard's words, summed for each text."""
+        parts = [tuple(unpacked(r[x], k) for x, k in (("words", np.int64), ("texts", np.uint16), ("counts", np.uint32))) for r in table.select(["words", "texts", "counts"]).to_pylist()]
+        _, place, times = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True, return_counts=True)
+        idf = idf_of(times, max(shared.value.documents, int(times.max())))[place]
+        rows, done = [], 0
+        for home, (words, texts, n) in zip(table["home"].to_pylist(), parts, strict=True):
+            w = (1 + np.log(n)) * idf[done : done + len(words)]
+            done += len(words)
+            at, local = np.unique(texts, return_inverse=True)
+            rows.append(rows_of(home, None, np.zeros(0), at, np.bincount(local, w * w, len(at))))
+        return pa.Table.from_batches([batch_of(schema, *zip(*rows, strict=True))])
+
+    def finish(table: pa.Table) -> pa.Table:
+        """The texts of one home with their cosines over all words."""
+        other = np.zeros(HOME)
+        for texts, squares in sorted(zip(table["texts"].to_pylist(), table["counts"].to_pylist(), strict=True), key=lambda x: (x[0] or b"", x[1] or b"")):
+            if texts is not None:
+                other[unpacked(texts, np.uint16)] += unpacked(squares, np.float64)
+        own = table.filter(pc.is_valid(table["at"])).combine_chunks()
+        known = own["square"].to_numpy()
+        scale = np.sqrt(known / np.maximum(known + other[own["at"].to_numpy()], 1e-300))
+        near = [(np.array(x) * f).tolist() for x, f in zip(own["near"].to_pylist(), scale, strict=True)]
+        return pa.table([own["doc_id"], own["score"], own["evidence"], pa.array(near, pa.list_(pa.float32()))], schema=result)
+
+    told = staged(texts_of(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(judge, ddl), "tox-judged")
+    sums = told.where("shard IS NOT NULL").groupBy("shard").applyInArrow(count, ddl)
+    return told.where("shard IS NULL").unionByName(sums).groupBy("home").applyInArrow(finish, out_ddl)
+
+
+def scorer(docs: DataFrame, index: Index, nearest: int):
+    shared, steps = index.broadcast(docs), index.steps
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, memo = shared.value, {}
         for batch in batches:
             for part, texts in pieces_of(batch, "text"):
-                terms, counts, ends = known_terms(texts, ix.known)
-                scores, ids, cosines = np.zeros(len(texts)), [[]] * len(texts), [[]] * len(texts)
-                for i in range(len(texts)):
-                    t, n = terms[ends[i] : ends[i + 1]], counts[ends[i] : ends[i + 1]]
-                    if not len(t):
-                        scores[i] = ix.without
-                        continue
-                    key = t.tobytes() + n.tobytes()
-                    if key not in memo:
-                        at, near = ix.nearest(t, n, nearest)
-                        memo[key] = round(ix.calibrated(ix.vote(at, near)) if len(at) else ix.without, 9), ix.ids[at].tolist(), near.tolist()
-                        if len(memo) > 20_000:
-                            memo.pop(next(iter(memo)))
-                        scores[i], ids[i], cosines[i] = memo.get(key) or (ix.without, [], [])
-                    else:
-                        scores[i], ids[i], cosines[i] = memo[key]
-                score_col = pa.array(scores)
-                if whole:
-                    yield pa.RecordBatch.from_arrays([*part.columns, score_col], schema=pa.schema([*part.schema, pa.field("score", pa.float64())]))
-                else:
-                    yield pa.RecordBatch.from_arrays([part.column(0), score_col, pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float32()))], schema=pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", pa.list_(pa.int64())), ("cosines", pa.list_(pa.float32()))]))
+                scores = pa.array(judged(shared.value, steps, texts, nearest)[0])
+                yield pa.RecordBatch.from_arrays([*part.columns, scores], schema=pa.schema([*part.schema, pa.field("score", pa.float64())]))
 
     return run
 
@@ -250,4 +419,4 @@ def scorer(docs: DataFrame, index: Index, nearest: int, whole: bool):
 def scored_documents(docs: DataFrame, index: Index, name="toxic_score", nearest=NEAREST) -> DataFrame:
     """docs with the score as one column more."""
     out = docs.select("*").schema.add("toxic_score__", "double")
-    return texts_of(docs, "*").mapInArrow(scorer(docs, index, nearest, True), out).withColumnRenamed("toxic_score__", name)
+    return texts_of(docs, "*").mapInArrow(scorer(docs, index, nearest), out).withColumnRenamed("toxic_score__", name)

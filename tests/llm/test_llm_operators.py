@@ -324,6 +324,29 @@ def test_toxicity(judged):
     assert all(r["score"] == 0 for r in toxicity.score(docs, nothing).collect())
 
 
+def test_toxicity_looks_at_all_words(spark):
+    """Cosines are those of vectors of all words, with frequencies over all documents, whether or not an example holds the word."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice([f"r{j}" for j in range(500)], 12)) + (" vile" if i % 4 == 0 else "") for i in range(240)] + ["r1 new new words", "r2", "", "only new"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(160)], "doc_id long, toxic int")
+    index = toxicity.fit(docs, labels)
+    words = [Counter(t.split()) for t in texts]
+    df = Counter(w for c in words for w in c)
+    weight = {w: math.log((1 + len(texts)) / n) + 1 for w, n in df.items()}
+    code = {int(h): w for w, h in zip(df, toxicity.hash_words(toxicity.pa.array(list(df))).astype(np.int64), strict=True)}
+    assert {code[h] for h in index.known.tolist()} == {w for c in words[:160] for w in c}
+    assert all(x >= weight[code[h]] - 1e-9 for h, x in zip(index.known.tolist(), index.idf, strict=True))
+    weight |= {code[h]: x for h, x in zip(index.known.tolist(), index.idf, strict=True)}
+    vectors = [{w: (1 + math.log(n)) * weight[w] for w, n in c.items()} for c in words]
+    norms = [math.sqrt(sum(x * x for x in v.values())) for v in vectors]
+    for r in toxicity.score(docs, index).collect():
+        v = vectors[r["doc_id"]]
+        want = [sum(x * u.get(w, 0) for w, x in v.items()) / (norms[r["doc_id"]] * n) for u, n in zip(vectors[:160], norms, strict=False)] if v else []
+        assert np.allclose(r["cosines"], sorted([x for x in want if x > 0], reverse=True)[:15], atol=1e-6)
+        assert np.allclose(r["cosines"], [want[i] for i in r["evidence"]], atol=1e-6)
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(6)
     terms, n = 40, 700
