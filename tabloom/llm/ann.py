@@ -30,7 +30,7 @@ from ._common import staged
 
 TREES, BITS, SEED = 160, 20, 5
 BLOCK, QUERIES = 8192, 2048
-FLOOR, SHARE = 2560, 0.32
+FLOOR, SHARE = 2560, 0.5
 
 
 def usable(vector: Column) -> Column:

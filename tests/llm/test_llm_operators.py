@@ -394,6 +394,16 @@ def test_ann(spark):
     assert ann.nearest_inner(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_forest_recall_of_a_full_block():
+    """Where the floor on candidates does not help: unit vectors without structure, as many as a block holds."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((ann.BLOCK, 64))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    marks = ann.Forest(x, 1.0).candidates(x[:120], max(ann.FLOOR, int(ann.SHARE * ann.BLOCK)))
+    near = [[j for j in np.argsort(-s, kind="stable") if j != i][:20] for i, s in enumerate(x[:120] @ x.T)]
+    assert np.mean([marks[i, own].mean() for i, own in enumerate(near)]) >= 0.95
+
+
 def test_forest_ranges_hold_prefixes():
     rng = np.random.default_rng(8)
     x = rng.standard_normal((200, 8))
