@@ -8,8 +8,8 @@ falls below the lower. The filterbank is stored as tensors of one fixed shape (f
 last padded with the floor value), each with its time span, so that a column of them is an Arrow
 fixed-shape tensor column.
 
-Defined results: null and empty texts give the shortest payload; a recording shorter than a frame
-is padded to one; silence has no segments; equal bytes give equal features, in any batch.
+Defined results: null and empty texts give the shortest payload; a recording that does not end with
+a frame is padded with silence to the end of one, so that every sample is in a frame; silence has no segments; equal bytes give equal features, in any batch.
 Long recordings are framed in blocks of bounded size.
 """
 
@@ -122,7 +122,8 @@ def features(media: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
     """Tensors [spans, SPAN_FRAMES, BANDS], their spans in seconds, the segments in seconds, and the samples read."""
     payload = from_wav(media)
     x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
-    mel, power = log_mel(resample(x))
+    x = resample(x)
+    mel, power = log_mel(np.pad(x, (0, -(len(x) - WINDOW) % HOP if len(x) > WINDOW else 0)))
     spans = -(-len(mel) // SPAN_FRAMES)
     tensor = np.full((spans * SPAN_FRAMES, BANDS), FLOOR, np.float32)
     tensor[: len(mel)] = mel

@@ -273,6 +273,16 @@ def test_audio_parts(spark, docs):
     assert arrow.to_numpy_ndarray().shape == (len(spans), 64, 32)
 
 
+@pytest.mark.parametrize("units", [1, 2, 3, 4, 5, 6, 7, 11])
+def test_audio_features_reach_the_end(units):
+    """A change in the last byte alone changes the features, wherever the last whole frame ends."""
+    base = "the words of a text " * 120
+    texts = [base[: 192 * units - 1] + end for end in "aZ"]
+    first, second = (media.features(media.to_wav(media.payload_of(t)[0])) for t in texts)
+    assert first[0].shape == second[0].shape
+    assert not np.array_equal(np.round(first[0] * 256), np.round(second[0] * 256))
+
+
 @pytest.fixture(scope="module")
 def voices(spark):
     rng = np.random.default_rng(4)
