@@ -47,13 +47,20 @@ def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve arrivals of documents, compacted until no tier has a full group: each document as read
-    back, with the rows, bytes and version of its shard."""
+    """Twelve arrivals of documents, each a commit with a round of compaction after it, and at the end
+    compacted until no tier has a full group: each document as read back, with the rows, bytes and
+    version of its shard."""
     docs = table(spark, sf_dir, "documents")
     root = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    sharding.append(docs, root, F.pmod(F.xxhash64("doc_id"), F.lit(12)))
-    while sharding.compact(spark, docs.schema, root, target_bytes=64 << 20, fan_in=8):
+
+    def compacted() -> bool:
+        done = sharding.compact(spark, docs.schema, root, target_bytes=64 << 20, fan_in=8) is not None
         sharding.expire(spark, root)
+        return done
+
+    sharding.append_each(docs, root, F.pmod(F.xxhash64("doc_id"), F.lit(12)), range(12), compacted)
+    while compacted():
+        pass
     files = sharding.manifest(spark, root).select(F.col("path").alias("shard_path"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), F.col("born").alias("shard_version"))
     rows = sharding.read(spark, docs.schema, root)
     text = F.coalesce("text", F.lit(""))

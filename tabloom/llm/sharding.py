@@ -19,6 +19,7 @@ a group and a file within it are called __merge and __part; a table that has suc
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
@@ -78,6 +79,22 @@ def entries_of(spark: SparkSession, schema: StructType, folder: str, born: int)
     return meta.groupBy("path", "bytes").agg(F.count(F.lit(1)).alias("rows")).withColumn("born", F.lit(born).cast("long")).select("path", "bytes", "rows", "born")
 
 
+def append_each(arrivals: DataFrame, root: str, batch: Column, values: Iterable[int], between: Callable[[], object] = lambda: None) -> list[int]:
+    """Write arrivals once, in a folder for each value of batch, and commit the folders of `values` one by
+    one; `between` runs after each commit. The new versions. Rows of other values are in none of them."""
+    if {"__merge", "__part"} & set(arrivals.columns):
+        raise ValueError("columns __merge and __part are not allowed")
+    spark, out = arrivals.sparkSession, []
+    folder = f"{root}/data/{uuid.uuid4().hex}"
+    arrivals.withColumn("__part", batch).write.partitionBy("__part").option("compression", "zstd").parquet(folder)
+    for value in values:
+        version = (versions(spark, root) or [0])[-1] + 1
+        commit(manifest(spark, root).unionByName(entries_of(spark, arrivals.schema, f"{folder}/__part={value}", version)), root, version)
+        out.append(version)
+        between()
+    return out
+
+
 def append(arrivals: DataFrame, root: str, batch: Column | None = None) -> int:
     """Write arrivals as small shards (with batch: a folder of shards for each of its values) and commit; the new version."""
     if {"__merge", "__part"} & set(arrivals.columns):

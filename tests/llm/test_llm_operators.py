@@ -472,6 +472,24 @@ def test_sharding(spark, docs, tmp_path):
         sharding.append(docs.withColumn("__merge", F.lit(1)), root)
 
 
+def test_sharding_arrivals(spark, docs, tmp_path, monkeypatch, sf_dir):
+    """Each arrival is a commit of its own, which sees what came before; the query makes twelve."""
+    from tabloom.llm import queries
+
+    root, seen = f"file://{tmp_path}/set", []
+    part = F.pmod(F.xxhash64("value"), F.lit(5))
+    look = lambda: seen.append({r[0] for r in sharding.manifest(spark, root).select("born").distinct().collect()})
+    assert sharding.append_each(docs, root, part, range(5), look) == [1, 2, 3, 4, 5]
+    assert seen == [set(range(1, i + 1)) for i in range(1, 6)]
+    back = sharding.read(spark, docs.schema, root).drop("shard_path")
+    assert back.exceptAll(docs).isEmpty() and docs.exceptAll(back).isEmpty()
+    rounds = []
+    own = sharding.compact
+    monkeypatch.setattr(sharding, "compact", lambda *a, **k: rounds.append(sharding.versions(spark, a[2])[-1]) or own(*a, **k))
+    assert queries.op5_sharding(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert len(rounds) >= 12 and rounds[0] == 1 and rounds[11] >= 12
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
