@@ -9,7 +9,6 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Text bytes that a Python worker looks at together (one longer text is still handled whole).
@@ -104,10 +103,39 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets
 
 
-def hash_words(values: pa.Array, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of an array of strings."""
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(v, seed) for v in values.cast(pa.binary()).to_pylist()), np.uint64, len(values))
+#: What a byte adds to a word's hash, before it is multiplied by the power of its place; drawn from a fixed seed.
+_BYTE = np.random.default_rng(20).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def spaced(texts: pa.Array, others: str, keep: str) -> pa.Array:
+    """Lower-cased texts with blanks for all characters but wanted ones: of ASCII those in `keep`, of the rest those that `others` does not match."""
+    low = pc.utf8_lower(texts)
+    odd = pc.match_substring_regex(low, others)
+    if pc.any(odd).as_py():
+        low = pc.replace_with_mask(low, odd, pc.replace_substring_regex(low.filter(odd), f"(?:{others})+", " "))
+    table = bytes(i if i > 127 or chr(i) in keep else 32 for i in range(256))
+    return pa.Array.from_buffers(low.type, len(low), [None, low.buffers()[1], pa.py_buffer((low.buffers()[2] or pa.py_buffer(b"")).to_pybytes().translate(table))], 0, low.offset)
+
+
+def hash_words(values: pa.Array) -> np.ndarray:
+    """64-bit hashes of an array of strings without nulls: polynomials in their bytes, scrambled."""
+    values = values.cast(pa.large_binary())
+    ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)
+    size, out = np.diff(ends), np.zeros(len(values), np.uint64)
+    longest = int(size.max(initial=0))
+    power = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(longest, _STEP, np.uint64))])
+    start = 0
+    while start < len(size):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + (1 << 19), "right")) - 1)
+        n = size[start:stop]
+        first = np.cumsum(n) - n
+        place = np.arange(n.sum()) - np.repeat(first, n)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data[ends[start] : ends[stop]]] * power[place])])
+        out[start:stop] = total[first + n] - total[first] + n.astype(np.uint64) * _STEP
+        start = stop
+    return mixed(out)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

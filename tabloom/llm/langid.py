@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._common import arrow_schema, batch_of, fold_of, hash_words, mixed, pieces_of, staged, texts_of
+from ._common import arrow_schema, batch_of, fold_of, hash_words, mixed, pieces_of, spaced, staged, texts_of
 
 GRAMS = (4, 3, 2, 1)
 EVIDENCE = 24
@@ -37,8 +37,7 @@ COUNTS = "lang string, kind int, entry bigint, n bigint"
 
 def letters_only(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct lower-cased words of letters, the code of each word in order, and where each text begins."""
-    clean = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(texts), "[^\\p{L}\\p{M}]+", " "), " ")
-    lists = pc.ascii_split_whitespace(clean)
+    lists = pc.ascii_split_whitespace(spaced(texts, "[^\\x00-\\x7f\\p{L}\\p{M}]", "abcdefghijklmnopqrstuvwxyz"))
     flat = lists.flatten()
     offsets = lists.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]

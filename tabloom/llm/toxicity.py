@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._common import arrow_schema, batch_of, hash_words, mixed, pieces_of, staged, texts_of
+from ._common import arrow_schema, batch_of, hash_words, mixed, pieces_of, spaced, staged, texts_of
 from .language_model import packed, unpacked
 
 BLOCK = 64
@@ -46,8 +46,7 @@ SHARD_BYTES, MAX_SHARDS = 64 << 20, 4096
 
 def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of the distinct words of each text, their counts, and where each text begins."""
-    clean = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(texts), "[^\\p{L}\\p{N}]+", " "), " ")
-    lists = pc.ascii_split_whitespace(clean)
+    lists = pc.ascii_split_whitespace(spaced(texts, "[^\\x00-\\x7f\\p{L}\\p{N}]", "abcdefghijklmnopqrstuvwxyz0123456789"))
     flat = lists.flatten()
     sizes = np.diff(lists.offsets.to_numpy().astype(np.int64))
     full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
@@ -61,8 +60,7 @@ def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def known_terms(texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """As terms_of for the terms in `known` (sorted codes), as their places there; and codes, counts and texts of all others."""
-    clean = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(texts), "[^\\p{L}\\p{N}]+", " "), " ")
-    lists = pc.ascii_split_whitespace(clean)
+    lists = pc.ascii_split_whitespace(spaced(texts, "[^\\x00-\\x7f\\p{L}\\p{N}]", "abcdefghijklmnopqrstuvwxyz0123456789"))
     flat = lists.flatten()
     full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy().astype(np.int64)))[full]
