@@ -36,10 +36,9 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = language_model.fit(docs, not_fold(5, 1))
-    out = language_model.score(docs, model)
-    return out.select("doc_id", is_fold(5, 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    model = language_model.fit(table(spark, sf_dir, "documents"), not_fold(5, 1))
+    out = language_model.score(model)
+    return out.select("doc_id", is_fold(5, 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.totals.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 
 
 def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,38 +192,65 @@ def test_equal_tokenizers():
         assert encode(t).tolist() == exact.encode(t, add_special_tokens=False).ids
 
 
-def test_language_model(docs):
+@pytest.fixture(params=[0.002, 2.0])
+def hot_share(request, monkeypatch):
+    """With words spread over shards by context, and without."""
+    monkeypatch.setattr(language_model, "HOT", request.param)
+    return request.param
+
+
+def test_language_model(docs, hot_share):
+    """Counts and base scores by brute force; scores from the model's own seatings, by sums over plain dictionaries."""
     teaches = F.coalesce(fold_of(F.col("doc_id"), 5) != 1, F.lit(False))
     model = language_model.fit(docs, teaches)
-    rows = language_model.score(docs, model).collect()
-    c = Counter()
+    assert (len(model.hot) > 0) == (hot_share < 1)
+    rows = language_model.score(model).collect()
+    c, texts = Counter(), []
     for d, t in docs.select("doc_id", "text").collect():
+        texts.append((d, [*plain_words(t), " end"]))
         if d is not None and zlib.crc32(str(d).encode()) % 5 != 1:
-            c.update([*plain_words(t), " "])
+            c.update(texts[-1][1])
     n, v = sum(c.values()), len(c)
     assert (model.totals.tokens, model.totals.types) == (n, v)
+    code = {w: int(h) for ws in [sorted({w for _, ws in texts for w in ws} | {" start"})] for w, h in zip(ws, language_model.hash_words(language_model.pa.array(ws)).astype(np.int64), strict=True)}
+    cells = {(r["context"], r["word"]): r for r in language_model.cells(model).collect()}
+    assert set(cells) == {(code[a], code[b]) for _, ws in texts for a, b in zip([" start", *ws], ws, strict=False)}
+    trained = [r for r in cells.values() if r["n"]]
+    assert all(1 <= t <= r["n"] for r in trained for t in r["tables"])
+    d, d0, k = model.totals.discount, model.totals.parent_discount, model.samples
+    customers, tables, served, top = Counter(), Counter(), Counter(), {}
+    for r in trained:
+        customers[r["context"]] += r["n"]
+        for s in range(k):
+            tables[r["context"], s] += r["tables"][s]
+            served[r["word"], s] += r["tables"][s]
+            top[r["word"], s] = r["parent_tables"][s]
+
+    def parent(w, s):
+        rest = (1 + d0 * sum(x for (_, j), x in top.items() if j == s)) / (v + 1)
+        return (max(served[w, s] - d0 * top.get((w, s), 0), 0) + rest) / (1 + sum(x for (_, j), x in served.items() if j == s))
+
+    parents = {(w, s): parent(w, s) for w in [*code.values(), 0] for s in range(k)}
+
+    def p(u, w):
+        r = cells.get((u, w))
+        return sum((r["n"] - d * r["tables"][s] if r and r["n"] else 0) + (1 + d * tables[u, s]) * parents[w, s] for s in range(k)) / k / (1 + customers[u])
+
+    assert all(math.isclose(10 ** r["log10_p"], p(*x), rel_tol=1e-9) for x, r in cells.items())
+    seen = {code[w] for w in c}
+    for u in list(customers)[:20]:  # known words and one unknown one add up to 1
+        assert math.isclose(sum(p(u, w) for w in seen) + p(u, 0), 1, rel_tol=1e-9)
     want = Counter()
-    for d, t in docs.select("doc_id", "text").collect():
-        words = [*plain_words(t), " "]
-        want[d, len(words), sum(c[w] > 0 for w in words), round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words), 5)] += 1
-    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 5)) for r in rows) == want
-    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in rows)
-    assert language_model.score(empty(docs), model).count() == 0
-    blank = language_model.fit(empty(docs), F.lit(True))
-    assert all(math.isfinite(r["score"]) for r in language_model.score(docs, blank).collect())
-
-
-def test_language_model_adds_up_to_one(spark):
-    """Over all known words and one unknown one, the probabilities after a word are 1."""
-    rng = np.random.default_rng(3)
-    docs = spark.createDataFrame([(i, text(rng, 50)) for i in range(80)], "doc_id long, text string")
-    model = language_model.fit(docs, F.lit(True))
-    dense = model.dense_scores
-    known = {int(h) for h in model.dense_words}
-    assert len(known) == 61  # each of the few words is frequent
-    context = np.arange(language_model.CONTEXTS)
-    unknown = model.totals.log10(0.0, 0.0, context, model.totals.parent(0.0, 0.0))
-    assert np.allclose((10**dense).sum(axis=0) + 10**unknown, 1)
+    for i, ws in texts:
+        want[i, len(ws), sum(c[w] > 0 for w in ws), round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 5), round(sum(math.log10(p(code[a], code[b])) for a, b in zip([" start", *ws], ws, strict=False)), 5)] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 5), round(r["score"], 5)) for r in rows) == want
+    assert all(math.isclose(r["perplexity"], 10 ** (-r["score"] / r["n_tokens"]), rel_tol=1e-5, abs_tol=1e-5) for r in rows)
+
+
+def test_language_model_of_nothing(docs):
+    assert language_model.score(language_model.fit(empty(docs), F.lit(True))).count() == 0
+    rows = language_model.score(language_model.fit(docs, F.lit(False))).collect()
+    assert len(rows) == docs.count() and all(math.isclose(r["score"], 0, abs_tol=1e-6) for r in rows)  # one unknown word is all there is
 
 
 def test_stirling_sampler():
@@ -232,10 +259,26 @@ def test_stirling_sampler():
     s = np.exp(language_model.log_stirling(d, 8))
     odds = np.array([s[c, t] * np.prod([rate + step * j for j in range(t)]) for t in range(1, c + 1)])
     want = (odds * np.arange(1, c + 1)).sum() / odds.sum()
-    drawn = language_model.draw_tables(np.random.default_rng(0), np.full(40_000, c), np.full(40_000, rate), language_model.log_stirling(d), step)
+    drawn = language_model.draw_tables(np.random.default_rng(0), np.full(40_000, c), np.full(40_000, rate), language_model.log_stirling(d), step, d)
     assert abs(drawn.mean() - want) < 0.03
-    big = language_model.draw_tables(np.random.default_rng(0), np.array([100_000, 1]), np.array([2.0, 2.0]), language_model.log_stirling(d), 0.0)
-    assert 1 <= big[0] <= 100_000 and big[1] == 1
+    big = language_model.draw_tables(np.random.default_rng(0), np.array([100_000, 1, 0]), np.array([2.0, 2.0, 2.0]), language_model.log_stirling(d), 0.0, d)
+    assert 1 <= big[0] <= 100_000 and big[1] == 1 and big[2] == 0
+
+
+def test_reseating_has_the_same_distribution():
+    """Single customers who change tables reach the distribution that the Stirling numbers give."""
+    d, rate, step, c, m = 0.6, 3.0, 0.05, 40, 4000
+    s = language_model.log_stirling(d, c)
+    odds = s[c, 1 : c + 1] + np.cumsum(np.log(rate + step * np.arange(c)))
+    odds = np.exp(odds - odds.max())
+    want = (odds * np.arange(1, c + 1)).sum() / odds.sum()
+    held = language_model.Tables(np.random.default_rng(1), np.full(m, c), None, np.ones(m, np.int64), d)
+    for i in range(2000):
+        held.reseat(np.full(m, rate), np.full(m, step))
+        if i % 50 == 49:
+            held.compact()
+    assert held.sizes.sum() == m * c and len(held.sizes) == held.tables.sum()
+    assert abs(held.tables.mean() - want) < 0.1
 
 
 def test_audio(docs):
