@@ -34,3 +34,13 @@ def counted(n: int, one: str, two: str, few: str) -> str:
     if n in (1, 2):
         return one if n == 1 else two
     return f"{number_text(int(n))} {few if 3 <= n <= 10 else one}"
+
+
+# Month names for labels.
+MONTHS = ["كانون الثاني", "شباط", "آذار", "نيسان", "أيار", "حزيران", "تموز", "آب", "أيلول", "تشرين الأول", "تشرين الثاني", "كانون الأول"]
+
+
+def period_text(period, grain: str = "month") -> str:
+    """A period as an axis shows it: the day, the day that a week begins with, month and year, or the year."""
+    day = str(period)[:10]
+    return {"month": f"{MONTHS[int(day[5:7]) - 1]} {day[:4]}", "year": day[:4]}.get(grain, day)

@@ -64,9 +64,13 @@ def search_key(c: Column) -> Column:
 
     The whole key is a few passes of built-in functions; as in searches, nothing is NFKC-folded.
     """
-    bare = strip_diacritics(F.regexp_replace(c.cast("string"), INVISIBLE, ""))
+    s = c.cast("string")
+    bare = strip_diacritics(F.regexp_replace(s, INVISIBLE, ""))
     forms = "".join(LETTER_FORMS)
-    return F.lower(squeeze(F.translate(bare, forms + INDIC_DIGITS + EXTENDED_DIGITS + TATWEEL, "".join(LETTER_FORMS.values()) + DIGITS + DIGITS)))
+    full = F.translate(bare, forms + INDIC_DIGITS + EXTENDED_DIGITS + TATWEEL, "".join(LETTER_FORMS.values()) + DIGITS + DIGITS)
+    # one cheap test spares ASCII texts the passes that only concern other letters, and most texts those over blanks
+    whole = F.when(s.rlike("[^\\x00-\\x7f]"), squeeze(full)).when(s.rlike("[\\x00-\\x1f]|  |^ | $"), squeeze(s)).otherwise(s)
+    return F.lower(whole)
 
 
 def match_key(c: Column) -> Column:

@@ -8,8 +8,9 @@ State is written as one immutable folder for each version.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 from .metrics import named
@@ -50,6 +51,36 @@ def normalized_items(items: DataFrame) -> DataFrame:
     return items.select(F.trim(as_text(named(KEY), kinds[KEY])).alias(KEY), *[value(c).alias(c) for c in cols])
 
 
+@dataclass
+class Payload:
+    """What a sender says of a snapshot, and its items."""
+
+    items: DataFrame
+    mode: str
+    declared: int | None
+    synced_at: datetime | None
+    warehouse: str | None
+
+
+def payload(spark: SparkSession, path: str) -> Payload:
+    """A catalog file: a list of objects, or an object with `items` (else its only list of objects) and what the
+    sender declares: mode (full if absent), count, generated_at (UTC where it names no zone). A byte-order mark is skipped."""
+    raw = spark.read.option("multiLine", True).option("primitivesAsString", True).option("encoding", "UTF-8").json(path)
+    if "_corrupt_record" in raw.columns:
+        raise CatalogError("the catalog is broken JSON")
+    kinds = {f.name: f.dataType for f in raw.schema}
+    lists = [c for c, k in kinds.items() if isinstance(k, ArrayType) and isinstance(k.elementType, StructType)]
+    if not lists and KEY in kinds:
+        return Payload(raw, "full", None, None, None)
+    chosen = "items" if "items" in lists else lists[0] if len(lists) == 1 else None
+    if chosen is None:
+        raise CatalogError(f"one list of items is needed, not {len(lists)}")
+    at = F.to_timestamp(F.col("generated_at")) if "generated_at" in kinds else F.lit(None).cast("timestamp")
+    text = lambda c: named(c) if c in kinds else F.lit(None).cast("string")
+    said = raw.select(F.coalesce(F.lower(text("mode")), F.lit("full")), text("count").try_cast("int"), at, text("warehouse_id")).first()
+    return Payload(raw.select(F.explode(named(chosen)).alias("x")).select("x.*"), *said)
+
+
 def problems(items: DataFrame) -> DataFrame:
     """One row that counts what makes a snapshot unacceptable: rows, keys without a value, repeated keys, numbers that are none."""
     key = F.trim(named(KEY).cast("string"))

@@ -1,19 +1,19 @@
 """Cleaning by a declarative recipe: a list of operations that a profile calls for, each a lazy
 DataFrame step that can be switched off. Rows are never deleted for being unusual, only flagged.
 
-What an operation changed is counted by comparing its columns before and after in one aggregation,
-when the log is asked for. Examples name rows by an order column, where the table has one.
+What operations on cells changed is counted with old and new values side by side, one aggregation
+for all of them, when the log is asked for. Examples name rows by an order column, where there is one.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 from .metrics import named
-from .profile import TableProfile, fence, nearest_quantile
+from .profile import TableProfile, fence, quartiles
 
 # The prefix of flag columns, and the bounds within which operations apply.
 FLAG_PREFIX = "_شاذ_"
@@ -68,19 +68,16 @@ def without(ops: list[Operation], disabled: list[str]) -> list[Operation]:
     return [Operation(o.kind, o.columns, o.reason, o.enabled and o.key not in set(disabled)) for o in ops]
 
 
-def _each(df: DataFrame, columns: list[str], fn) -> DataFrame:
-    return df.withColumns({c: fn(named(c).cast("string")) for c in columns if c in df.columns})
-
-
-def parse_dates(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Dates from text; columns that hold dates or timestamps already are cast, not read again."""
-    kinds = dict(df.dtypes)
-    return df.withColumns({c: named(c).cast("date") if kinds[c].startswith(("date", "timestamp")) else T.parse_date(named(c)) for c in columns if c in kinds})
-
-
-def parse_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+def cell_forms(df: DataFrame, op: Operation) -> dict[str, Column]:
+    """What an operation on cells makes of each of its columns; empty for other operations."""
     kinds = dict(df.dtypes)
-    return df.withColumns({c: T.parse_number(named(c)) if kinds[c] == "string" else named(c).cast("double") for c in columns if c in kinds})
+    text = lambda fn: lambda c: fn(named(c).cast("string"))
+    forms = {
+        "trim_whitespace": text(T.strip), "normalize_arabic": text(T.display_form), "normalize_digits": text(T.western_digits),
+        "parse_numbers": lambda c: T.parse_number(named(c)) if kinds[c] == "string" else named(c).cast("double"),
+        "parse_dates": lambda c: named(c).cast("date") if kinds[c].startswith(("date", "timestamp")) else T.parse_date(named(c)),  # dates are cast, not read again
+    }
+    return {c: forms[op.kind](c) for c in op.columns if c in kinds} if op.kind in forms else {}
 
 
 def deduplicate(df: DataFrame, order: str | None = None) -> DataFrame:
@@ -91,24 +88,26 @@ def deduplicate(df: DataFrame, order: str | None = None) -> DataFrame:
     return df.groupBy(*map(named, rest)).agg(F.min(named(order)).alias(order)).select(*map(named, df.columns))
 
 
-def canonical_names(df: DataFrame, column: str, fold: bool = True) -> DataFrame:
-    """value and canonical of every spelling that is not its group's best one.
+def canonical_names(df: DataFrame, columns: list[str], fold: bool = True) -> DataFrame:
+    """column, value, canonical and n (rows) of every spelling that is not its group's best one.
 
-    Spellings with one merge key are a group; the one with the most marked letters wins, then the
-    most frequent, then the first in order. Work grows with the number of spellings.
+    Spellings of a column with one merge key are a group; the one with the most marked letters wins,
+    then the most frequent, then the first in order. One grouping serves all columns.
     """
-    values = df.where(F.length(named(column)) > 0).groupBy(named(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), named(c).cast("string").alias("value")) for c in columns])).alias("x")).select("x.*")
+    values = cells.where(F.length("value") > 0).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     keyed = values.withColumn("key", T.merge_key(F.col("value"), fold))
-    best = keyed.groupBy("key").agg(F.max_by("value", F.struct(T.richness(F.col("value")), "n", F.xxhash64("value"))).alias("canonical"), F.count(F.lit(1)).alias("forms")).where("forms > 1")
-    return keyed.join(best, "key").where("value <> canonical").select("value", "canonical")
+    best = keyed.groupBy("column", "key").agg(F.max_by("value", F.struct(T.richness(F.col("value")), "n", F.xxhash64("value"))).alias("canonical"), F.count(F.lit(1)).alias("forms")).where("forms > 1")
+    return keyed.join(best, ["column", "key"]).where("value <> canonical").select("column", "value", "canonical", "n")
 
 
-def merge_entities(df: DataFrame, columns: list[str], fold: bool = True) -> DataFrame:
-    """Each name in its best spelling."""
-    for c in columns:
-        if c in df.columns:
-            names = canonical_names(df, c, fold).withColumnsRenamed({"value": "__value", "canonical": "__canonical"})
-            df = df.join(names, named(c) == F.col("__value"), "left").withColumn(c, F.coalesce("__canonical", named(c))).drop("__value", "__canonical")
+def merge_entities(df: DataFrame, columns: list[str], fold: bool = True, names: DataFrame | None = None) -> DataFrame:
+    """Each name in its best spelling; names as canonical_names gives them."""
+    held = [c for c in columns if c in df.columns]
+    names = canonical_names(df, held, fold) if names is None and held else names
+    for c in held:
+        own = names.where(F.col("column") == c).select(F.col("value").alias("__value"), F.col("canonical").alias("__canonical"))
+        df = df.join(own, named(c).cast("string") == F.col("__value"), "left").withColumn(c, F.coalesce("__canonical", named(c))).drop("__value", "__canonical")
     return df
 
 
@@ -119,12 +118,13 @@ def flag_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     x = {c: T.parse_number(named(c)) if kinds[c] == "string" else named(c).cast("double") for c in held}
     if not held:
         return df
-    sizes = df.agg(*[F.count(x[c]).alias(str(i)) for i, c in enumerate(held)]).first()
-    quartiles = df.agg(*[nearest_quantile(x[c], max(sizes[i], 1), q).alias(f"{i}_{q}") for i, c in enumerate(held) for q in (0.25, 0.75)]).first()
+    got = df.agg(*[F.count(x[c]).alias(str(i)) for i, c in enumerate(held)]).first()
+    sizes = {c: got[i] for i, c in enumerate(held)}
+    wide = {c: x[c] for c in held if sizes[c] >= LEAST_NUMBERS}
+    found = quartiles(df, wide, {c: sizes[c] for c in wide}) if wide else {}
     out = {}
-    for i, c in enumerate(held):
-        q1, q3 = quartiles[f"{i}_0.25"], quartiles[f"{i}_0.75"]
-        if sizes[i] >= LEAST_NUMBERS and q3 > q1:
+    for c, (q1, q3) in found.items():
+        if q3 > q1:
             lo, hi = fence(q1, q3)
             out[FLAG_PREFIX + c] = F.coalesce((x[c] < lo) | (x[c] > hi), F.lit(False))
     return df.withColumns(out) if out else df
@@ -137,17 +137,12 @@ def flag_columns(columns: list[str]) -> dict[str, str]:
 
 def apply(df: DataFrame, op: Operation, order: str | None = None) -> DataFrame:
     """df after one operation."""
-    steps = {
-        "trim_whitespace": lambda: _each(df, op.columns, T.strip),
-        "normalize_arabic": lambda: _each(df, op.columns, T.display_form),
-        "normalize_digits": lambda: _each(df, op.columns, T.western_digits),
-        "parse_numbers": lambda: parse_numbers(df, op.columns),
-        "parse_dates": lambda: parse_dates(df, op.columns),
-        "deduplicate_rows": lambda: deduplicate(df, order),
-        "fuzzy_entity_merge": lambda: merge_entities(df, op.columns),
-        "flag_outliers": lambda: flag_outliers(df, op.columns),
-    }
-    return steps[op.kind]() if op.enabled else df
+    if not op.enabled:
+        return df
+    if forms := cell_forms(df, op):
+        return df.withColumns(forms)
+    steps = {"deduplicate_rows": lambda: deduplicate(df, order), "fuzzy_entity_merge": lambda: merge_entities(df, op.columns), "flag_outliers": lambda: flag_outliers(df, op.columns)}
+    return steps[op.kind]() if op.kind in steps else df
 
 
 def run(df: DataFrame, ops: list[Operation], order: str | None = None) -> DataFrame:
@@ -157,26 +152,57 @@ def run(df: DataFrame, ops: list[Operation], order: str | None = None) -> DataFr
     return df
 
 
+def cell_changes(df: DataFrame, ops: list[Operation], order: str) -> list[Change]:
+    """What operations on cells change, one after the other: old and new values stand side by side in one
+    row, so one pass counts for all of them, and another finds the examples."""
+    now, cells, out = df, [], []
+    for i, op in enumerate(ops):
+        out.append(Change(op.kind, op.columns))
+        forms = cell_forms(now, op)
+        olds = {f"__{i}_{j}": named(c).cast("string") for j, c in enumerate(forms)}
+        now = now.withColumns(olds).withColumns(forms)
+        for j, (c, form) in enumerate(forms.items()):
+            before, after = F.col(f"__{i}_{j}"), named(c).cast("string")
+            now = now.withColumn(f"__{i}_{j}_new", after)
+            plain = before.try_cast("double").isNotNull() if op.kind == "parse_numbers" else F.lit(False)
+            fresh = F.col(f"__{i}_{j}_new")
+            lost = fresh.isNull() & (F.length(T.strip(before)) > 0)
+            cells.append((i, c, before, fresh, ~before.eqNullSafe(fresh) & fresh.isNotNull() & ~plain, F.coalesce(lost, F.lit(False))))
+    if not cells:
+        return out
+    got = now.agg(*[F.count_if(x[k]).alias(f"{n}_{k}") for n, x in enumerate(cells) for k in (4, 5)]).first()
+    for n, x in enumerate(cells):
+        out[x[0]].cells += got[f"{n}_4"]
+        out[x[0]].failed += got[f"{n}_5"]
+    marked = F.array(*[F.when(differs | lost, F.struct(F.lit(i).alias("op"), named(order).alias("row"), F.lit(c).alias("column"), before.alias("before"), fresh.alias("after"))) for i, c, before, fresh, differs, lost in cells])
+    rows = now.select(F.explode(F.array_compact(marked)).alias("x")).select("x.*")
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("op").orderBy("row", "column"))).where(F.col("place") <= EXAMPLES)
+    for r in first.orderBy("op", "place").collect():
+        out[r["op"]].examples.append({k: r[k] for k in ("row", "column", "before", "after")})
+    return out
+
+
 def log(df: DataFrame, ops: list[Operation], order: str | None = None) -> list[Change]:
-    """What each operation changes, one aggregation for each; with an order column, up to EXAMPLES cells too."""
-    out = []
-    for op in (o for o in ops if o.enabled):
+    """What each operation changes; with an order column, up to EXAMPLES changed cells too."""
+    out: list[Change] = []
+    todo = [o for o in ops if o.enabled]
+    while todo:
+        few = [o for o in todo[: next((i for i, o in enumerate(todo) if not cell_forms(df, o)), len(todo))]]
+        if few:
+            out += cell_changes(df, few, order) if order is not None else [Change(o.kind, o.columns) for o in few]
+            df, todo = run(df, few, order), todo[len(few) :]
+            continue
+        op, todo = todo[0], todo[1:]
         after, change = apply(df, op, order), Change(op.kind, op.columns)
         if op.kind == "deduplicate_rows":
             change.rows = df.count() - after.count()
         elif op.kind == "flag_outliers":
             flags = [FLAG_PREFIX + c for c in op.columns if FLAG_PREFIX + c in after.columns]
             change.rows = sum(after.agg(*[F.count_if(named(f)).alias(f) for f in flags]).first()) if flags else 0
-        elif order is not None:
-            cols = [c for c in op.columns if c in df.columns]
-            old = df.select(named(order).alias("row"), F.array(*[named(c).cast("string") for c in cols]).alias("old"))
-            new = after.select(named(order).alias("row"), F.array(*[named(c).cast("string") for c in cols]).alias("new"))
-            cells = old.join(new, "row").select("row", F.explode(F.arrays_zip("old", "new", F.array(*map(F.lit, cols)).alias("name"))).alias("x")).select("row", F.col("x.name").alias("column"), F.col("x.old").alias("before"), F.col("x.new").alias("after"))
-            lost = F.col("after").isNull() & (F.length(T.strip(F.col("before"))) > 0)
-            plain = F.col("before").try_cast("double").isNotNull() if op.kind == "parse_numbers" else F.lit(False)
-            differs = ~F.col("before").eqNullSafe(F.col("after")) & F.col("after").isNotNull() & ~plain
-            change.cells, change.failed = cells.agg(F.count_if(differs), F.count_if(lost)).first()
-            change.examples = [r.asDict() for r in cells.where(differs | lost).orderBy("row", "column").limit(EXAMPLES).collect()]
+        elif op.kind == "fuzzy_entity_merge" and (held := [c for c in op.columns if c in df.columns]):
+            names = canonical_names(df, held)
+            change.cells = names.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            change.examples = [r.asDict() for r in names.orderBy(F.desc("n"), "column", "value").limit(EXAMPLES).select("column", F.col("value").alias("before"), F.col("canonical").alias("after")).collect()]
         out.append(change)
         df = after
     return out

@@ -80,6 +80,16 @@ def compare_periods(df: DataFrame, measure: str, time: str, first: tuple[str, st
     return out.withColumn("change_pct", F.when(F.col("value_1") != 0, (F.col("value_2") - F.col("value_1")) / F.col("value_1") * 100))
 
 
+def compare_months(df: DataFrame, measure: str, time: str, months: tuple[str, str] | None = None, agg: str = "sum", filters: Iterable[tuple] = ()) -> DataFrame:
+    """month_1, month_2 (yyyy-MM), value_1, value_2 and change_pct (null if value_1 is 0): two named months, or the last two that have rows; no row where there are fewer."""
+    series = timeseries(df, measure, time, "month", agg, filters).select(F.date_format("period", "yyyy-MM").alias("month"), "value")
+    series = series.where(F.col("month").isin(*months)) if months else series.orderBy(F.desc("month")).limit(2)
+    both = series.agg(F.sort_array(F.collect_list(F.struct("month", F.coalesce("value", F.lit(0.0)).alias("value")))).alias("m")).where(F.size("m") == 2)
+    a, b = ((0, 1) if not months or months[0] <= months[1] else (1, 0))
+    out = both.select(F.col("m")[a]["month"].alias("month_1"), F.col("m")[b]["month"].alias("month_2"), F.col("m")[a]["value"].alias("value_1"), F.col("m")[b]["value"].alias("value_2"))
+    return out.withColumn("change_pct", F.when(F.col("value_1") != 0, (F.col("value_2") - F.col("value_1")) / F.col("value_1") * 100))
+
+
 def date_bounds(df: DataFrame, time: str) -> DataFrame:
     return df.agg(F.min(named(time)).alias("first"), F.max(named(time)).alias("last"))
 
@@ -88,25 +98,27 @@ def concentration(df: DataFrame, measure: str, dimension: str, share: float = 0.
     """entities, entities_for_share (how many of the largest make up `share`), top_label, top_value, top_share and total.
 
     Groups are summed where they lie. Ranks and running sums run over one row for each entity; to
-    keep these out of a single task, entities are cut into ranges of value first, and the sums of
-    ranges come before those inside the one range that matters.
+    keep these out of a single task, entities are cut at approximate quantiles, so that all ranges
+    hold about as many, and only the range in which the share is reached is ranked.
     """
     g = df.groupBy(named(dimension).alias("label")).agg(F.coalesce(F.sum(named(measure)), F.lit(0)).cast("double").alias("value"))
-    bounds = g.agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("value").alias("total"), F.count(F.lit(1)).alias("entities"), F.max_by(F.struct("label", "value"), F.struct("value", F.hash("label"))).alias("top"))
-    total = F.when(F.col("total") == 0, 1.0).otherwise(F.col("total"))
-    spans = 256
-    cell = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(spans - 1), F.floor((F.col("hi") - F.col("value")) / (F.col("hi") - F.col("lo")) * spans))).otherwise(0)
-    placed = g.crossJoin(F.broadcast(bounds)).withColumn("cell", cell)
+    spans = 1024
+    bounds = g.agg(F.max("value").alias("hi"), F.sum("value").alias("total"), F.count(F.lit(1)).alias("entities"), F.percentile_approx("value", [i / spans for i in range(1, spans)], 4 * spans).alias("cuts"))
+    whole = F.when(F.col("total") == 0, 1.0).otherwise(F.col("total"))
+    # the number of cuts at or above a value: equal values share a range
+    placed = g.crossJoin(F.broadcast(bounds)).withColumn("cell", F.size(F.filter("cuts", lambda c: c >= F.col("value")))).select("label", "value", "hi", whole.alias("whole"), "cell")
     cells = placed.groupBy("cell").agg(F.sum("value").alias("cell_sum"), F.count(F.lit(1)).alias("cell_n"))
     before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("sum_before", F.coalesce(F.sum("cell_sum").over(before), F.lit(0.0))).withColumn("n_before", F.coalesce(F.sum("cell_n").over(before), F.lit(0)))
+    slack = 1e-9  # sums in another order may differ in their last digits
+    reach = cells.crossJoin(F.broadcast(bounds.select(whole.alias("whole")))).where((F.col("sum_before") + F.col("cell_sum")) / F.col("whole") >= share - slack).agg(F.min(F.struct("cell", "sum_before", "n_before")).alias("x")).select("x.*")
     inside = Window.partitionBy("cell").orderBy(F.desc("value"), F.asc_nulls_last("label")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = placed.join(F.broadcast(cells), "cell").where((F.col("sum_before") + F.col("cell_sum")) / total >= share)
-    at = at.withColumn("reached", (F.col("sum_before") + F.sum("value").over(inside)) / total >= share).withColumn("rank", F.col("n_before") + F.row_number().over(inside))
-    first = at.where("reached").agg(F.min("rank").alias("entities_for_share"))
+    at = placed.join(F.broadcast(reach), "cell").withColumn("reached", (F.col("sum_before") + F.sum("value").over(inside)) / F.col("whole") >= share).withColumn("rank", F.col("n_before") + F.row_number().over(inside))
+    # where rounding moves the end just behind the range, its last entity is the one
+    first = at.agg(F.coalesce(F.min(F.when(F.col("reached"), F.col("rank"))), F.max("rank")).alias("entities_for_share"))
     top_label = placed.where("value = hi").agg(F.min("label").alias("top_label"))
-    out = bounds.crossJoin(first).crossJoin(top_label)
-    return out.select("entities", F.coalesce("entities_for_share", "entities").alias("entities_for_share"), "top_label", F.col("hi").alias("top_value"), (F.col("hi") / total).alias("top_share"), F.col("total").alias("total"))
+    out = bounds.drop("cuts").crossJoin(first).crossJoin(top_label)
+    return out.select("entities", F.coalesce("entities_for_share", "entities").alias("entities_for_share"), "top_label", F.col("hi").alias("top_value"), (F.col("hi") / whole).alias("top_share"), F.col("total"))
 
 
 def histogram(df: DataFrame, measure: str, bins: int = 12) -> DataFrame:

@@ -1,16 +1,17 @@
 """Column profiles: types, statistics and quality issues of all columns from a few wide aggregations.
 
-The first pass counts, for every column at once, blanks and how many values read as numbers, dates
-or booleans, and a grouping of all cells counts distinct values; types follow on the driver. The second computes the
-statistics of the numeric columns, with the exact order statistics nearest to the quartiles, and the
-third counts outliers between the fences. Whole columns are looked at, never samples.
+One pass counts, for every column at once, blanks and how many values read as numbers, dates or
+booleans; a grouping of all cells counts distinct values and finds the most frequent; types follow on
+the driver. Then come the statistics of the numeric columns, the order statistics nearest to the
+quartiles, and a count of outliers between the fences. The number of jobs does not depend on the
+number of columns, but for samples of columns that begin with blanks. Whole columns are looked at.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, DateType, FractionalType, IntegralType, TimestampNTZType, TimestampType
 
 from ..functions import text as T
@@ -19,7 +20,9 @@ from .metrics import named
 # The shares and counts at which a type is accepted or an issue is raised.
 ACCEPT, FEW_VALUES, FEW_SHARE, MIXED_SHARE, IDENTIFIER_ROWS, CONSTANT_ROWS = 0.95, 50, 0.05, 0.3, 10, 10
 SPARSE_PCT, MISSING_PCT, HIJRI_SHARE, OUTLIER_SHARE, FENCE = 80, 5, 0.3, 0.15, 1.5
-TOP_VALUES, SAMPLES = 20, 10
+TOP_VALUES, SAMPLES, HEAD_ROWS = 20, 10, 200
+#: Rows up to which order statistics come from one aggregation; half the width of a bracket around a rank, and what bounds its error.
+AT_ONCE, BRACKET, ACCURACY = 2_000_000, 3e-4, 10_000
 
 
 @dataclass
@@ -87,14 +90,26 @@ def counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.select(*read).agg(*out).crossJoin(unique).select("*", *found).drop("__unique")
 
 
-def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column (its place) and n, the exact number of distinct values that are not blank.
+def value_counts(df: DataFrame, columns: list[str], order: str | None = None) -> DataFrame:
+    """column (its place), value, n and the first place in order of each distinct value that is not blank.
 
     Values are grouped by column and value, so that each row is read once; distinct counts side by
     side in one aggregation would copy every row for every column.
     """
-    cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("column"), named(c).cast("string").alias("value")) for i, c in enumerate(columns)])).alias("x")).select("x.*")
-    return cells.where(~T.is_blank(F.col("value"))).select("column", T.strip(F.col("value")).alias("value")).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    first = named(order) if order else F.lit(0)
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("column"), named(c).cast("string").alias("value"), first.alias("at")) for i, c in enumerate(columns)])).alias("x")).select("x.*")
+    return cells.where(~T.is_blank(F.col("value"))).groupBy("column", T.strip(F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+
+
+def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column (its place) and n, the exact number of distinct values that are not blank."""
+    return value_counts(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+
+
+def top_values(counted: DataFrame, n: int = TOP_VALUES) -> DataFrame:
+    """column, value and n of the most frequent values of each column of value_counts, in order; ties by first appearance, then by value."""
+    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "first", "value"))
+    return counted.withColumn("rank", rank).where(F.col("rank") <= n).orderBy("column", "rank").select("column", "value", "n")
 
 
 def infer_type(kind, got: dict) -> tuple[str, float]:
@@ -127,22 +142,54 @@ def infer_type(kind, got: dict) -> tuple[str, float]:
     return "text", 0.8
 
 
-def nearest_quantile(x: Column, n: int, q: float) -> Column:
-    """The order statistic nearest to quantile q of n values, exactly."""
-    return F.percentile(x, F.lit(round((n - 1) * q) / (n - 1) if n > 1 else 0.0))
+def order_statistics(df: DataFrame, values: dict[str, Column], sizes: dict[str, int], ranks: dict[str, list[int]], at_once: int = AT_ONCE) -> dict[str, list[float]]:
+    """The values of the given ranks (from 0) of each column that has `sizes` values, exactly.
+
+    Up to at_once rows, one aggregation finds them. Beyond, approximate percentiles, whose error in
+    rank is bounded, give a bracket around each rank; the rows below it are counted, and only those
+    inside (some 0.06 % of all) are kept for an exact answer. No task holds a column.
+    """
+    held = [(c, r, f"x{i}") for i, (c, r) in enumerate((c, r) for c in values for r in ranks[c])]
+    if not held:
+        return {c: [] for c in values}
+    share = lambda r, n: min(max(r / (n - 1), 0.0), 1.0) if n > 1 else 0.0
+    if max(sizes.values()) <= at_once:
+        got = df.agg(*[F.percentile(values[c], F.lit(share(r, sizes[c]))).alias(x) for c, r, x in held]).first()
+    else:
+        ends = df.agg(*[F.percentile_approx(values[c], [max(share(r, sizes[c]) - BRACKET, 0.0), min(share(r, sizes[c]) + BRACKET, 1.0)], ACCURACY).alias(x) for c, r, x in held]).first()
+        inside = {x: values[c].between(*ends[x]) for c, _, x in held}
+        n = df.agg(*[F.count_if(values[c] < ends[x][0]).alias(f"b{x}") for c, _, x in held], *[F.count_if(inside[x]).alias(f"n{x}") for _, _, x in held]).first()
+        got = df.agg(*[F.percentile(F.when(inside[x], values[c]), F.lit(share(r - n[f"b{x}"], n[f"n{x}"]))).alias(x) for c, r, x in held]).first()
+    return {c: [got[x] for d, _, x in held if d == c] for c in values}
+
+
+def quartiles(df: DataFrame, values: dict[str, Column], sizes: dict[str, int], at_once: int = AT_ONCE) -> dict[str, tuple[float, float]]:
+    """The order statistics nearest to the quartiles."""
+    ranks = {c: [round((sizes[c] - 1) * q) for q in (0.25, 0.75)] for c in values}
+    return {c: tuple(x) for c, x in order_statistics(df, values, sizes, ranks, at_once).items()}
+
+
+def number_column(df: DataFrame, name: str) -> Column:
+    return named(name).cast("double") if _numeric(df, name) else T.parse_number(F.when(~T.is_blank(named(name)), named(name)))
 
 
-def numeric_stats(df: DataFrame, sizes: dict[str, int], interpolate: bool = False) -> DataFrame:
-    """One row of min, max, mean, median, std, p25 and p75 for each column of `sizes` (its number of values).
+def numeric_stats(df: DataFrame, sizes: dict[str, int], interpolate: bool = False, at_once: int = AT_ONCE) -> DataFrame:
+    """One row of min, max, mean, median, std, p25 and p75 for each column of `sizes` (its number of values, at least one).
 
-    Quartiles are the nearest order statistics, or with interpolate the linear ones.
+    Quartiles are the nearest order statistics, or with interpolate the linear ones; the median is always linear.
     """
-    out = []
-    for i, (name, n) in enumerate(sizes.items()):
-        x = T.parse_number(F.when(~T.is_blank(named(name)), named(name))) if not _numeric(df, name) else named(name).cast("double")
-        q = (lambda p, x=x, n=n: F.percentile(x, F.lit(p))) if interpolate else (lambda p, x=x, n=n: nearest_quantile(x, n, p))
-        out += [F.min(x).alias(f"{i}_min"), F.max(x).alias(f"{i}_max"), F.avg(x).alias(f"{i}_mean"), F.median(x).alias(f"{i}_median"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"{i}_std"), q(0.25).alias(f"{i}_p25"), q(0.75).alias(f"{i}_p75")]
-    return df.agg(*out) if out else df.sparkSession.range(1)
+    if not sizes:
+        return df.sparkSession.range(1)
+    values = {c: number_column(df, c) for c in sizes}
+    at = {c: [(n - 1) * 0.5, *[(n - 1) * q if interpolate else float(round((n - 1) * q)) for q in (0.25, 0.75)]] for c, n in sizes.items()}
+    found = order_statistics(df, values, sizes, {c: [r for x in at[c] for r in (int(x), min(int(x) + 1, sizes[c] - 1))] for c in sizes}, at_once)
+    plain, ranked = [], {}
+    for i, (c, x) in enumerate(values.items()):
+        plain += [F.min(x).alias(f"{i}_min"), F.max(x).alias(f"{i}_max"), F.avg(x).alias(f"{i}_mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"{i}_std")]
+        pairs = zip(at[c], found[c][::2], found[c][1::2], strict=True)
+        ranked |= dict(zip((f"{i}_median", f"{i}_p25", f"{i}_p75"), (F.lit(lo + (hi - lo) * (p - int(p))) for p, lo, hi in pairs), strict=True))
+    order = [f"{i}_{k}" for i in range(len(values)) for k in ("min", "max", "mean", "median", "std", "p25", "p75")]
+    return df.agg(*plain).withColumns(ranked).select(*order)
 
 
 def _numeric(df: DataFrame, name: str) -> bool:
@@ -184,10 +231,16 @@ def profile(df: DataFrame, order: str | None = None) -> TableProfile:
             own.stats = {k.split("_", 1)[1]: v for k, v in stats.items() if k.startswith(f"{i}_")} | {"zeros": next(g for p, g in cols if p is own)["zero"], "negatives": next(g for p, g in cols if p is own)["negative"]}
     fences = {n: fence(p.stats["p25"], p.stats["p75"]) for p, _ in cols if (n := p.name) in numeric and p.stats["p75"] > p.stats["p25"]}
     beyond = df.agg(*[F.count_if(_outside(df, n, lo, hi)).alias(f"o{i}") for i, (n, (lo, hi)) in enumerate(fences.items())]).first() if fences else []
+    tops: dict[int, list] = {}
+    for at, value, n in top_values(value_counts(df, names, order)).collect():
+        tops.setdefault(at, []).append((value, n))
+    head = df.select(*[F.when(~T.is_blank(named(c)), named(c).cast("string")).alias(str(i)) for i, c in enumerate(names)]).limit(HEAD_ROWS).collect()
     for p, got in cols:
         if p.type in ("categorical", "text", "identifier", "boolean"):
-            p.top_values = [tuple(r) for r in value_frequency(df, p.name, order=order).collect()]
-        p.samples = [r[0] for r in df.where(~T.is_blank(named(p.name))).select(named(p.name).cast("string")).limit(SAMPLES).collect()]
+            p.top_values = tops.get(p.position, [])
+        p.samples = [r[p.position] for r in head if r[p.position] is not None][:SAMPLES]
+        if len(p.samples) < min(SAMPLES, p.total - p.nulls):  # a column that begins with blanks
+            p.samples = [r[0] for r in df.where(~T.is_blank(named(p.name))).select(named(p.name).cast("string")).limit(SAMPLES).collect()]
         p.issues = issues(p, got, dict(zip(fences, beyond)).get(p.name, 0))
     doubled = duplicate_rows(df.select(*map(named, names))).first()
     whole = [Issue("duplicate_rows", "warning", None, doubled["duplicates"], round(doubled["duplicates"] / doubled["rows"] * 100, 2))] if doubled["duplicates"] else []

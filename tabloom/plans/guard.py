@@ -7,12 +7,17 @@ functions that reach outside of SQL are refused. Limits are applied on top of th
 
 from __future__ import annotations
 
+import re
 import threading
+import time
 import uuid
+from functools import cache
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.metrics import Evidence
+
 # Limits of a guarded query, and the plan nodes that it may consist of.
 MOST_ROWS, SECONDS = 10_000, 30
 ALLOWED = {"Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "LimitAll", "Offset", "Join", "SubqueryAlias", "UnresolvedWith", "UnresolvedRelation", "Distinct", "OneRowRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedHaving", "WithWindowDefinition", "Window", "UnresolvedOrderBy"}
@@ -24,6 +29,13 @@ class GuardError(ValueError):
     """A statement that may not run."""
 
 
+@cache
+def own_functions() -> frozenset[str]:
+    """The names of Spark's own functions; what a session registered is not among them."""
+    spark = SparkSession.getActiveSession()
+    return frozenset(r[0].lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect())
+
+
 def _list(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
 
@@ -49,7 +61,7 @@ def _check(plan, tables: set[str], set_operations: bool) -> None:
 def _check_expression(e, tables: set[str], set_operations: bool) -> None:
     if e.getClass().getSimpleName() == "UnresolvedFunction":
         name = _list(e.nameParts())[-1].lower()
-        if name in FORBIDDEN_FUNCTIONS:
+        if name in FORBIDDEN_FUNCTIONS or name not in own_functions():
             raise GuardError(f"function {name} is not allowed")
     if hasattr(e, "plan") and e.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
         _check(e.plan(), tables, set_operations)
@@ -67,11 +79,24 @@ def validate(spark: SparkSession, sql: str, tables: set[str] = frozenset({"datas
 
 
 def guarded(df: DataFrame, sql: str, table: str = "dataset", most: int = MOST_ROWS) -> DataFrame:
-    """The result of a guarded query over df, of at most `most` rows."""
+    """The result of a guarded query over df, of at most `most` rows. Views of the session stay as they are."""
     spark = df.sparkSession
     validate(spark, sql, {table})
-    df.createOrReplaceTempView(table)
-    return spark.sql(sql).limit(most)
+    view = f"guarded_{uuid.uuid4().hex}"
+    df.createTempView(view)
+    try:
+        return spark.sql(f"WITH `{table}` AS (SELECT * FROM {view}) SELECT * FROM (\n{sql}\n)").limit(most)
+    finally:
+        spark.catalog.dropTempView(view)
+
+
+def answered(df: DataFrame, sql: str, table: str = "dataset", most: int = MOST_ROWS, seconds: float = SECONDS) -> tuple[list, Evidence]:
+    """The rows of a guarded query, with what they rest on: the query, the columns that it reads, and how many rows the table has."""
+    began = time.monotonic()
+    rows = collect_within(guarded(df, sql, table, most), seconds)
+    words = {w.lower() for w in re.findall(r"`[^`]+`|[^\W\d]\w*", sql)}
+    read = [c for c in df.columns if {c.lower(), f"`{c.lower()}`"} & words]
+    return rows, Evidence(sql, read, [], len(rows), df.count(), time.monotonic() - began)
 
 
 def collect_within(df: DataFrame, seconds: float = SECONDS) -> list:

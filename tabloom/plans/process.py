@@ -31,6 +31,21 @@ class Run:
         return json.loads(json.dumps({k: asdict(v) if not isinstance(v, list) else [asdict(x) for x in v] for k, v in vars(self).items() if k != "table"}, default=str, ensure_ascii=False))
 
 
+def save_run(run: Run, out: str) -> None:
+    """The run's artifacts beside its table, as one JSON text."""
+    spark = run.table.sparkSession
+    spark.createDataFrame([(json.dumps(run.artifacts(), ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}.run")
+
+
+def load_run(spark: SparkSession, out: str) -> Run:
+    """A saved run: its table, and its artifacts as they were."""
+    got = json.loads(spark.read.option("wholetext", True).text(f"{out}.run").first()[0])
+    columns = [profile.ColumnProfile(**c | {"top_values": [tuple(x) for x in c["top_values"]], "issues": [profile.Issue(**i) for i in c["issues"]]}) for c in got["profile"]["columns"]]
+    found = profile.TableProfile(got["profile"]["rows"], got["profile"]["duplicates"], columns, [profile.Issue(**i) for i in got["profile"]["issues"]])
+    schema = meaning.Schema([meaning.Meaning(**c) for c in got["schema"]["columns"]], got["schema"]["domain"], meaning.Currency(**got["schema"]["currency"]))
+    return Run(spark.read.parquet(out), FileInfo(**got["info"]), found, schema, [clean.Operation(**x) for x in got["recipe"]], [clean.Change(**x) for x in got["changes"]], [insights.Insight(**x) for x in got["insights"]])
+
+
 def merged_columns(df: DataFrame) -> DataFrame:
     """df with columns of one meaning, which never have a value in the same row, as one."""
     first: dict[str, str] = {}
@@ -71,7 +86,9 @@ def process(spark: SparkSession, path: str, out: str, overrides: dict[str, dict]
     df.unpersist()
     table = spark.read.parquet(out)
     on_progress("insights")
-    return Run(table, info, found, schema, recipe, changes, insights.generate(table, schema, found))
+    run = Run(table, info, found, schema, recipe, changes, insights.generate(table, schema, found))
+    save_run(run, out)
+    return run
 
 
 def dashboard(run: Run) -> dict:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -32,3 +33,11 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     for k, v in {"spark.sql.shuffle.partitions": partitions, "spark.sql.session.timeZone": "UTC", "spark.driver.memory": memory, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir); on one machine, in a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(named or tempfile.mkdtemp(prefix='tabloom-')).rstrip('/')}/{label}-{uuid.uuid4().hex}"
