@@ -1,4 +1,9 @@
-"""A training corpus from raw documents: five stages, each written as Parquet and read again by the next."""
+"""A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
+
+Defined results: null and empty texts, and texts without letters, have no language and go with the
+second stage; rows equal in id and text are one after the third; a null id or source is kept as such;
+columns of any other name pass through; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabloom.llm import langid, mixing, neardup, packing, toxicity
-from tabloom.llm._common import shared_dir
-from tabloom.llm.queries import BPE, BPE_RANKS, TOXIC_FROM, not_fold
+from tabloom.llm._common import free_name, shared_dir
+from tabloom.llm.queries import BPE, TOXIC_FROM, not_fold
 
 LANGUAGE_FROM = 0.5
 #: SQL cannot express the learned stages; tests hold the stages against brute force instead.
@@ -18,14 +23,15 @@ ORACLE_SQL = None
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs that are not predicted to be toxic; labels teach, and never decide."""
     index = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), not_fold(4, 2))
-    return toxicity.scored_documents(docs, index, "toxic_score__kept").where(F.col("toxic_score__kept") < TOXIC_FROM).drop("toxic_score__kept")
+    name = free_name(docs, "toxic_score")
+    return toxicity.scored_documents(docs, index, name).where(F.col(name) < TOXIC_FROM).drop(name)
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs whose language is known with some certainty."""
     model = langid.fit(docs, not_fold(4, 2))
-    out = langid.identified_documents(docs, model, "lang_pred__kept", "lang_score__kept")
-    return out.where((F.col("lang_pred__kept") != "und") & (F.col("lang_score__kept") >= LANGUAGE_FROM)).drop("lang_pred__kept", "lang_score__kept")
+    pred, sure = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
+    return langid.identified_documents(docs, model, pred, sure).where((F.col(pred) != "und") & (F.col(sure) >= LANGUAGE_FROM)).drop(pred, sure)
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +46,7 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 2048 tokens."""
-    return packing.pack(packing.token_pieces(docs, BPE, BPE_RANKS, capacity=2048), capacity=2048)
+    return packing.pack(packing.token_pieces(docs, BPE, capacity=2048), capacity=2048)
 
 
 STAGES = [

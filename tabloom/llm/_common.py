@@ -9,7 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Text bytes that a Python worker looks at together (one longer text is still handled whole).
 CHUNK_BYTES = 3 << 20
@@ -20,16 +20,40 @@ WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share; a temporary one only on a single machine whose session names none."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tabloom-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores after it until df has no such column in any case of letters."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def smallest(df: DataFrame, group: str, order: str, k: int) -> DataFrame:
+    """group and end: the k-th smallest distinct value of `order`, a 64-bit hash, in each group (the largest where there are fewer).
+
+    Values are counted by range first (4096 of equal width), so that only the range of a group in
+    which its k-th value lies is ranked, and no group is sorted in one task.
+    """
+    slim = df.select(group, order, F.shiftright(order, 52).alias("range")).distinct()
+    ranges = slim.groupBy(group, "range").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(group).orderBy("range"))
+    ranges = ranges.withColumn("before", upto - F.col("n")).where(F.col("before") < k)
+    last = ranges.groupBy(group).agg(F.max(F.struct("range", "before")).alias("x")).select(group, F.col("x.range").alias("range"), F.col("x.before").alias("before"))
+    inside = slim.join(last, [group, "range"]).withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy(group).orderBy(order)))
+    return inside.where(F.col("place") <= k).groupBy(group).agg(F.max(order).alias("end"))
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again: the lineage ends there, and a lost
     executor costs no recomputation of what came before."""

@@ -6,8 +6,8 @@ and letters in turn. A text's language is the one with the largest sum; the scor
 under a softmax of the mean evidence, counted as at most EVIDENCE words.
 
 The model is fitted on a documented, bounded sample: for each language, the `per_language`
-labelled texts with the smallest hash of the text (distinct texts only), and of these the
-`max_entries` most frequent entries of each kind. It is collected and broadcast within that bound.
+labelled texts with the smallest hash of the text (distinct texts only), with all words and n-grams
+of them. It is collected and broadcast within that bound; an entry holds the languages that have it only.
 
 Defined results: a null text or one without a letter is 'und' with score 0; rows with a null
 language teach nothing; with nothing to learn from every text is 'und'; equal texts get equal
@@ -23,9 +23,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import arrow_schema, batch_of, fold_of, hash_words, mixed, pieces_of, spaced, staged, texts_of
+from ._common import arrow_schema, batch_of, fold_of, hash_words, mixed, pieces_of, smallest, spaced, staged, texts_of
 
 GRAMS = (4, 3, 2, 1)
 EVIDENCE = 24
@@ -67,43 +67,51 @@ def grams_of(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Log frequencies [entries, languages] of words (kind 0) and n-grams (kind n), by sorted code."""
+    """Log frequencies of words (kind 0) and n-grams (kind n) by sorted code: of each entry, only the languages that have it.
+
+    floor: the log frequency, by kind and language, of what the language does not have.
+    """
 
     def __init__(self, counts: pd.DataFrame):
         self.langs = sorted(counts["lang"].unique())
-        place = pd.Categorical(counts["lang"], categories=self.langs).codes
-        self.codes, self.rows = {}, {}
+        lang = pd.Categorical(counts["lang"], categories=self.langs).codes
+        self.codes, self.start, self.lang, self.over, self.floor = {}, {}, {}, {}, {}
         for kind in (0, *GRAMS):
-            own = (counts["kind"] == kind).to_numpy()
-            entry = counts["entry"].to_numpy(np.int64)[own]
-            codes = np.unique(entry)
-            table = np.full((len(codes), len(self.langs)), SMOOTH)
-            table[np.searchsorted(codes, entry), place[own]] += counts["n"].to_numpy()[own]
-            self.codes[kind], self.rows[kind] = codes, np.log(table / table.sum(axis=0)) if len(codes) else table
-
-    def find(self, kind: int, codes: np.ndarray) -> np.ndarray:
-        """The row of each code, -1 where the model has none."""
-        known = self.codes[kind]
-        if not len(known):
-            return np.full(len(codes), -1)
+            own = np.flatnonzero((counts["kind"] == kind).to_numpy())
+            entry, n = counts["entry"].to_numpy(np.int64)[own], counts["n"].to_numpy(np.float64)[own]
+            own = own[np.lexsort((lang[own], entry))]
+            entry, n = counts["entry"].to_numpy(np.int64)[own], counts["n"].to_numpy(np.float64)[own]
+            self.codes[kind], first = np.unique(entry, return_index=True)
+            self.start[kind] = np.append(first, len(entry)).astype(np.int32)
+            self.lang[kind] = lang[own].astype(np.int16)
+            self.over[kind] = np.log1p(n / SMOOTH).astype(np.float32)
+            all_n = np.bincount(lang[own], n, len(self.langs)) + SMOOTH * len(self.codes[kind])
+            self.floor[kind] = np.log(SMOOTH / np.maximum(all_n, SMOOTH))
+
+    def sums(self, kind: int, codes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """[owners, languages] sums of the log frequencies of the codes that the model has, and how many these are."""
+        known, m = self.codes[kind], len(self.langs)
+        if not len(known) or not len(codes):
+            return np.zeros((n, m)), np.zeros(n, np.int64)
         at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-        return np.where(known[at] == codes, at, -1)
+        hit = known[at] == codes
+        at, owner = at[hit], owner[hit]
+        found = np.bincount(owner, minlength=n)
+        first, size = self.start[kind][at], self.start[kind][at + 1] - self.start[kind][at]
+        cell = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first, size)
+        over = np.bincount(np.repeat(owner * m, size) + self.lang[kind][cell], self.over[kind][cell], n * m).reshape(n, m)
+        return over + found[:, None] * self.floor[kind], found
 
     def score(self, words: pa.Array) -> np.ndarray:
-        """[words, languages]: each word's log frequency, words first, then 4-grams down to letters."""
-        out = np.zeros((len(words), len(self.langs)))
-        row = self.find(0, hash_words(words).astype(np.int64))
-        out[row >= 0] = self.rows[0][row[row >= 0]]
-        left = np.flatnonzero(row < 0)
+        """[words, languages]: each word's log frequency, words first, then the mean of 4-grams down to letters."""
+        out, found = self.sums(0, hash_words(words).astype(np.int64), np.arange(len(words)), len(words))
+        left = np.flatnonzero(found == 0)
         for n in GRAMS:
             if not len(left):
                 break
             codes, owner = grams_of(words.take(pa.array(left)).to_pylist(), n)
-            row = self.find(n, codes)
-            row, owner = row[row >= 0], owner[row >= 0]
-            found = np.bincount(owner, minlength=len(left))
-            for j in range(len(self.langs)):
-                out[left, j] += np.bincount(owner, self.rows[n][row, j], len(left)) / np.maximum(found, 1)
+            sums, found = self.sums(n, codes, owner, len(left))
+            out[left] = sums / np.maximum(found, 1)[:, None]
             left = left[found == 0]
         return out
 
@@ -111,14 +119,12 @@ class Model:
 def sample_of(docs: DataFrame, may_teach: Column, per_language: int) -> DataFrame:
     """lang and text of the sample; the rank is found on hashes alone, so no text is shuffled for it."""
     taught = docs.where(may_teach & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("order"))
-    slim = staged(taught.select("lang", "order").distinct(), "lang-orders")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
-    ends = slim.withColumn("rank", rank).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("order").alias("end"))
+    ends = staged(smallest(taught, "lang", "order", per_language), "lang-ends")
     ends = F.broadcast(ends) if ends.count() <= BROADCAST_LANGUAGES else ends
     return taught.join(ends, "lang").where("order <= end").dropDuplicates(["lang", "order"]).select("lang", "text")
 
 
-def fit(docs: DataFrame, may_teach: Column | None = None, per_language=1500, max_entries=40_000) -> Model:
+def fit(docs: DataFrame, may_teach: Column | None = None, per_language=1500) -> Model:
     """A model from docs (text, lang); may_teach says which rows may be learned from."""
     schema = arrow_schema(COUNTS)
 
@@ -141,18 +147,16 @@ def fit(docs: DataFrame, may_teach: Column | None = None, per_language=1500, max
 
     docs = docs.select("lang", "text", F.coalesce(F.lit(True) if may_teach is None else may_teach, F.lit(False)).alias("teaches"))
     counts = texts_of(sample_of(docs, F.col("teaches"), per_language), "*").mapInArrow(count, COUNTS).groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n"))
-    counts = counts.where("n > 1 or kind > 0")
-    rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "entry"))
-    return Model(counts.withColumn("rank", rank).where(F.col("rank") <= max_entries).drop("rank").toArrow().to_pandas())
+    return Model(counts.toArrow().to_pandas())
 
 
 def identify(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, lang_pred and score of every row."""
     ddl = "doc_id bigint, lang_pred string, score double"
-    return texts_of(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(predictor(model, docs, ddl, False), ddl)
+    return texts_of(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(predictor(model, docs, False), ddl)
 
 
-def predictor(model: Model, docs: DataFrame, ddl: str, whole: bool):
+def predictor(model: Model, docs: DataFrame, whole: bool, names_out: tuple[str, str] = ("lang_pred", "score")):
     """The function for mapInArrow; whole: rows keep all their columns, and the two results follow."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -172,16 +176,15 @@ def predictor(model: Model, docs: DataFrame, ddl: str, whole: bool):
                     odds = np.exp((mean - mean.max(axis=1, keepdims=True)) * np.minimum(n, EVIDENCE)[:, None])
                     best, share = np.where(n > 0, top, best), np.where(n > 0, np.round(1 / odds.sum(axis=1), 6), 0.0)
                 keep = part.columns if whole else [part.column(0)]
-                fields = [*(part.schema if whole else [pa.field("doc_id", pa.int64())]), pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]
+                fields = [*(part.schema if whole else [pa.field("doc_id", pa.int64())]), pa.field(names_out[0], pa.string()), pa.field(names_out[1], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*keep, names.take(pa.array(best)), pa.array(share)], schema=pa.schema(fields))
 
     return run
 
 
 def identified_documents(docs: DataFrame, model: Model, pred="lang_pred", score="lang_score") -> DataFrame:
-    """docs with two columns more."""
-    out = docs.select("*").schema.add("lang_pred__", "string").add("lang_score__", "double")
-    return texts_of(docs, "*").mapInArrow(predictor(model, docs, "", True), out).withColumnsRenamed({"lang_pred__": pred, "lang_score__": score})
+    """docs with two columns more; their names must be free."""
+    return texts_of(docs, "*").mapInArrow(predictor(model, docs, True, (pred, score)), docs.select("*").schema.add(pred, "string").add(score, "double"))
 
 
 def held_out(doc_id: Column, folds=4, fold=2) -> Column:

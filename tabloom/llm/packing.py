@@ -1,13 +1,16 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
-Each partition packs its own pieces by best fit decreasing. Bins that are nearly full are done;
-the others become items of a level above, where the bins of `fan_in` neighbours meet, are packed
-by best fit again, and so on up a tree. A piece finds its place through the chain of bins that
-its own bin went into. What climbs is a bin's number and fill, never text or ids.
-
-Bounds: a level hands on at most `carry` bins of a node, the emptiest first, as those are the ones
-that can still merge; others are done as they are (rows are never dropped, a bin is only left less
-full). Pieces longer than the capacity do not occur: documents are cut before.
+Each partition packs its own pieces by best fit decreasing, up to LEAF of them at a time (a piece is
+a few numbers, so a partition fits). Bins that are nearly full are done; the others become items of
+a level above, where the bins of `fan_in` neighbours meet, are packed by best fit again, and so on up
+a tree. A node of over NODE bins is dealt by hash over several tasks, so that none grows without
+bound and no bin is left out. A piece finds its place through the chain of bins that its own bin
+went into. What climbs is a bin's number and fill, never text or ids. Pieces longer than the
+capacity do not occur: documents are cut before.
+
+Ids come from `tokenizers` alone. No token of this pre-tokeniser reaches over a blank that follows a
+character which is no white space, so a text is cut there, and each different cut is encoded once
+and remembered by the worker (up to MEMORY cuts); tests hold this against whole texts.
 
 Defined results: a null or empty text is the single end token; rows with equal or null ids are
 packed as separate rows; an empty table gives an empty result; other columns do not matter.
@@ -16,70 +19,103 @@ packed as separate rows; an empty table gives an empty result; other columns do
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ._common import arrow_schema, batch_of, pieces_of, staged, texts_of
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-#: Texts made of these characters only go through the faster of the two equal tokenizers. Tests
-#: hold the two against each other over all of these characters.
-PLAIN = re.compile("[\\x00-\\u024f\\u2010-\\u2027\\u20ac]*")
-_ENCODERS: dict[tuple, object] = {}
+#: Cuts, and ids of cuts, that a worker remembers before it starts anew.
+MEMORY, MEMORY_IDS = 300_000, 3_000_000
+LEAF, NODE = 1_000_000, 200_000
+#: White space as the pre-tokeniser knows it.
+BLANK = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str, ranks_path: str | None):
-    """A function from texts to lists of token ids, made once for each worker process.
+class Encoder:
+    """Ids of texts, with a memory of the ids of their cuts."""
 
-    path: the vocabulary in the format of `tokenizers`; ranks_path: the same vocabulary as ranks,
-    for which tiktoken gives the same ids several times faster. Texts with characters for which
-    the equality was not tested, or with the text of a special token, take the first.
-    """
-    if (path, ranks_path) not in _ENCODERS:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        exact = Tokenizer.from_file(path)
-        fast = None
-        if ranks_path:
-            import base64
-
-            import public_tokenizers
-            import tiktoken
-
-            with open(ranks_path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        special = [t.content for t in exact.get_added_tokens_decoder().values()]
-
-        def encode(text: str) -> np.ndarray:
-            if fast is not None and PLAIN.fullmatch(text) and not any(s in text for s in special):
-                return np.array(fast.encode_ordinary(text), np.uint32)
-            return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
-
-        _ENCODERS[path, ranks_path] = encode
-    return _ENCODERS[path, ranks_path]
-
-
-def token_pieces(docs: DataFrame, path: str, ranks_path: str | None = None, capacity=2048, end_id=0, id_col="doc_id", text_col="text") -> DataFrame:
+        self.exact = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.ends = [], [0]
+
+    def places(self, cuts: list[str]) -> np.ndarray:
+        new = list(dict.fromkeys(c for c in cuts if c not in self.place))
+        for c, e in zip(new, self.exact.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.place[c] = len(self.ends) - 1
+            self.flat.extend(e.ids)
+            self.ends.append(len(self.flat))
+        return np.fromiter(map(self.place.__getitem__, cuts), np.int64, len(cuts))
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        if len(self.ends) > MEMORY or len(self.flat) > MEMORY_IDS:
+            self.forget()
+        lists = pc.split_pattern(texts, " ")
+        coded = lists.flatten().dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
+        open_end = np.array([not w or w[-1] in BLANK for w in words], bool)[codes]
+        open_end[offsets[1:] - 1] = False  # the end of a text is an end
+        whole = [[t] if any(x in t for x in self.special) else None for t in texts.to_pylist()] if any(pc.any(pc.match_substring(texts, x)).as_py() for x in self.special) else [None] * len(texts)
+        odd = np.flatnonzero((np.bincount(np.repeat(np.arange(len(texts)), np.diff(offsets)), open_end, len(texts)) > 0) | np.array([x is not None for x in whole], bool))
+        after = self.places([" " + w for w in words])
+        at = after[codes]
+        first = codes[offsets[:-1]]
+        at[offsets[:-1]] = self.places([words[i] for i in first])
+        own = {}
+        for i in odd:
+            cuts = whole[i]
+            if cuts is None:
+                cuts = []
+                for j in range(offsets[i], offsets[i + 1]):
+                    piece = words[codes[j]] if j == offsets[i] else " " + words[codes[j]]
+                    if cuts and open_end[j - 1]:
+                        cuts[-1] += piece
+                    else:
+                        cuts.append(piece)
+            own[int(i)] = self.places(cuts)
+        flat, ends = np.array(self.flat, np.uint32), np.array(self.ends, np.int64)
+        size = ends[at + 1] - ends[at]
+        stops = np.concatenate([[0], np.cumsum(size)])
+        ids = flat[np.arange(stops[-1]) - np.repeat(stops[:-1] - ends[at], size)]
+        out = np.split(ids, stops[offsets[1:-1]]) if len(texts) else []
+        for i, x in own.items():
+            out[i] = np.concatenate([flat[ends[j] : ends[j + 1]] for j in x])
+        return out
+
+
+def token_pieces(docs: DataFrame, path: str, capacity=2048, end_id=0, id_col="doc_id", text_col="text") -> DataFrame:
     """The pieces of each document: ids and one end id, cut only where longer than the capacity;
     the first piece takes what the full ones leave."""
     schema = arrow_schema(PIECES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, ranks_path)
+        if path not in _ENCODERS:
+            _ENCODERS[path] = Encoder(path)
+        encode = _ENCODERS[path]
         for batch in batches:
             for part, texts in pieces_of(batch, "text"):
                 out = []
-                for doc_id, text in zip(part.column(0).to_pylist(), texts.to_pylist(), strict=True):
-                    ids = np.append(encode(text), np.uint32(end_id)).astype("<u4")
+                for doc_id, own in zip(part.column(0).to_pylist(), encode(texts), strict=True):
+                    ids = np.append(own, np.uint32(end_id)).astype("<u4")
                     first = (len(ids) - 1) % capacity + 1
                     starts = [0, *range(first, len(ids), capacity)]
                     for piece, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
@@ -114,33 +150,41 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return where, offset, np.array(fill, np.int64)
 
 
-def merger(mark: int, capacity: int, slack: int, carry: int):
-    """A function that packs the bins which meet in a node of the tree; mark keeps the levels' bin numbers apart."""
+def merger(mark: int, capacity: int, slack: int):
+    """A function that packs the bins which meet in a part of a node of the tree; mark keeps the levels' bin numbers apart."""
 
     def merge(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["fill", "item"], kind="stable").reset_index(drop=True)
         where, offset, fill = best_fit(frame["fill"].to_numpy(np.int64), capacity)
-        node = int(key[0])
-        climbs = np.zeros(len(fill), bool)
-        climbs[np.argsort(fill, kind="stable")[:carry]] = True
-        climbs &= fill < capacity - slack
-        return pd.DataFrame({"item": frame["item"], "node": node, "parent": mark + (node << 32) + where, "shift": offset, "fill": fill[where], "climbs": climbs[where]})
+        node, part = map(int, key)
+        return pd.DataFrame({"item": frame["item"], "node": node, "parent": mark + (node << 36) + (part << 22) + where, "shift": offset, "fill": fill[where], "climbs": (fill < capacity - slack)[where]})
 
     return merge
 
 
-def pack(pieces: DataFrame, capacity=2048, slack=8, fan_in=8, carry=200_000, label="pack") -> DataFrame:
+def pack(pieces: DataFrame, capacity=2048, slack=8, fan_in=8, leaf_size=LEAF, node_size=NODE, label="pack") -> DataFrame:
     """pieces (any columns, with length) plus sequence_id and offset."""
     spark = pieces.sparkSession
     names = [n for n in pieces.columns]
     local = spark.createDataFrame([], pieces.schema).selectExpr("*", "0L AS pack_bin", "0L AS pack_offset", "0L AS pack_fill").schema
 
     def leaf(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, base = TaskContext.get().partitionId(), 0
-        for frame in frames:
+        number, base, held = TaskContext.get().partitionId(), 0, []
+
+        def placed() -> pd.DataFrame:
+            nonlocal base
+            frame = pd.concat(held, ignore_index=True)
             where, offset, fill = best_fit(frame["length"].to_numpy(np.int64), capacity)
-            yield frame.assign(pack_bin=(number << 40) + base + where, pack_offset=offset, pack_fill=fill[where])
             base += len(fill)
+            return frame.assign(pack_bin=(number << 40) + base - len(fill) + where, pack_offset=offset, pack_fill=fill[where])
+
+        for frame in frames:
+            held.append(frame)
+            if sum(map(len, held)) >= leaf_size:
+                yield placed()
+                held = []
+        if held:
+            yield placed()
 
     placed = staged(pieces.mapInPandas(leaf, local), f"{label}-leaves")
     bins = placed.where(F.col("pack_fill") < capacity - slack).groupBy(F.col("pack_bin").alias("item")).agg(F.first("pack_fill").alias("fill"))
@@ -149,7 +193,9 @@ def pack(pieces: DataFrame, capacity=2048, slack=8, fan_in=8, carry=200_000, lab
     while True:
         level += 1
         bins = bins.withColumn("node", F.floor(F.col("node") / fan_in).cast("long"))
-        merged = staged(bins.groupBy("node").applyInPandas(merger(1 << 62 | level << 56, capacity, slack, carry), "item long, node long, parent long, shift long, fill long, climbs boolean"), f"{label}-level")
+        parts = bins.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / node_size).alias("parts"))
+        dealt = bins.join(parts, "node").withColumn("part", F.pmod(F.xxhash64("item"), "parts"))
+        merged = staged(dealt.groupBy("node", "part").applyInPandas(merger(1 << 62 | level << 56, capacity, slack), "item long, node long, parent long, shift long, fill long, climbs boolean"), f"{label}-level")
         moved = merged.select("item", "parent", "shift")
         if chains is None:
             chains = moved.select("item", F.col("parent").alias("top"), F.col("shift").alias("total"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import ann, langid, language_model, media, mixing, neardup, packing, sharding, token_counts, toxicity
 from ._common import fold_of, shared_dir
 
-BPE, BPE_RANKS, PIECES = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
+BPE, PIECES = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 TOXIC_FROM = 0.3
 
 
@@ -88,7 +88,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), BPE, BPE_RANKS, capacity=2048), capacity=2048)
+    return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), BPE, capacity=2048), capacity=2048)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

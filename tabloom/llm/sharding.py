@@ -9,11 +9,11 @@ if its version exists, so of two writers one commits and the other must retry. F
 manifest lists are invisible, whether from a lost task, a failed job or an outdated version.
 
 A manifest holds a row for each file (path, bytes, rows, born), as Parquet; planning is a window
-over those rows. Each merged file is written by one task from at most target_bytes of input; rows
-are dealt to the files of a merge by hash, so equal rows share a file and a merge of many equal rows
-can exceed the target in one file; nothing is dropped. All columns are kept as they are, nulls and
-repeated rows too, and an empty append commits a version without files. The two columns that name
-a group and a file within it are called __merge and __part; a table that has such columns is refused.
+over those rows. Rows are dealt to the files of a merge in turn, by their number in the merge, whatever
+they hold; the files of a round are numbered, and each is one task that gets the rows of its number
+alone, so a task reads about target_bytes. All columns are kept as they are, of any type and name,
+nulls and repeated rows too, and an empty append commits a version without files. The paths of the
+files to read pass through the driver, as in Spark's own list of files.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
+from ._common import free_name
+
 MANIFEST = "path string, bytes long, rows long, born long"
 #: Up to so many planned files, the plan is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_FILES = 20_000
@@ -82,14 +84,13 @@ def entries_of(spark: SparkSession, schema: StructType, folder: str, born: int)
 def append_each(arrivals: DataFrame, root: str, batch: Column, values: Iterable[int], between: Callable[[], object] = lambda: None) -> list[int]:
     """Write arrivals once, in a folder for each value of batch, and commit the folders of `values` one by
     one; `between` runs after each commit. The new versions. Rows of other values are in none of them."""
-    if {"__merge", "__part"} & set(arrivals.columns):
-        raise ValueError("columns __merge and __part are not allowed")
     spark, out = arrivals.sparkSession, []
     folder = f"{root}/data/{uuid.uuid4().hex}"
-    arrivals.withColumn("__part", batch).write.partitionBy("__part").option("compression", "zstd").parquet(folder)
+    name = free_name(arrivals, "arrival")
+    arrivals.withColumn(name, batch).write.partitionBy(name).option("compression", "zstd").parquet(folder)
     for value in values:
         version = (versions(spark, root) or [0])[-1] + 1
-        commit(manifest(spark, root).unionByName(entries_of(spark, arrivals.schema, f"{folder}/__part={value}", version)), root, version)
+        commit(manifest(spark, root).unionByName(entries_of(spark, arrivals.schema, f"{folder}/{name}={value}", version)), root, version)
         out.append(version)
         between()
     return out
@@ -97,19 +98,19 @@ def append_each(arrivals: DataFrame, root: str, batch: Column, values: Iterable[
 
 def append(arrivals: DataFrame, root: str, batch: Column | None = None) -> int:
     """Write arrivals as small shards (with batch: a folder of shards for each of its values) and commit; the new version."""
-    if {"__merge", "__part"} & set(arrivals.columns):
-        raise ValueError("columns __merge and __part are not allowed")
     spark = arrivals.sparkSession
     version = (versions(spark, root) or [0])[-1] + 1
     folder = f"{root}/data/{uuid.uuid4().hex}"
-    rows = arrivals if batch is None else arrivals.withColumn("__part", batch)
-    (rows.write if batch is None else rows.write.partitionBy("__part")).option("compression", "zstd").parquet(folder)
+    name = free_name(arrivals, "arrival")
+    rows = arrivals if batch is None else arrivals.withColumn(name, batch)
+    (rows.write if batch is None else rows.write.partitionBy(name)).option("compression", "zstd").parquet(folder)
     commit(manifest(spark, root).unionByName(entries_of(spark, arrivals.schema, folder, version)), root, version)
     return version
 
 
 def plan(entries: DataFrame, target_bytes: int, fan_in: int, least: int) -> DataFrame:
-    """path, __merge (number of the group) and parts (files to write) of the files to merge now.
+    """Of each file to merge now: path, before (rows of its group's earlier files), parts (files that its group
+    becomes) and first (the number of the first of them among all).
 
     Files below half the target are in tiers by size; in each, every fan_in of them in order of
     arrival are a group. With least < fan_in, the rest of a tier is a group as well if it has so many.
@@ -119,8 +120,12 @@ def plan(entries: DataFrame, target_bytes: int, fan_in: int, least: int) -> Data
     place = F.row_number().over(Window.partitionBy("tier").orderBy("born", "path"))
     groups = small.withColumn("group", F.floor((place - 1) / fan_in))
     whole = Window.partitionBy("tier", "group")
-    groups = groups.withColumn("members", F.count(F.lit(1)).over(whole)).withColumn("size", F.sum("bytes").over(whole)).where(F.col("members") >= least)
-    return groups.select("path", F.xxhash64("tier", "group").alias("__merge"), F.greatest(F.lit(1), F.round(F.col("size") / target_bytes)).cast("int").alias("parts"))
+    earlier = whole.orderBy("born", "path").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("members", F.count(F.lit(1)).over(whole)).withColumn("size", F.sum("bytes").over(whole)).withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).where(F.col("members") >= least)
+    groups = groups.withColumn("parts", F.greatest(F.lit(1), F.round(F.col("size") / target_bytes)).cast("int"))
+    sizes = groups.groupBy("tier", "group").agg(F.first("parts").alias("n"))
+    sizes = sizes.withColumn("first", F.sum("n").over(Window.orderBy("tier", "group")) - F.col("n"))
+    return groups.join(sizes, ["tier", "group"]).select("path", "before", "parts", "first")
 
 
 def compact(spark: SparkSession, schema: StructType, root: str, target_bytes: int = 512 << 20, fan_in: int = 8, least: int | None = None) -> int | None:
@@ -137,11 +142,10 @@ def compact(spark: SparkSession, schema: StructType, root: str, target_bytes: in
     version, folder = known[-1] + 1, f"{root}/data/{uuid.uuid4().hex}"
     wanted = F.broadcast(todo) if len(paths) <= BROADCAST_FILES else todo
     names = [F.col(f"`{n}`") for n in schema.names]
-    rows = read_files(spark, schema, paths).select(*names, F.col("_metadata.file_path").alias("__part")).withColumnRenamed("__part", "__path")
-    rows = rows.join(wanted.withColumnRenamed("path", "__path"), "__path").withColumn("__part", F.pmod(F.xxhash64(*names), "parts"))
-    # more partitions than files, so that few tasks write two
-    files = todo.groupBy("__merge").agg(F.first("parts").alias("n")).agg(F.sum("n")).first()[0]
-    rows.select(*names, "__merge", "__part").repartition(4 * int(files), "__merge", "__part").write.partitionBy("__merge", "__part").option("compression", "zstd").parquet(folder)
+    rows = read_files(spark, schema, paths).select(F.struct(*names).alias("row"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at")).join(wanted, "path")
+    files = todo.agg(F.max(F.col("first") + F.col("parts"))).first()[0]
+    number = (F.col("first") + F.pmod(F.col("before") + F.col("at"), F.col("parts"))).cast("int")
+    rows.select("row", number.alias("file")).repartitionById(int(files), "file").select("row.*").write.option("compression", "zstd").parquet(folder)
     kept = now.join(todo.select("path"), "path", "left_anti").select("path", "bytes", "rows", "born")
     commit(kept.unionByName(entries_of(spark, schema, folder, version)), root, version)
     todo.unpersist()

@@ -17,7 +17,7 @@ counted over the documents scored; the sums of squares go back to their texts.
 
 Defined results: a text without any word of an example (null and empty texts too) gets the share of
 toxic rows among examples without words; an example without label, text or id teaches nothing; an id that is labelled
-twice counts as toxic if one label says so; without examples every score is 0; equal texts get
+twice, or a text that occurs twice, counts as toxic if one label says so; without examples every score is 0; equal texts get
 equal scores; equally near examples are taken in order of their number. Other columns do not matter.
 """
 
@@ -30,9 +30,9 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import arrow_schema, batch_of, hash_words, mixed, pieces_of, spaced, staged, texts_of
+from ._common import arrow_schema, batch_of, hash_words, mixed, pieces_of, smallest, spaced, staged, texts_of
 from .language_model import packed, unpacked
 
 BLOCK = 64
@@ -235,8 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, may_teach: Column | None = None, per
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(F.coalesce(may_teach, F.lit(False))) if may_teach is not None else known
     known = known.groupBy(F.col("doc_id").cast("long").alias("ex_id")).agg(F.max("toxic").cast("int").alias("label"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("ex_id"), "ex_id"))
-    sample = known.withColumn("rank", rank).where(F.col("rank") <= per_label).drop("rank")
+    known = staged(known.withColumn("order", F.xxhash64("ex_id")), "tox-labels")
+    sample = known.join(F.broadcast(smallest(known, "label", "order", per_label)), "label").where("order <= end").select("ex_id", "label")
     totals = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     ddl = "ex_id bigint, label int, text_code bigint, terms array<bigint>, counts array<bigint>"
     schema = arrow_schema(ddl)
@@ -250,7 +250,10 @@ def fit(docs: DataFrame, labels: DataFrame, may_teach: Column | None = None, per
 
     told_texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("ex_id"), "text")
     found = told_texts.join(F.broadcast(sample), "ex_id").select("ex_id", "label", "text")
-    examples = staged(texts_of(found, "*").mapInArrow(read, ddl).dropDuplicates(["ex_id"]).dropDuplicates(["text_code"]), "tox-examples")
+    # rows of one id count once, by its first text; equal texts are one example, toxic if one label says so
+    words = texts_of(found, "*").mapInArrow(read, ddl)
+    once = words.groupBy("ex_id").agg(F.min_by(F.struct("label", "text_code", "terms", "counts"), "text_code").alias("x")).select("ex_id", "x.*")
+    examples = staged(once.groupBy("text_code").agg(F.min("ex_id").alias("ex_id"), F.max("label").alias("label"), F.min_by(F.struct("terms", "counts"), "ex_id").alias("x")).select("ex_id", "label", "x.terms", "x.counts"), "tox-examples")
     sizes = {r[0]: r[1] for r in examples.groupBy("label").count().collect()}
     a, b = sizes.get(1, 0), sizes.get(0, 0)
     if not a + b:
@@ -402,19 +405,18 @@ def score(docs: DataFrame, index: Index, id_col="doc_id", text_col="text", neare
     return told.where("shard IS NULL").unionByName(sums).groupBy("home").applyInArrow(finish, out_ddl)
 
 
-def scorer(docs: DataFrame, index: Index, nearest: int):
+def scorer(docs: DataFrame, index: Index, nearest: int, name: str):
     shared, steps = index.broadcast(docs), index.steps
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in pieces_of(batch, "text"):
                 scores = pa.array(judged(shared.value, steps, texts, nearest)[0])
-                yield pa.RecordBatch.from_arrays([*part.columns, scores], schema=pa.schema([*part.schema, pa.field("score", pa.float64())]))
+                yield pa.RecordBatch.from_arrays([*part.columns, scores], schema=pa.schema([*part.schema, pa.field(name, pa.float64())]))
 
     return run
 
 
 def scored_documents(docs: DataFrame, index: Index, name="toxic_score", nearest=NEAREST) -> DataFrame:
-    """docs with the score as one column more."""
-    out = docs.select("*").schema.add("toxic_score__", "double")
-    return texts_of(docs, "*").mapInArrow(scorer(docs, index, nearest), out).withColumnRenamed("toxic_score__", name)
+    """docs with the score as one column more; the name must be free."""
+    return texts_of(docs, "*").mapInArrow(scorer(docs, index, nearest, name), docs.select("*").schema.add(name, "double"))
