@@ -95,7 +95,8 @@ def richness(c: Column) -> Column:
 
 def is_blank(c: Column) -> Column:
     """True for null, for white space, and for the usual ways of writing that there is no value."""
-    return c.isNull() | F.lower(strip(c.cast("string"))).isin(NULL_TOKENS)
+    t = c.cast("string")
+    return c.isNull() | F.when(F.length(t) <= 40, F.lower(strip(t)).isin(NULL_TOKENS)).otherwise(strip(t) == "")
 
 
 def loses_leading_zero(c: Column) -> Column:
@@ -111,15 +112,24 @@ def arabic_share(c: Column) -> Column:
 def parse_number(c: Column) -> Column:
     """A number as people write it: any digits, thousands separators, a currency, a percent sign,
     parentheses for a negative amount. Null for anything with other letters or inner hyphens."""
-    s = western_digits(strip(c.cast("string")))
+    t = c.cast("string")
+    plain = t.rlike("^-?\\d{1,15}(?:[.]\\d{1,15})?$") & ~t.rlike(f"[{INDIC_DIGITS}{EXTENDED_DIGITS}]")
+    # most cells are plain numbers or hold no digit at all; only the others take the long way
+    return F.when(plain, t.try_cast("double")).when(t.rlike(f"[0-9{INDIC_DIGITS}{EXTENDED_DIGITS}]"), bound(western_digits(strip(t)), _marked_number))
+
+
+def _marked_number(s: Column) -> Column:
+    """A number from a text with marks: the amount is bare once percent signs, currencies and separators are gone."""
     negative = s.startswith("(") & s.endswith(")")
-    s = F.when(negative, F.regexp_replace(s, "^\\(|\\)$", "")).otherwise(s)
     tokens = "|".join(f"\\Q{t}\\E" for t in CURRENCY_TOKENS)
-    s = F.regexp_replace(F.replace(s, F.lit("%"), F.lit("")), tokens, "")
-    kept = F.regexp_replace(s, "[^0-9.\\-]", "")
-    fit = ~s.rlike("\\p{L}") & kept.rlike("^-?[0-9.]+$")
-    n = F.when(fit, kept).try_cast("double")
-    return F.when(negative, -n).otherwise(n)
+    bare = F.regexp_replace(F.when(negative, F.regexp_replace(s, "^\\(|\\)$", "")).otherwise(s), f"%|{tokens}", "")
+
+    def read(x: Column) -> Column:
+        kept = F.regexp_replace(x, "[^0-9.\\-]", "")
+        return F.when(~x.rlike("\\p{L}") & kept.rlike("^-?[0-9.]+$"), kept).try_cast("double")
+
+    n = bound(bare, read)
+    return n * F.when(negative, -1).otherwise(1)
 
 
 def bound(value: Column, use) -> Column:
@@ -130,7 +140,13 @@ def bound(value: Column, use) -> Column:
 def parse_date(c: Column) -> Column:
     """A date written year first or day first (month first where only that is possible), or with an
     Arabic month name; years 1900 to 2200. Null where there is no such day."""
-    return bound(western_digits(strip(c.cast("string"))), lambda s: F.coalesce(_numeric_date(s), _named_date(s)))
+    t = c.cast("string")
+    digit = f"[0-9{INDIC_DIGITS}{EXTENDED_DIGITS}]"
+    likely = t.rlike(f"{digit}[-/.]{digit}{{1,2}}[-/.]{digit}") | t.rlike("[\u0621-\u064a]") & t.rlike(f"{digit}{{4}}")
+    # the two usual forms are read at once; what they leave, and only that, goes the long way
+    usual = F.coalesce(F.when(t.rlike("^(?:19|2[01])\\d{2}-\\d{2}-\\d{2}$"), F.try_to_date(t, "yyyy-MM-dd")), F.when(t.rlike("^\\d{2}/\\d{2}/(?:19|2[01])\\d{2}$"), F.try_to_date(t, "dd/MM/yyyy")))
+    long = F.when(likely, bound(western_digits(strip(t)), lambda s: F.coalesce(_numeric_date(s), _named_date(s))))
+    return F.coalesce(usual, long)
 
 
 def _numeric_date(s: Column) -> Column:

@@ -152,6 +152,8 @@ def order_statistics(df: DataFrame, values: dict[str, Column], sizes: dict[str,
     held = [(c, r, f"x{i}") for i, (c, r) in enumerate((c, r) for c in values for r in ranks[c])]
     if not held:
         return {c: [] for c in values}
+    # what a cell reads as is found once, below the aggregations
+    df, values = df.select(*[x.alias(f"v{i}") for i, x in enumerate(values.values())]), {c: F.col(f"v{i}") for i, c in enumerate(values)}
     share = lambda r, n: min(max(r / (n - 1), 0.0), 1.0) if n > 1 else 0.0
     if max(sizes.values()) <= at_once:
         got = df.agg(*[F.percentile(values[c], F.lit(share(r, sizes[c]))).alias(x) for c, r, x in held]).first()
@@ -184,6 +186,7 @@ def numeric_stats(df: DataFrame, sizes: dict[str, int], interpolate: bool = Fals
     at = {c: [(n - 1) * 0.5, *[(n - 1) * q if interpolate else float(round((n - 1) * q)) for q in (0.25, 0.75)]] for c, n in sizes.items()}
     found = order_statistics(df, values, sizes, {c: [r for x in at[c] for r in (int(x), min(int(x) + 1, sizes[c] - 1))] for c in sizes}, at_once)
     plain, ranked = [], {}
+    df, values = df.select(*[x.alias(f"v{i}") for i, x in enumerate(values.values())]), {c: F.col(f"v{i}") for i, c in enumerate(values)}
     for i, (c, x) in enumerate(values.items()):
         plain += [F.min(x).alias(f"{i}_min"), F.max(x).alias(f"{i}_max"), F.avg(x).alias(f"{i}_mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"{i}_std")]
         pairs = zip(at[c], found[c][::2], found[c][1::2], strict=True)
