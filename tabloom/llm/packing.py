@@ -33,7 +33,7 @@ from ._common import arrow_schema, batch_of, pieces_of, staged, texts_of
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Cuts, and ids of cuts, that a worker remembers before it starts anew.
-MEMORY, MEMORY_IDS = 300_000, 3_000_000
+MEMORY, MEMORY_IDS = 1_500_000, 12_000_000
 LEAF, NODE = 1_000_000, 200_000
 #: White space as the pre-tokeniser knows it.
 BLANK = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -49,18 +49,31 @@ class Encoder:
 
         self.exact = Tokenizer.from_file(path)
         self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        vocabulary = self.exact.get_vocab(with_added_tokens=False)
+        self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # a character of a byte-level token is a byte
+        self.bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.flat, self.ends = [], [0]
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def places(self, cuts: list[str]) -> np.ndarray:
+    def add(self, cuts: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        self.place.update(zip(cuts, range(len(self.ends) - 1, len(self.ends) - 1 + len(cuts)), strict=True))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + ends])
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+
+    def places(self, cuts: list[str], joinable: bool = False) -> np.ndarray:
+        """The place of each cut in memory. Joinable ones (a blank, then no blank at the end, nothing special) are
+        encoded as one text; how many bytes each id stands for shows where a cut ends."""
         new = list(dict.fromkeys(c for c in cuts if c not in self.place))
-        for c, e in zip(new, self.exact.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.place[c] = len(self.ends) - 1
-            self.flat.extend(e.ids)
-            self.ends.append(len(self.flat))
+        if new and joinable:
+            ids = np.array(self.exact.encode_batch_fast(["".join(new)], add_special_tokens=False)[0].ids, np.int64)
+            size = pc.binary_length(pa.array(new)).to_numpy()
+            self.add(new, ids, np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(size)) + 1)
+        elif new:
+            parts = [e.ids for e in self.exact.encode_batch_fast(new, add_special_tokens=False)]
+            self.add(new, np.array([i for x in parts for i in x], np.int64), np.cumsum([len(x) for x in parts]))
         return np.fromiter(map(self.place.__getitem__, cuts), np.int64, len(cuts))
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
@@ -69,30 +82,37 @@ class Encoder:
             self.forget()
         lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         offsets = lists.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
-        open_end = np.array([not w or w[-1] in BLANK for w in words], bool)[codes]
+        open_word = pc.match_substring_regex(words, f"(?:^|[{BLANK}])$").to_numpy(zero_copy_only=False)
+        open_end = open_word[codes]
         open_end[offsets[1:] - 1] = False  # the end of a text is an end
-        whole = [[t] if any(x in t for x in self.special) else None for t in texts.to_pylist()] if any(pc.any(pc.match_substring(texts, x)).as_py() for x in self.special) else [None] * len(texts)
-        odd = np.flatnonzero((np.bincount(np.repeat(np.arange(len(texts)), np.diff(offsets)), open_end, len(texts)) > 0) | np.array([x is not None for x in whole], bool))
-        after = self.places([" " + w for w in words])
+        special = np.zeros(len(texts), bool)
+        for x in self.special:
+            special |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        odd = np.flatnonzero(special | (np.bincount(np.repeat(np.arange(len(texts)), np.diff(offsets)), open_end, len(texts)) > 0))
+        marked = pc.binary_join_element_wise(pa.scalar(""), words, pa.scalar(" "))
+        alone = open_word.copy()
+        for x in self.special:
+            alone |= pc.match_substring(words, x).to_numpy(zero_copy_only=False)
+        after = np.zeros(len(words), np.int64)
+        after[~alone] = self.places(marked.filter(pa.array(~alone)).to_pylist(), True)
+        after[alone] = self.places(marked.filter(pa.array(alone)).to_pylist())
         at = after[codes]
-        first = codes[offsets[:-1]]
-        at[offsets[:-1]] = self.places([words[i] for i in first])
+        at[offsets[:-1]] = self.places(words.take(pa.array(codes[offsets[:-1]])).to_pylist())
+        word = lambda j: words[int(codes[j])].as_py()
         own = {}
         for i in odd:
-            cuts = whole[i]
-            if cuts is None:
-                cuts = []
-                for j in range(offsets[i], offsets[i + 1]):
-                    piece = words[codes[j]] if j == offsets[i] else " " + words[codes[j]]
-                    if cuts and open_end[j - 1]:
-                        cuts[-1] += piece
-                    else:
-                        cuts.append(piece)
+            cuts = [texts[int(i)].as_py()] if special[i] else []
+            for j in range(offsets[i], offsets[i + 1] if not special[i] else offsets[i]):
+                piece = word(j) if j == offsets[i] else " " + word(j)
+                if cuts and open_end[j - 1]:
+                    cuts[-1] += piece
+                else:
+                    cuts.append(piece)
             own[int(i)] = self.places(cuts)
-        flat, ends = np.array(self.flat, np.uint32), np.array(self.ends, np.int64)
+        flat, ends = self.flat, self.ends
         size = ends[at + 1] - ends[at]
         stops = np.concatenate([[0], np.cumsum(size)])
         ids = flat[np.arange(stops[-1]) - np.repeat(stops[:-1] - ends[at], size)]
