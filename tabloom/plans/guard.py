@@ -82,12 +82,15 @@ def guarded(df: DataFrame, sql: str, table: str = "dataset", most: int = MOST_RO
     """The result of a guarded query over df, of at most `most` rows. Views of the session stay as they are."""
     spark = df.sparkSession
     validate(spark, sql, {table})
-    view = f"guarded_{uuid.uuid4().hex}"
-    df.createTempView(view)
+    before = spark.table(table) if any(t.isTemporary and t.name == table for t in spark.catalog.listTables()) else None
+    df.createOrReplaceTempView(table)
     try:
-        return spark.sql(f"WITH `{table}` AS (SELECT * FROM {view}) SELECT * FROM (\n{sql}\n)").limit(most)
+        return spark.sql(sql).limit(most)
     finally:
-        spark.catalog.dropTempView(view)
+        if before is None:
+            spark.catalog.dropTempView(table)
+        else:
+            before.createOrReplaceTempView(table)
 
 
 def answered(df: DataFrame, sql: str, table: str = "dataset", most: int = MOST_ROWS, seconds: float = SECONDS) -> tuple[list, Evidence]:

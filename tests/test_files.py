@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.plans.process import dashboard, process
+from tabloom.plans.process import dashboard, load_run, process
 from tabloom.sources import readers, sinks, sniff
 from tabloom.sources.xlsx import write_xlsx
 
@@ -96,6 +96,8 @@ def test_process(spark, tmp_path):
     board = dashboard(run)
     assert board["kpis"]["total_amount"] == want and [c.kind for c in board["charts"]] == ["bar", "donut", "histogram"]
     assert json.loads(json.dumps(run.artifacts()))["recipe"]
+    again = load_run(spark, str(tmp_path / "out"))
+    assert again.artifacts() == run.artifacts() and again.table.count() == 120 and dashboard(again)["kpis"] == board["kpis"]
 
 
 def test_gzip(spark, tmp_path):

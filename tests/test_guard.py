@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tabloom.plans import guard
 
@@ -21,8 +22,21 @@ def test_ceiling_and_timeout(spark):
     df = spark.range(20_000).withColumnRenamed("id", "v")
     assert guard.guarded(df, "SELECT v FROM dataset").count() == guard.MOST_ROWS
     assert guard.guarded(df, "SELECT v FROM dataset LIMIT 7").count() == 7
-    small = spark.range(4_000).withColumnRenamed("id", "v")
+    small = spark.range(2_500).withColumnRenamed("id", "v")
     slow = guard.guarded(small, "SELECT count(*) FROM dataset a CROSS JOIN dataset b CROSS JOIN dataset c WHERE a.v + b.v + c.v = -1")
     with pytest.raises(TimeoutError):
         guard.collect_within(slow, 2)
     assert guard.collect_within(guard.guarded(df, "SELECT count(*) FROM dataset"), 60)[0][0] == 20_000
+
+
+def test_session_stays_as_it_is(spark):
+    df = spark.range(5).toDF("x")
+    spark.range(1).toDF("mine").createOrReplaceTempView("dataset")
+    spark.udf.register("own_function", lambda x: x)
+    assert guard.guarded(df, "SELECT sum(x) AS s FROM dataset -- a remark").first()["s"] == 10
+    assert spark.table("dataset").columns == ["mine"]
+    with pytest.raises(guard.GuardError):
+        guard.guarded(df, "SELECT own_function(x) FROM dataset")
+    rows, evidence = guard.answered(df.withColumn("y", F.lit(1)), "SELECT x FROM dataset WHERE x > 2")
+    assert len(rows) == 2 and evidence.columns == ["x"] and evidence.rows_in_scope == 2 and evidence.rows_total == 5
+    spark.catalog.dropTempView("dataset")

@@ -147,3 +147,16 @@ def test_mixed_currencies(spark):
     df = spark.createDataFrame([("دولار", 5.0), ("ليرة سورية", 7.0), ("دولار", 1.0)] * 5, "`العملة` string, `المبلغ` double")
     schema = meaning.resolve(df, P.profile(df))
     assert schema.currency.mixed and schema.currency.codes == ["USD", "SYP"]
+
+
+def test_order_statistics_by_brackets(spark):
+    """The way for large tables gives the same values as one aggregation."""
+    from tabloom.operators import profile
+
+    df = spark.range(20_001).select((F.pmod(F.xxhash64("id"), F.lit(1000)) * F.pmod(F.hash("id"), F.lit(7))).cast("double").alias("v"), F.lit(3.0).alias("same"))
+    values, sizes = {c: F.col(c) for c in df.columns}, {c: 20_001 for c in df.columns}
+    ranks = {c: [0, 5000, 10_000, 19_999, 20_000] for c in df.columns}
+    ordered = sorted(r["v"] for r in df.collect())
+    for at_once in (0, 10**9):
+        got = profile.order_statistics(df, values, sizes, ranks, at_once)
+        assert got["v"] == [ordered[i] for i in ranks["v"]] and got["same"] == [3.0] * 5

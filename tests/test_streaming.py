@@ -35,3 +35,25 @@ def test_stale(spark):
     df = spark.createDataFrame([("a", datetime(2026, 1, 1)), ("b", datetime(2026, 1, 3)), ("a", datetime(2026, 1, 2))], "s string, t timestamp")
     got = catalog.stale_sources(df, "s", "t", F.lit(datetime(2026, 1, 3, 3)), 26).collect()
     assert [r["source"] for r in got] == ["a"]
+
+
+def test_waiting_snapshots_are_merged_in_order(spark, tmp_path):
+    source, root, mark = (str(tmp_path / x) for x in ("in", "state", "mark"))
+    schema = "item_id string, price double, synced_at timestamp"
+    for day, rows in ((2, [("a", 2.0)]), (1, [("a", 1.0), ("b", 5.0)])):
+        spark.createDataFrame([(*r, datetime(2026, 1, day)) for r in rows], schema).coalesce(1).write.mode("append").parquet(source)
+    jobs.sync_stream(spark.readStream.schema(schema).parquet(source), root, mark).awaitTermination(120)
+    state = {r["item_id"]: r for r in jobs.latest_state(spark, root).collect()}
+    assert state["a"]["price"] == 2.0 and state["a"]["first_seen_at"] == datetime(2026, 1, 1) and not state["b"]["active"]
+    changes = spark.read.parquet(f"{root}/version=0/price_changes").collect()
+    assert [(r["item_id"], r["old_price"], r["new_price"]) for r in changes] == [("a", 1.0, 2.0)]
+
+
+def test_same_content_is_taken_in_once(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a,b")
+    (tmp_path / "y.csv").write_text("a,b")
+    ledger, seen = str(tmp_path / "ledger"), []
+    work = lambda f: seen.append(f) or f"r{len(seen)}"
+    take = lambda source, f: jobs.take_in(spark, ledger, source, str(tmp_path / f), work)
+    assert [take("s", "x.csv"), take("s", "y.csv"), take("t", "y.csv")] == [("r1", True), ("r1", False), ("r2", True)]
+    assert jobs.content_ledger(spark, ledger).count() == 2
