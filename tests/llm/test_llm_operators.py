@@ -556,3 +556,24 @@ def test_pipeline(spark, sf_dir):
         assert out.columns == docs.columns and 0 < out.count() <= 3 * docs.count()
         docs = out
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_pipeline_filters_take_any_table(spark, docs, sf_dir, tmp_path):
+    """Names that the stages use themselves, nulls, repeated rows and empty tables."""
+    import corpus_pipeline
+
+    labels = docs.where("doc_id < 30").select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic"))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    odd = docs.withColumns({"toxic_score": F.lit(1), "Lang_Pred": F.lit("x"), "lang_score": F.lit(2), "lang_pred__kept": F.lit(3), "m": F.create_map(F.lit("k"), "value")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns and out.count() <= 3 * odd.count()
+        assert stage(spark, empty(odd), str(tmp_path)).count() == 0
+
+
+def test_smallest_by_range(spark):
+    from tabloom.llm._common import smallest
+
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), F.xxhash64("id").alias("h")).where("g < 2 or h > 9e18")
+    want = {r["g"]: sorted(r["x"])[:100][-1] for r in df.groupBy("g").agg(F.collect_set("h").alias("x")).collect()}
+    assert {r["g"]: r["end"] for r in smallest(df, "g", "h", 100).collect()} == want
