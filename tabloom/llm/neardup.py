@@ -17,7 +17,8 @@ Steps, each a distributed job:
    held against all others of another component. Lists with one largest component are a group; its
    members meet in blocks of bounded size, which compare sizes and bits, then full sets, by matrix
    products, and report links that connect what the block connects. Every pair that shares a list
-   has then been checked or is connected already; a group costs rows in proportion to its size.
+   has then been checked or is connected already; a group of n members, m of them outside its largest
+   component, costs n * m / CELL rows.
 
 Defined results: texts without words have an empty set and stay alone; rows with equal ids are
 rows of their own; a group's id is its smallest non-null id (null when all are null); an empty
