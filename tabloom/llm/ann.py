@@ -2,18 +2,24 @@
 
 Each vector is hashed once per tree to a long string of bits, the signs of random projections; a
 tree is the sorted array of these strings. A query descends in every tree to its longest matching
-prefix. All trees then ascend together, a bit at a time, until the ranges of equal prefixes hold
-enough candidates; these are scored exactly, in double precision. For inner products of vectors of
-unequal length, vectors are lifted by one coordinate so that the angle orders them.
+prefix, then all trees ascend together, a bit at a time; what the ranges of equal prefixes hold is
+scored exactly, in double precision. For inner products of vectors of unequal length, vectors are
+lifted by one coordinate so that the angle orders them.
+
+The data say when a query stops. A vector at angle a shares a prefix of d bits with the query in one
+tree with probability (1 - a / pi)^d, so it is in none of the trees' ranges with probability
+(1 - (1 - a / pi)^d)^trees. The ascent ends at the first depth where this is at most MISS for a vector
+as near as the k-th best found so far: nearer ones are missed more rarely still. Where vectors have
+near neighbours a query ends deep in the trees with few candidates; where they have none (directions
+drawn at random) it has to look at a large part of its block. There is no cap on candidates: a range
+of equal prefixes is always taken whole.
 
 Spark's part: equal vectors form a class and are searched once. Classes are dealt into blocks of
-about BLOCK by hash, each block is a forest of its own, and the query classes visit the blocks in
-groups of QUERIES: a task sees one block and one group and returns each query's best of that block.
-The groups' results meet by a grouped top-k, which Spark limits before it shuffles.
-
-The forest ascends until a query has FLOOR candidate slots or the share SHARE of its block's size,
-counted over all trees, whichever is more. There is no cap on candidates: a range of equal prefixes
-is always taken whole.
+about BLOCK by hash, each block is a forest of its own, and the query classes visit all blocks. A task
+sorts a block's points before the queries, builds the forest once and lets the queries stream
+through it; only where there are more than QUERIES of them, or fewer blocks than cores, are they dealt
+into groups that have a copy of the block each. The blocks' results meet by a grouped top-k, which
+Spark limits before it shuffles.
 
 Defined results: vectors that are null, zero, of another dimension than the query's, or hold null
 or non-finite components take no part; rows without id neither; rows equal in id and vector count
@@ -22,15 +28,20 @@ once; equal scores are ordered by id; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._common import staged
+from ._common import arrow_schema, batch_of, staged
 
-TREES, BITS, SEED = 160, 20, 5
-BLOCK, QUERIES = 8192, 2048
-FLOOR, SHARE = 2560, 0.5
+TREES, BITS, SEED = 160, 31, 5
+BLOCK, QUERIES = 1 << 15, 1 << 16
+#: How probable it may be that a vector as near as the k-th best is in no range.
+MISS = 0.05
+#: Queries of a task that ascend at the same time.
+TOGETHER = 256
 
 
 def usable(vector: Column) -> Column:
@@ -40,70 +51,111 @@ def usable(vector: Column) -> Column:
 
 
 class Forest:
-    """Sorted hash strings of the rows of x (lifted to unit length by `longest`) in each tree."""
+    """Sorted hash strings of the rows of x (lifted to unit length by `longest`) in each tree; `ties` orders rows of equal score."""
 
-    def __init__(self, x: np.ndarray, longest: float, trees: int = TREES, bits: int = BITS, seed: int = SEED):
-        self.bits = bits
-        self.planes = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, trees * bits)).astype(np.float32)
+    def __init__(self, x: np.ndarray, ties: np.ndarray, longest: float, trees: int = TREES, bits: int = BITS, seed: int = SEED):
+        self.x, self.ties, self.longest, self.bits, self.scored = x, ties, longest, bits, 0
+        self.planes = np.random.default_rng(seed).standard_normal((trees, x.shape[1] + 1, bits)).astype(np.float32)
         unit = x / longest
         codes = self.strings(np.hstack([unit, np.sqrt(np.clip(1 - (unit * unit).sum(axis=1, keepdims=True), 0, None))]))
-        self.order = np.argsort(codes, axis=1, kind="stable")
+        self.order = np.argsort(codes, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(codes, self.order, axis=1)
 
     def strings(self, lifted: np.ndarray) -> np.ndarray:
         """[trees, rows]: the hash string of each row, as a number whose first bit is the highest."""
-        signs = (lifted.astype(np.float32) @ self.planes > 0).reshape(len(lifted), -1, self.bits)
-        out = np.zeros(signs.shape[:2], np.int32)
-        for i in range(self.bits):
-            out = (out << 1) | signs[:, :, i]
-        return np.ascontiguousarray(out.T)
-
-    def candidates(self, q: np.ndarray, least: int) -> np.ndarray:
-        """[queries, rows] marks of the rows that the synchronous ascent reaches."""
-        unit = q / np.sqrt((q * q).sum(axis=1, keepdims=True))
-        codes = self.strings(np.hstack([unit, np.zeros((len(q), 1))]))
-        trees, n = self.sorted.shape
-        low, high = np.zeros((trees, len(q)), np.int64), np.zeros((trees, len(q)), np.int64)
+        lifted, worth = lifted.astype(np.float32), 2.0 ** np.arange(self.bits - 1, -1, -1)
+        return np.stack([(lifted @ p > 0).astype(np.float64) @ worth for p in self.planes]).astype(np.int32)
+
+    def ranges(self, codes: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """[trees, queries] begin and end of the range that shares each query's first `depth` bits."""
+        rest = ((1 << (self.bits - depth)) - 1).astype(np.int32)
+        low, high = np.empty(codes.shape, np.int64), np.empty(codes.shape, np.int64)
+        for t, tree in enumerate(self.sorted):
+            low[t] = np.searchsorted(tree, codes[t] & ~rest)
+            high[t] = np.searchsorted(tree, codes[t] | rest, "right")
+        return low, high
+
+    def enough(self, cosine: np.ndarray) -> np.ndarray:
+        """The greatest depth at which a vector of this cosine is missed with probability MISS at most."""
+        p = np.clip(1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi, 1e-12, 1 - 1e-12)
+        return np.floor(np.log(1 - MISS ** (1 / len(self.sorted))) / np.log(p))
+
+    def nearest(self, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Rows and scores of the k best found of each query, nearest first."""
+        length = np.sqrt((q * q).sum(axis=1))
+        codes = self.strings(np.hstack([q / length[:, None], np.zeros((len(q), 1))]))
+        depth = np.zeros(len(q), np.int64)
+        for step in (16, 8, 4, 2, 1):  # the longest prefixes that k slots share
+            deeper = np.minimum(depth + step, self.bits)
+            low, high = self.ranges(codes, deeper)
+            depth = np.where((high - low).sum(axis=0) >= k, deeper, depth)
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(q)
+        seen = np.zeros((len(q), len(self.x)), bool)
         climbing = np.arange(len(q))
-        for depth in range(self.bits, -1, -1):
-            tail = self.bits - depth
-            for t in range(trees):
-                prefix = codes[t, climbing] >> tail
-                low[t, climbing] = np.searchsorted(self.sorted[t], prefix << tail)
-                high[t, climbing] = np.searchsorted(self.sorted[t], ((prefix + 1) << tail) - 1, "right")
-            climbing = climbing[(high[:, climbing] - low[:, climbing]).sum(axis=0) < least]
-            if not len(climbing):
-                break
-        marks = np.zeros((len(q), n), bool)
-        for t in range(trees):
-            size = high[t] - low[t]
-            row = np.repeat(np.arange(len(q)), size)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[t], size)
-            marks[row, self.order[t, at]] = True
-        return marks
-
-
-def visit(k: int, longest: dict[int, float], floor: int, share: float):
-    """The search of one group of queries in one block."""
-
-    def run(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(points) and len(queries):
-            x, q = (np.stack(f["vector"].to_numpy()).astype(np.float64) for f in (points, queries))
-            low, key = points["low"].to_numpy(), points["class_id"].to_numpy()
-            forest = Forest(x, longest[x.shape[1]])
-            marks = forest.candidates(q, min(max(floor, int(share * len(x))), len(x) * TREES))
-            for i, own in enumerate(queries["class_id"]):
-                near = np.flatnonzero(marks[i])
-                score = (x[near] * q[i]).sum(axis=1)
-                best = np.lexsort((low[near], -score))[:k]
-                out.append(pd.DataFrame({"query_class": own, "class_id": key[near[best]], "low": low[near[best]], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_class": [], "class_id": [], "low": [], "score": []})
+        while len(climbing):
+            low, high = self.ranges(codes[:, climbing], depth[climbing])
+            fresh = np.zeros((len(climbing), len(self.x)), bool)
+            for t, order in enumerate(self.order):
+                size = high[t] - low[t]
+                row = np.repeat(np.arange(len(climbing)), size)
+                at = np.arange(len(row)) + np.repeat(low[t] - (np.cumsum(size) - size), size)
+                fresh[row, order[at]] = True
+            fresh &= ~seen[climbing]
+            seen[climbing] |= fresh
+            worst = np.full(len(climbing), -np.inf)
+            for j, i in enumerate(climbing):
+                new = np.flatnonzero(fresh[j])
+                self.scored += len(new)
+                rows, scores = np.concatenate([best[i][0], new]), np.concatenate([best[i][1], (self.x[new] * q[i]).sum(axis=1)])
+                first = np.lexsort((self.ties[rows], -scores))[:k]
+                best[i] = rows[first], scores[first]
+                if len(first) == k:
+                    worst[j] = scores[first[-1]]
+            done = (depth[climbing] == 0) | (depth[climbing] <= self.enough(worst / (length[climbing] * self.longest)))
+            climbing = climbing[~done]
+            depth[climbing] -= 1
+        return best
+
+
+FOUND = "query_class bigint, class_id bigint, low bigint, score double"
+
+
+def visits(k: int, longest: dict[int, float]):
+    """Searches of the queries of each (width, cell), whose rows come sorted, points before queries."""
+    schema = arrow_schema(FOUND)
+
+    def vectors_of(part: pa.RecordBatch) -> np.ndarray:
+        return part["vector"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, points, forest, ids = None, [], None, None
+        for batch in batches:
+            key = np.stack([batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("width", "cell", "asks")])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b == a:
+                    continue
+                part = batch.slice(a, b - a)
+                if cell != tuple(key[:2, a]):
+                    cell, points, forest = tuple(key[:2, a]), [], None
+                if not key[2, a]:
+                    points.append((vectors_of(part), part["class_id"].to_numpy(), part["low"].to_numpy()))
+                    continue
+                if not points and forest is None:
+                    continue
+                if forest is None:
+                    x, ids, low = (np.concatenate(c) for c in zip(*points, strict=True))
+                    forest, points = Forest(x, low, longest[x.shape[1]]), []
+                q, asking = vectors_of(part), part["class_id"].to_numpy()
+                for i in range(0, len(q), TOGETHER):
+                    near = forest.nearest(q[i : i + TOGETHER], k)
+                    rows, scores = (np.concatenate(c) for c in zip(*near, strict=True))
+                    yield batch_of(schema, np.repeat(asking[i : i + TOGETHER], [len(r) for r, _ in near]), ids[rows], forest.ties[rows], scores)
 
     return run
 
 
-def nearest_inner(vectors: DataFrame, is_query: Column, k=20, id_col="vec_id", vector_col="embedding", floor=FLOOR, share=SHARE) -> DataFrame:
+def nearest_inner(vectors: DataFrame, is_query: Column, k=20, id_col="vec_id", vector_col="embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest found of each query row, itself left out."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.where(usable(F.col("vector")) & F.col("vec_id").isNotNull()).withColumn("class_id", F.xxhash64("vector"))
@@ -113,13 +165,16 @@ def nearest_inner(vectors: DataFrame, is_query: Column, k=20, id_col="vec_id", v
     sizes = {r["width"]: r for r in classes.groupBy("width").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q"), F.max(norm).alias("longest")).collect()}
     if not sizes:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    blocks, groups = max(1, -(-max(r["n"] for r in sizes.values()) // BLOCK)), max(1, -(-max(r["q"] for r in sizes.values()) // QUERIES))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = -(-max(r["n"] for r in sizes.values()) // BLOCK)
+    groups = max(1, -(-max(r["q"] for r in sizes.values()) // QUERIES), -(-cores // blocks))
     dealt = lambda seed, n: F.pmod(F.xxhash64("class_id", F.lit(seed)), F.lit(n))
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-    points = classes.select("class_id", "low", "vector", "width", dealt(1, blocks).alias("block"), F.explode(upto(groups)).alias("part"))
-    asks = classes.where("asks").select("class_id", "vector", "width", F.explode(upto(blocks)).alias("block"), dealt(2, groups).alias("part"))
-    search = visit(k + 1, {w: max(r["longest"], 1e-300) for w, r in sizes.items()}, floor, share)
-    found = points.groupBy("width", "block", "part").cogroup(asks.groupBy("width", "block", "part")).applyInPandas(search, "query_class long, class_id long, low long, score double")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    points = classes.select("class_id", "low", "vector", "width", F.lit(False).alias("asks"), dealt(1, blocks).alias("block"), upto(groups).alias("part"))
+    asking = classes.where("asks").select("class_id", "low", "vector", "width", "asks", upto(blocks).alias("block"), dealt(2, groups).alias("part"))
+    visiting = points.unionByName(asking).withColumn("cell", F.col("block") * groups + F.col("part")).drop("block", "part")
+    visiting = visiting.repartitionById(blocks * groups, F.col("cell").cast("int")).sortWithinPartitions("width", "cell", "asks")
+    found = visiting.mapInArrow(visits(k + 1, {w: max(r["longest"], 1e-300) for w, r in sizes.items()}), FOUND)
     best = F.row_number().over(Window.partitionBy("query_class").orderBy(F.desc("score"), "low"))
     found = found.withColumn("place", best).where(F.col("place") <= k + 1)
     each = rows.select("class_id", "vec_id").distinct()

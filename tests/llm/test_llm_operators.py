@@ -455,22 +455,64 @@ def test_ann(spark):
     assert ann.nearest_inner(df.where("false"), F.lit(True)).count() == 0
 
 
+def recall_and_share(x, queries, k=20):
+    """Mean share of the true k nearest (of `queries` first rows, others only) that the forest finds, and of rows that it scores."""
+    forest = ann.Forest(x, np.arange(len(x)), float(np.sqrt((x * x).sum(axis=1)).max()))
+    hits = []
+    for i, (rows, _) in enumerate(forest.nearest(x[:queries], k + 1)):
+        true = [j for j in np.argsort(-(x @ x[i]), kind="stable")[: k + 1] if j != i][:k]
+        hits.append(np.isin(true, rows).mean())
+    return np.mean(hits), forest.scored / queries / len(x)
+
+
+def unit(x):
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def test_forest_recall_of_a_full_block():
-    """Where the floor on candidates does not help: unit vectors without structure, as many as a block holds."""
+    """Unit vectors without structure, as many as a block holds: the hardest case, in which much of the block is scored."""
     rng = np.random.default_rng(1)
-    x = rng.standard_normal((ann.BLOCK, 64))
-    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-    marks = ann.Forest(x, 1.0).candidates(x[:120], max(ann.FLOOR, int(ann.SHARE * ann.BLOCK)))
-    near = [[j for j in np.argsort(-s, kind="stable") if j != i][:20] for i, s in enumerate(x[:120] @ x.T)]
-    assert np.mean([marks[i, own].mean() for i, own in enumerate(near)]) >= 0.95
+    found, share = recall_and_share(unit(rng.standard_normal((ann.BLOCK, 64))), 120)
+    assert found >= 0.95 and share < 0.6
+
+
+def test_forest_scores_few_rows_where_neighbours_are_near():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((1000, 64))[rng.integers(0, 1000, 50_000)] + 0.35 * rng.standard_normal((50_000, 64))
+    found, share = recall_and_share(unit(x), 120)
+    assert found >= 0.95 and share < 0.1
+    found, share = recall_and_share(x * rng.uniform(0.9, 1.1, (50_000, 1)), 60)
+    assert found >= 0.9
 
 
 def test_forest_ranges_hold_prefixes():
     rng = np.random.default_rng(8)
     x = rng.standard_normal((200, 8))
-    forest = ann.Forest(x, float(np.sqrt((x**2).sum(axis=1)).max()), trees=4, bits=8)
+    forest = ann.Forest(x, np.arange(200), float(np.sqrt((x**2).sum(axis=1)).max()), trees=4, bits=8)
     assert (np.diff(forest.sorted, axis=1) >= 0).all()
-    assert forest.candidates(x[:5], 10**9).all() and not forest.candidates(x[:5], 20).all()
+    codes = np.take_along_axis(forest.sorted, np.zeros((4, 1), int), axis=1)
+    for depth in range(9):
+        low, high = forest.ranges(codes, np.array([depth]))
+        for t in range(4):
+            assert (low[t, 0], high[t, 0]) == (0, (forest.sorted[t] >> (8 - depth) == codes[t, 0] >> (8 - depth)).sum())
+    rows, scores = forest.nearest(x[:1], 300)[0]  # more than there are: all, by score
+    assert sorted(rows) == list(range(200)) and np.allclose(scores, np.sort(x @ x[0])[::-1])
+
+
+def test_ann_of_many_blocks(spark, monkeypatch):
+    """Blocks, groups of queries, vectors of two widths and columns with names used inside; few rows, so that the result is exact."""
+    monkeypatch.setattr(ann, "BLOCK", 60)
+    monkeypatch.setattr(ann, "QUERIES", 40)
+    monkeypatch.setattr(ann, "MISS", 1e-9)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(4 + 2 * (i % 3 == 0)).tolist(), "x", 1.5, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, `class_id` string, score double, cell long")
+    got = defaultdict(list)
+    for r in ann.nearest_inner(df, F.col("vec_id") % 2 == 0, k=5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for i, v, *_ in rows:
+        others = [(-float((np.array(v) * w).sum()), j) for j, w, *_ in rows if j != i and len(w) == len(v)]
+        assert got.get(i, []) == ([j for _, j in sorted(others)[:5]] if i % 2 == 0 else [])
 
 
 def test_token_counts(docs):
