@@ -7,8 +7,9 @@ is computed once for each node from the scores of the nodes above, a whole level
 time. A word's last node holds its number of pieces; a text's count is the sum over its words.
 A character that no piece covers falls back to its UTF-8 bytes.
 
-Each task builds the trie of the texts at hand, so nothing is shuffled and memory is bounded by
-CHUNK_BYTES of text (or one longer text). Words of over LONG characters are not put into the trie
+Each task puts the words into a trie that its worker has not met, and remembers their counts, so
+nothing is shuffled, a frequent word is scored about once a worker, and memory is bounded by
+CHUNK_BYTES of text (or one longer text) and MEMORY words; beyond these the worker starts anew. Words of over LONG characters are not put into the trie
 but scored alone, by the same rule, in memory that follows their length.
 
 Defined results: null and empty texts count 0; equal best scores take fewer pieces; equal texts get
@@ -27,6 +28,8 @@ from ._common import arrow_schema, batch_of, mixed, per_text, pieces_of, texts_o
 
 MARK = "▁"
 LONG = 96
+#: Words whose counts a worker remembers before it starts anew.
+MEMORY = 500_000
 BYTE_SCORE = -12.0
 _VOCABULARIES: dict[str, Vocabulary] = {}
 
@@ -35,14 +38,14 @@ class Vocabulary:
     """Pieces with log scores. Pieces of a length are found by a hash of their characters, last first."""
 
     def __init__(self, pieces: dict[str, float]):
-        self.pieces = pieces
+        self.pieces, self.known = pieces, {}
         self.longest = max(map(len, pieces), default=0)
         self.codes, self.scores = {}, {}
         for n in range(1, self.longest + 1):
             own = [p for p in pieces if len(p) == n]
             if own:
                 points = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).reshape(-1, n)
-                h = np.full(len(own), n, np.uint64)
+                h = np.zeros(len(own), np.uint64)
                 for i in range(n - 1, -1, -1):
                     h = self.longer(h, points[:, i])
                 order = np.argsort(h)
@@ -54,7 +57,6 @@ class Vocabulary:
 
     def find(self, n: int, suffix: np.ndarray) -> np.ndarray:
         """The scores of pieces of n characters by their codes; minus infinity where there is none."""
-        # the codes of one length start from that length, so suffix codes are made for each length
         at = np.minimum(np.searchsorted(self.codes[n], suffix), len(self.codes[n]) - 1)
         return np.where(self.codes[n][at] == suffix, self.scores[n][at], -np.inf)
 
@@ -93,12 +95,11 @@ def trie_counts(words: list[str], vocabulary: Vocabulary) -> np.ndarray:
         bytes_here = byte_lengths(points[first])
         up = place[depth - 1][word]
         score, pieces = best[depth - 1][up] + BYTE_SCORE * bytes_here, count[depth - 1][up] + bytes_here
-        for n in vocabulary.codes:
-            if n > depth:
-                break
-            h = np.full(len(word), n, np.uint64)
-            for i in range(n):
-                h = vocabulary.longer(h, flat[begin[word] + depth - 1 - i])
+        h = np.zeros(len(word), np.uint64)
+        for n in range(1, min(depth, vocabulary.longest) + 1):
+            h = vocabulary.longer(h, flat[begin[word] + depth - n])
+            if n not in vocabulary.codes:
+                continue
             up = place[depth - n][word]
             s, k = best[depth - n][up] + vocabulary.find(n, h), count[depth - n][up] + 1
             better = (s > score + 1e-9) | (np.abs(s - score) <= 1e-9) & (k < pieces)
@@ -142,6 +143,20 @@ def word_counts(words: list[str], vocabulary: Vocabulary) -> np.ndarray:
     return out
 
 
+def remembered_counts(words: list[str], vocabulary: Vocabulary) -> np.ndarray:
+    """word_counts of distinct words, of which only new ones are scored; those of over LONG characters are not remembered."""
+    known = vocabulary.known
+    if len(known) > MEMORY:
+        known.clear()
+    new = [w for w in words if w not in known]
+    known.update(zip(new, word_counts(new, vocabulary).tolist(), strict=True))
+    out = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    for w in new:
+        if len(w) > LONG:
+            del known[w]
+    return out
+
+
 def token_counts(docs: DataFrame, path: str, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, n_words and n_tokens of every row."""
     import pyarrow.compute as pc
@@ -158,7 +173,7 @@ def token_counts(docs: DataFrame, path: str, id_col="doc_id", text_col="text") -
                 offsets = lists.offsets.to_numpy().astype(np.int64)
                 offsets = offsets - offsets[0]
                 words = coded.dictionary.to_pylist()
-                n = np.where(np.array([len(w) > 0 for w in words], bool), word_counts(words, vocabulary), 0) if words else np.zeros(0, np.int64)
+                n = np.where(np.array([len(w) > 0 for w in words], bool), remembered_counts(words, vocabulary), 0) if words else np.zeros(0, np.int64)
                 codes = coded.indices.to_numpy(zero_copy_only=False)
                 full = np.array([len(w) > 0 for w in words], np.int64)
                 yield batch_of(schema, part.column(0), per_text(full[codes] if words else n, offsets), per_text(n[codes] if words else n, offsets))

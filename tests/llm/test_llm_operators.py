@@ -1,5 +1,6 @@
 """The training-data operators against brute force, on small tables with every awkward row."""
 
+import functools
 import hashlib
 import math
 import re
@@ -520,6 +521,7 @@ def test_token_counts(docs):
     words = sorted({w for (t,) in docs.select("text").collect() for w in re.findall("[^\x20\x09-\x0d]+", t or "")} | {"é", "ab" * 80, "漢字", "internationalisation", "inter", "the"})
     assert token_counts.word_counts(words, vocabulary).tolist() == [token_counts.long_count(token_counts.MARK + w, vocabulary) for w in words]
 
+    @functools.cache
     def best(word):  # all ways to cut
         s = [(0.0, 0)]
         for end in range(1, len(word) + 1):
@@ -535,12 +537,22 @@ def test_token_counts(docs):
     want = Counter()
     for d, t in docs.select("doc_id", "text").collect():
         w = re.findall("[^\x20\x09-\x0d]+", t or "")
-        if len(w) < 200:
-            want[d, len(w), sum(best(token_counts.MARK + x) for x in w)] += 1
-    assert Counter((r["doc_id"], r["n_words"], r["n_tokens"]) for r in rows if r["n_words"] < 200) == want
+        want[d, len(w), sum(best(token_counts.MARK + x) for x in w)] += 1
+    assert Counter((r["doc_id"], r["n_words"], r["n_tokens"]) for r in rows) == want
     assert token_counts.token_counts(empty(docs), PIECES).count() == 0
 
 
+def test_token_counts_are_the_same_when_remembered(monkeypatch):
+    """Words met again, words after the memory was emptied, and words that are too long for it."""
+    monkeypatch.setattr(token_counts, "MEMORY", 5)
+    vocabulary = token_counts.zipf_vocabulary(PIECES)
+    parts = [["the", "then", "theory", "é", "x" * 200], ["then", "x" * 200, "漢字"], ["the", "a", "b", ""], ["the", "漢字"], []]
+    for words in parts:
+        assert token_counts.remembered_counts(words, vocabulary).tolist() == token_counts.word_counts(words, vocabulary).tolist()
+        assert all(len(w) <= token_counts.LONG for w in vocabulary.known)
+    assert len(vocabulary.known) < 10
+
+
 def test_sharding(spark, docs, tmp_path):
     root = f"file://{tmp_path}/set"
     assert sharding.compact(spark, docs.schema, root) is None and sharding.read(spark, docs.schema, root).count() == 0
