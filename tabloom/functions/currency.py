@@ -101,5 +101,6 @@ def with_currency(df: DataFrame, label: Column, name: str = "currency_code") ->
 def currency_counts(df: DataFrame, column: str) -> DataFrame:
     """currency_code and rows of a column, most frequent first; rows without evidence are left out."""
     labels = df.groupBy(F.col(f"`{column}`").cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n")).where("label IS NOT NULL")
+    labels = labels.where(F.col("label").rlike("[A-Za-z$]|[^\\x00-\\x7f]"))  # without a letter or a sign there is no evidence
     found = labels.join(codes_of(labels.select("label")), "label")
     return found.groupBy("currency_code").agg(F.sum("n").alias("rows")).orderBy(F.desc("rows"), "currency_code")

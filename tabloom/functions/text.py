@@ -37,7 +37,7 @@ def strip(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """strip(c) with each inner run of white space as one blank."""
-    return strip(F.regexp_replace(c, f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))  # only blanks are left to strip
 
 
 def western_digits(c: Column) -> Column:

@@ -184,6 +184,11 @@ def cell_changes(df: DataFrame, ops: list[Operation], order: str) -> list[Change
 
 def log(df: DataFrame, ops: list[Operation], order: str | None = None) -> list[Change]:
     """What each operation changes; with an order column, up to EXAMPLES changed cells too."""
+    return logged(df, ops, order)[0]
+
+
+def logged(df: DataFrame, ops: list[Operation], order: str | None = None) -> tuple[list[Change], DataFrame]:
+    """The log, and df after the whole recipe, so that what the log found out is not looked for again."""
     out: list[Change] = []
     todo = [o for o in ops if o.enabled]
     while todo:
@@ -193,19 +198,20 @@ def log(df: DataFrame, ops: list[Operation], order: str | None = None) -> list[C
             df, todo = run(df, few, order), todo[len(few) :]
             continue
         op, todo = todo[0], todo[1:]
-        after, change = apply(df, op, order), Change(op.kind, op.columns)
+        held = [c for c in op.columns if c in df.columns]
+        names = canonical_names(df, held) if op.kind == "fuzzy_entity_merge" and held else None
+        after, change = merge_entities(df, held, names=names) if names is not None else apply(df, op, order), Change(op.kind, op.columns)
         if op.kind == "deduplicate_rows":
             change.rows = df.count() - after.count()
         elif op.kind == "flag_outliers":
             flags = [FLAG_PREFIX + c for c in op.columns if FLAG_PREFIX + c in after.columns]
             change.rows = sum(after.agg(*[F.count_if(named(f)).alias(f) for f in flags]).first()) if flags else 0
-        elif op.kind == "fuzzy_entity_merge" and (held := [c for c in op.columns if c in df.columns]):
-            names = canonical_names(df, held)
+        elif names is not None:
             change.cells = names.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
             change.examples = [r.asDict() for r in names.orderBy(F.desc("n"), "column", "value").limit(EXAMPLES).select("column", F.col("value").alias("before"), F.col("canonical").alias("after")).collect()]
         out.append(change)
         df = after
-    return out
+    return out, df
 
 
 def derive_total(df: DataFrame, quantity: str, price: str, name: str = "total") -> DataFrame:

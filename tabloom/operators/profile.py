@@ -1,7 +1,7 @@
 """Column profiles: types, statistics and quality issues of all columns from a few wide aggregations.
 
-One pass counts, for every column at once, blanks and how many values read as numbers, dates or
-booleans; a grouping of all cells counts distinct values and finds the most frequent; types follow on
+One grouping of all cells gives the distinct values of every column; over these, one pass counts how
+many rows read as numbers, dates or booleans, and another finds the most frequent; types follow on
 the driver. Then come the statistics of the numeric columns, the order statistics nearest to the
 quartiles, and a count of outliers between the fences. The number of jobs does not depend on the
 number of columns, but for samples of columns that begin with blanks. Whole columns are looked at.
@@ -68,37 +68,43 @@ class TableProfile:
         return next((c for c in self.columns if c.name == name), None)
 
 
-def counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row: for column i, counts named i_total, i_blank, i_unique, i_bool, i_number, i_whole, i_date and more."""
-    out: list[Column] = [F.count(F.lit(1)).alias("rows")]
-    read: list[Column] = []
-    for i, name in enumerate(columns or df.columns):
-        c = named(name).cast("string")
-        full = ~T.is_blank(c)
-        # what a cell reads as is found once, in a projection below the aggregation
-        read += [F.when(full, c).alias(f"v{i}"), F.when(full, T.parse_number(c)).alias(f"x{i}"), F.when(full, T.parse_date(c)).alias(f"d{i}")]
-        v, x, d = F.col(f"v{i}"), F.col(f"x{i}"), F.col(f"d{i}")
-        tests = {
-            "blank": v.isNull(), "bool": T.is_boolean_word(v), "number": x.isNotNull(), "whole": x == F.floor(x), "date": d.isNotNull(), "zero_led": T.loses_leading_zero(v),
-            "spaced": v != T.strip(v), "indic": T.has_indic_digits(v), "hijri": d.isNotNull() & T.is_hijri_like(v), "negative": x < 0, "zero": x == 0,
-        }
-        out += [F.count_if(t).alias(f"{i}_{k}") for k, t in tests.items()]
-        out += [F.min(d).alias(f"{i}_first"), F.max(d).alias(f"{i}_last"), F.round(F.avg(F.length(v)), 1).alias(f"{i}_length")]
+def counts(df: DataFrame, columns: list[str] | None = None, counted: DataFrame | None = None) -> DataFrame:
+    """One row: for column i, counts named i_total, i_blank, i_unique, i_bool, i_number, i_whole, i_date and more.
+
+    What a cell reads as is found once for each distinct value (of value_counts), and counted for all
+    its rows. Values of all columns stand below each other, so the plan is as wide as that of one column.
+    """
     names = columns or df.columns
-    unique = distinct_values(df, names).agg(F.map_from_entries(F.collect_list(F.struct("column", "n"))).alias("__unique"))
-    found = [F.coalesce(F.element_at("__unique", F.lit(i)), F.lit(0)).alias(f"{i}_unique") for i in range(len(names))]
-    return df.select(*read).agg(*out).crossJoin(unique).select("*", *found).drop("__unique")
+    v, n = F.col("value"), F.col("n")
+    read = (value_counts(df, names) if counted is None else counted).withColumns({"x": T.parse_number(v), "d": T.parse_date(v)})
+    x, d = F.col("x"), F.col("d")
+    tests = {
+        "bool": T.is_boolean_word(v), "number": x.isNotNull(), "whole": x == F.floor(x), "date": d.isNotNull(), "zero_led": T.loses_leading_zero(v),
+        "indic": T.has_indic_digits(v), "hijri": d.isNotNull() & T.is_hijri_like(v), "negative": x < 0, "zero": x == 0,
+    }
+    facts = [F.sum(n).alias("full"), F.sum("spaced").alias("spaced"), F.count(F.lit(1)).alias("unique"), *[F.sum(F.when(t, n).otherwise(0)).alias(k) for k, t in tests.items()]]
+    facts += [F.min(d).alias("first"), F.max(d).alias("last"), F.round(F.sum("length") / F.sum(n), 1).alias("length")]
+    by_column = read.groupBy("column").agg(*facts)
+    one = by_column.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct(*by_column.columns[1:])))).alias("__facts"))
+    out: list[Column] = []
+    for i in range(len(names)):
+        got = F.element_at("__facts", F.lit(i))
+        number = lambda k, got=got: F.coalesce(got[k], F.lit(0))
+        out += [(F.col("rows") - number("full")).alias(f"{i}_blank"), *[number(k).alias(f"{i}_{k}") for k in (*tests, "spaced", "unique")], *[got[k].alias(f"{i}_{k}") for k in ("first", "last", "length")]]
+    return df.agg(F.count(F.lit(1)).alias("rows")).crossJoin(one).select("rows", *out)
 
 
 def value_counts(df: DataFrame, columns: list[str], order: str | None = None) -> DataFrame:
-    """column (its place), value, n and the first place in order of each distinct value that is not blank.
+    """column (its place), value and n of each distinct value that is not blank, with its first place in order, the
+    number of rows that have white space around it (spaced) and the total length of all its rows.
 
     Values are grouped by column and value, so that each row is read once; distinct counts side by
     side in one aggregation would copy every row for every column.
     """
     first = named(order) if order else F.lit(0)
-    cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("column"), named(c).cast("string").alias("value"), first.alias("at")) for i, c in enumerate(columns)])).alias("x")).select("x.*")
-    return cells.where(~T.is_blank(F.col("value"))).groupBy("column", T.strip(F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("column"), named(c).cast("string").alias("raw"), first.alias("at")) for i, c in enumerate(columns)])).alias("x")).select("x.*")
+    full = cells.where(~T.is_blank(F.col("raw"))).withColumn("value", T.strip(F.col("raw")))
+    return full.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.count_if(F.col("raw") != F.col("value")).alias("spaced"), F.sum(F.length("raw")).alias("length"))
 
 
 def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -215,7 +221,8 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def profile(df: DataFrame, order: str | None = None) -> TableProfile:
     """The profile of a table; `order` names a column that numbers its rows, and is left out."""
     names = [c for c in df.columns if c != order]
-    base = counts(df, names).first().asDict()
+    counted = value_counts(df, names, order).persist()
+    base = counts(df, names, counted).first().asDict()
     cols = []
     for i, name in enumerate(names):
         got = {k.split("_", 1)[1]: v for k, v in base.items() if k.startswith(f"{i}_")} | {"rows": base["rows"]}
@@ -235,19 +242,22 @@ def profile(df: DataFrame, order: str | None = None) -> TableProfile:
     fences = {n: fence(p.stats["p25"], p.stats["p75"]) for p, _ in cols if (n := p.name) in numeric and p.stats["p75"] > p.stats["p25"]}
     beyond = df.agg(*[F.count_if(_outside(df, n, lo, hi)).alias(f"o{i}") for i, (n, (lo, hi)) in enumerate(fences.items())]).first() if fences else []
     tops: dict[int, list] = {}
-    for at, value, n in top_values(value_counts(df, names, order)).collect():
+    listed = [p.position for p, _ in cols if p.type in ("categorical", "text", "identifier", "boolean")]
+    for at, value, n in top_values(counted.where(F.col("column").isin(listed))).collect() if listed else []:
         tops.setdefault(at, []).append((value, n))
+    counted.unpersist()
     head = df.select(*[F.when(~T.is_blank(named(c)), named(c).cast("string")).alias(str(i)) for i, c in enumerate(names)]).limit(HEAD_ROWS).collect()
     for p, got in cols:
-        if p.type in ("categorical", "text", "identifier", "boolean"):
-            p.top_values = tops.get(p.position, [])
+        p.top_values = tops.get(p.position, [])
         p.samples = [r[p.position] for r in head if r[p.position] is not None][:SAMPLES]
         if len(p.samples) < min(SAMPLES, p.total - p.nulls):  # a column that begins with blanks
             p.samples = [r[0] for r in df.where(~T.is_blank(named(p.name))).select(named(p.name).cast("string")).limit(SAMPLES).collect()]
         p.issues = issues(p, got, dict(zip(fences, beyond)).get(p.name, 0))
-    doubled = duplicate_rows(df.select(*map(named, names))).first()
-    whole = [Issue("duplicate_rows", "warning", None, doubled["duplicates"], round(doubled["duplicates"] / doubled["rows"] * 100, 2))] if doubled["duplicates"] else []
-    return TableProfile(base["rows"], doubled["duplicates"], [p for p, _ in cols], whole)
+    # where each row has a value of its own in some column, no two rows are equal
+    keyed = any(p.unique == base["rows"] for p, _ in cols)
+    doubled = 0 if keyed else duplicate_rows(df.select(*map(named, names))).first()["duplicates"]
+    whole = [Issue("duplicate_rows", "warning", None, doubled, round(doubled / base["rows"] * 100, 2))] if doubled else []
+    return TableProfile(base["rows"], doubled, [p for p, _ in cols], whole)
 
 
 def fence(p25: float, p75: float) -> tuple[float, float]:

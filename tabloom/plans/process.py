@@ -74,8 +74,7 @@ def process(spark: SparkSession, path: str, out: str, overrides: dict[str, dict]
         schema = meaning.overridden(schema, overrides)
     on_progress("clean")
     recipe = clean.without(clean.plan(found, [m.column for m in schema.by_role("dimension")]), disabled or [])
-    changes = clean.log(df, recipe, ROW)
-    table = clean.run(df, recipe, ROW)
+    changes, table = clean.logged(df, recipe, ROW)
     on_progress("derive")
     quantity, price = schema.name_of("quantity") or schema.name_of("stock_qty"), schema.name_of("unit_price")
     if not schema.by_concept("total_amount") and quantity and price:
