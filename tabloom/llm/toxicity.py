@@ -32,14 +32,16 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import arrow_schema, batch_of, hash_words, mixed, pieces_of, smallest, spaced, staged, texts_of
+from ._common import arrow_schema, batch_of, give_back, hash_words, mixed, pieces_of, smallest, spaced, staged, texts_of
 from .language_model import packed, unpacked
 
 BLOCK = 64
 NEAREST = 15
 #: Terms of one example in so many are kept as a matrix, the COLUMNS most frequent at most.
 OFTEN, COLUMNS = 24, 512
-QUERIES = 64  # texts that are searched together
+QUERIES, ENTRIES = 64, 1 << 20  # texts that are searched together, and entries of inverted lists that these read (one longer text is searched alone)
+#: Examples that go into the matrix and the lists together; what workers make of an index; bytes of text that are searched together.
+PART, PREPARED, SEARCHED = 1024, ("column", "matrix", "most", "at", "times", "heft", "scale", "start"), 1 << 20
 HOME = 4096  # texts of a task whose norms are brought together
 SHARD_BYTES, MAX_SHARDS = 64 << 20, 4096
 
@@ -111,10 +113,10 @@ class Index:
     def __getstate__(self) -> dict:
         """What is broadcast: the examples' terms and counts; each worker makes the matrix and the lists for itself."""
         small = np.uint8 if self.counts.max(initial=0) < 256 else np.int32
-        return {k: v for k, v in self.__dict__.items() if k not in ("column", "matrix", "most", "at", "value", "start")} | {"counts": self.counts.astype(small), "shared": None}
+        return {k: v for k, v in self.__dict__.items() if k not in PREPARED} | {"counts": self.counts.astype(small), "shared": None}
 
     def __getattr__(self, name: str):
-        if name not in ("column", "matrix", "most", "at", "value", "start"):
+        if name not in PREPARED:
             raise AttributeError(name)
         self.prepare()
         return self.__dict__[name]
@@ -131,22 +133,35 @@ class Index:
         return self.shared
 
     def prepare(self) -> None:
-        n = len(self.ids)
-        place = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.ends))
-        value = (1 + np.log(self.counts.astype(float))) * self.idf[self.terms]
-        value /= np.sqrt(np.bincount(place, value * value, n))[place] if n else 1
-        held = np.bincount(self.terms, minlength=len(self.known))
+        """The matrix and the lists, filled by some examples at a time, so that little is held beside them."""
+        n, size = len(self.ids), len(self.known)
+        parts = [slice(i, min(i + PART, n)) for i in range(0, n, PART)]
+        entries = lambda part: slice(self.ends[part.start], self.ends[part.stop])
+        held = sum((np.bincount(self.terms[entries(part)], minlength=size) for part in parts), np.zeros(size, np.int64))
         often = np.argsort(-held, kind="stable")[:COLUMNS]
         often = often[held[often] * OFTEN > n]
-        self.column = np.full(len(self.known), -1, np.int32)
-        self.column[often] = np.arange(len(often))
-        self.matrix = np.zeros((self.blocks * BLOCK, len(often)))
-        dense = self.column[self.terms] >= 0
-        self.matrix[place[dense], self.column[self.terms[dense]]] = value[dense]
-        self.most = self.matrix.reshape(self.blocks, BLOCK, len(often)).max(axis=1).T if self.blocks else np.zeros((len(often), 0))
-        order = np.argsort(self.terms[~dense], kind="stable")
-        self.at, self.value = place[~dense][order], value[~dense][order]
-        self.start = np.concatenate([[0], np.cumsum(np.where(self.column < 0, held, 0))]).astype(np.int64)
+        column = np.full(size, -1, np.int32)
+        column[often] = np.arange(len(often))
+        start = np.concatenate([[0], np.cumsum(np.where(column < 0, held, 0))]).astype(np.int64)
+        kinds = np.unique(self.counts)
+        heft, scale = 1 + np.log(kinds.astype(float)), np.zeros(self.blocks * BLOCK)
+        matrix = np.zeros((self.blocks * BLOCK, len(often)))
+        at, times, free = np.zeros(start[-1], np.int32), np.zeros(start[-1], np.uint8 if len(kinds) <= 256 else np.int32), start[:-1].copy()
+        for part in parts:
+            terms, kind = self.terms[entries(part)], np.searchsorted(kinds, self.counts[entries(part)])
+            place = np.repeat(np.arange(part.stop - part.start), np.diff(self.ends[part.start : part.stop + 1]))
+            value = heft[kind] * self.idf[terms]
+            scale[part] = 1 / np.sqrt(np.bincount(place, value * value, part.stop - part.start))
+            dense = column[terms] >= 0
+            matrix[part.start + place[dense], column[terms[dense]]] = value[dense] * scale[part][place[dense]]
+            order = np.flatnonzero(~dense)
+            order = order[np.argsort(terms[order], kind="stable")]
+            found, first, n_found = np.unique(terms[order], return_index=True, return_counts=True)
+            to = np.arange(len(order)) + np.repeat(free[found] - first, n_found)
+            at[to], times[to] = part.start + place[order], kind[order]
+            free[found] += n_found
+        self.column, self.start, self.heft, self.scale, self.at, self.times, self.matrix = column, start, heft, scale, at, times, matrix
+        self.most = matrix.reshape(self.blocks, BLOCK, len(often)).max(axis=1).T if self.blocks else np.zeros((len(often), 0))
 
     @property
     def where(self) -> list[np.ndarray]:
@@ -156,7 +171,8 @@ class Index:
     @property
     def what(self) -> list[np.ndarray]:
         """The weights that belong to `where`."""
-        return [self.matrix[self.matrix[:, c] != 0, c] if c >= 0 else self.value[self.start[t] : self.start[t + 1]] for t, c in enumerate(self.column)]
+        listed = lambda own: self.heft[self.times[own]] * self.scale[self.at[own]]
+        return [self.matrix[self.matrix[:, c] != 0, c] if c >= 0 else self.idf[t] * listed(slice(self.start[t], self.start[t + 1])) for t, c in enumerate(self.column)]
 
     def square(self, terms: np.ndarray, counts: np.ndarray) -> float:
         w = (1 + np.log(counts)) * self.idf[terms]
@@ -170,6 +186,15 @@ class Index:
         """Places and cosines of the k nearest examples, nearest first; `but` is left out."""
         return self.search([(terms, counts)], k, [but])[0]
 
+    def together(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[slice]:
+        """Texts to be searched together: at most QUERIES, with at most ENTRIES entries of lists."""
+        size = np.cumsum([0, *[(self.start[t + 1] - self.start[t]).sum() for t, _ in vectors]])
+        first = 0
+        while first < len(vectors):
+            last = max(first + 1, min(first + QUERIES, int(np.searchsorted(size, size[first] + ENTRIES, "right")) - 1))
+            yield slice(first, last)
+            first = last
+
     def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """As nearest, for several texts, each with a term at least."""
         n, m = len(vectors), self.blocks * BLOCK
@@ -182,7 +207,8 @@ class Index:
         q[owner[dense], self.column[terms[dense]]] = w[dense]
         first, size = self.start[terms[~dense]], self.start[terms[~dense] + 1] - self.start[terms[~dense]]
         at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
-        rest = np.bincount(np.repeat(owner[~dense] * m, size) + self.at[at], np.repeat(w[~dense], size) * self.value[at], n * m).astype(float).reshape(n, self.blocks, BLOCK)
+        rest = np.bincount(np.repeat(owner[~dense] * m, size) + self.at[at], np.repeat(w[~dense] * self.idf[terms[~dense]], size) * self.heft[self.times[at]], n * m).astype(float).reshape(n, m)
+        rest = (rest * self.scale).reshape(n, self.blocks, BLOCK)
         bound = rest.max(axis=2) + q @ self.most
         score = np.full((n, self.blocks, BLOCK), -1.0)
         left = np.full(n, -1) if but is None else np.asarray(but)
@@ -273,6 +299,8 @@ def fit(docs: DataFrame, labels: DataFrame, may_teach: Column | None = None, per
     n1, n0 = (np.bincount(terms[x], minlength=len(known)) for x in (toxic, ~toxic))
     weights = np.where(label == 1, totals.get(1, 0) / max(a, 1), totals.get(0, 0) / max(b, 1))
     index = Index(known, idf_of(frequency, documents) * relevance(n1, n0, a, b), held["ex_id"].to_numpy(), label, weights, vectors, documents, int(min(MAX_SHARDS, max(8, -(-size // SHARD_BYTES)))))
+    del held, lists, terms, counts, vectors, toxic  # the index has them; the driver is small
+    give_back()
     calibrate(docs, index)
     return index
 
@@ -311,7 +339,8 @@ def calibrate(docs: DataFrame, index: Index) -> None:
         index = shared.value
         for f in frames:
             ids = f["id"].tolist()
-            found = [x for i in range(0, len(ids), QUERIES) for x in index.search([index.own(j) for j in ids[i : i + QUERIES]], NEAREST, ids[i : i + QUERIES])]
+            own = [index.own(j) for j in ids]
+            found = [x for g in index.together(own) for x in index.search(own[g], NEAREST, ids[g])]
             yield pd.DataFrame({"id": ids, "vote": [index.vote(*x) for x in found]})
 
     got = docs.sparkSession.range(0, len(index.ids), numPartitions=8).mapInPandas(votes, "id long, vote double").toArrow().to_pandas().sort_values("id")
@@ -324,10 +353,9 @@ def judged(index: Index, steps: tuple[np.ndarray, np.ndarray], texts: pa.Array,
     terms, counts, ends, others = known_terms(texts, index.known)
     scores, ids, cosines, squares = np.full(len(texts), index.without), [[]] * len(texts), [[]] * len(texts), np.zeros(len(texts))
     full = np.flatnonzero(np.diff(ends))
-    for i in range(0, len(full), QUERIES):
-        group = full[i : i + QUERIES]
-        vectors = [(terms[ends[j] : ends[j + 1]], counts[ends[j] : ends[j + 1]]) for j in group]
-        for j, own, (at, near) in zip(group, vectors, index.search(vectors, nearest), strict=True):
+    vectors = [(terms[ends[j] : ends[j + 1]], counts[ends[j] : ends[j + 1]]) for j in full]
+    for group in index.together(vectors) if len(index.ids) else [slice(0, len(full))]:
+        for j, own, (at, near) in zip(full[group], vectors[group], index.search(vectors[group], nearest), strict=True):
             squares[j] = index.square(*own)
             if len(at):
                 scores[j], ids[j], cosines[j] = round(index.calibrated(index.vote(at, near), steps), 9), index.ids[at].tolist(), near.tolist()
@@ -410,7 +438,7 @@ def scorer(docs: DataFrame, index: Index, nearest: int, name: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in pieces_of(batch, "text"):
+            for part, texts in pieces_of(batch, "text", SEARCHED):
                 scores = pa.array(judged(shared.value, steps, texts, nearest)[0])
                 yield pa.RecordBatch.from_arrays([*part.columns, scores], schema=pa.schema([*part.schema, pa.field(name, pa.float64())]))
 
