@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, langid, language_model, media, mixing, neardup, packing, sharding, token_counts, toxicity
+from . import ann, embedding_neardup, langid, language_model, media, merkle, mixing, neardup, packing, sharding, token_counts, toxicity, vector_codes
 from ._common import fold_of, shared_dir
 
 BPE, PIECES = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -91,8 +91,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), BPE, capacity=2048), capacity=2048)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_error(rows).select("vec_id", "code", "error", "label_error", F.lit(vector_codes.fingerprint(books)).alias("codebooks_sha256"))
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_neardup.near_vectors(table(spark, sf_dir, "embeddings"), similarity=0.98)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_mixing, op3_language_model, op4_audio, op5_sharding, op6_token_counts, op7_language_id, op8_near_duplicates, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_ann, op2_mixing, op3_language_model, op4_audio, op5_sharding, op6_token_counts, op7_language_id, op8_near_duplicates, op9_toxicity, op10_packing, op11_vector_codes, op12_near_vectors, op13_merkle)}
 
 
 OP2 = r"""
@@ -137,5 +150,84 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS low FROM r GROUP BY
 """
 
 
+#: One round of plain Lloyd from the codebooks c{i}: the nearest entries a{i} and the next codebooks.
+LLOYD = """
+a{i} AS MATERIALIZED (
+  SELECT vec_id, label, p, any_value(v) AS v, arg_min(e, d * 16 + e) AS e, CAST(min(d) AS BIGINT) AS d
+  FROM (SELECT x.*, c.e, list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM x JOIN c{i} c ON x.p = c.p)
+  GROUP BY vec_id, label, p),
+c{j} AS MATERIALIZED (
+  SELECT c.p, c.e, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (
+    SELECT p, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS v
+    FROM (SELECT p, e, i, sum(v[i]) AS s, count(*) AS n FROM (SELECT p, e, v, unnest(range(1, len(v) + 1)) AS i FROM a{i}) GROUP BY p, e, i) GROUP BY p, e) m
+  ON m.p = c.p AND m.e = c.e)"""
+
+OP11 = (
+    """
+WITH k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT vec_id, label, p, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] AS v FROM k, range(8) t(p)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k ORDER BY vec_id LIMIT 16),
+c0 AS MATERIALIZED (SELECT p, e, v FROM x JOIN f USING (vec_id)),"""
+    + ",".join(LLOYD.format(i=i, j=i + 1) for i in range(7))
+    + """,
+r AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY vec_id, label),
+h AS (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(v) AS y, unnest(range(len(v))) AS i FROM c6))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r, h
+"""
+)
+
+OP12 = """
+WITH RECURSIVE w AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+u AS (
+  SELECT *, sqrt(list_dot_product(v, v)) AS n FROM w
+  WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.98),
+r AS (SELECT vec_id AS x, vec_id AS y FROM w UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT w.vec_id, coalesce(l.n, 0) AS n_links, c.low AS component_id, w.vec_id = c.low AS kept
+FROM w LEFT JOIN (SELECT x, count(*) AS n FROM e GROUP BY x) l ON l.x = w.vec_id JOIN (SELECT x, min(y) AS low FROM r GROUP BY x) c ON c.x = w.vec_id
+"""
+
+OP13 = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, concat(coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+      coalesce(octet_length(encode(lang)) || ':' || lang, '-'), coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-')) AS head, text,
+    list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_concat([CAST(ascii(c) AS BIGINT)], list_transform(range(8), lambda i: -1))))),
+      lambda s, b: CASE WHEN b >= 0 THEN xor(s, b) WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END) AS register
+  FROM documents),
+l AS MATERIALIZED (
+  SELECT doc_id, lang, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(register, 4294967295) % 3 = 0 THEN sha256(head || coalesce(octet_length(encode(text)) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS altered,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i
+  FROM d),
+t AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY i) AS nodes FROM l GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range((len(nodes) + 7) // 8), lambda j: sha256(array_to_string(nodes[8 * j + 1 : 8 * j + 8], ''))) FROM t WHERE len(nodes) > 1),
+s AS MATERIALIZED (SELECT lang, level AS height, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM t WHERE len(nodes) = 1),
+g AS (
+  SELECT 0 AS level, list(subroot ORDER BY i) AS nodes FROM s
+  UNION ALL
+  SELECT level + 1, list_transform(range((len(nodes) + 7) // 8), lambda j: sha256(array_to_string(nodes[8 * j + 1 : 8 * j + 8], ''))) FROM g WHERE len(nodes) > 1),
+steps AS MATERIALIZED (
+  SELECT l.doc_id, t.level, l.i // CAST(pow(8, t.level) AS BIGINT) AS place, t.nodes FROM l JOIN t ON l.lang IS NOT DISTINCT FROM t.lang WHERE len(t.nodes) > 1
+  UNION ALL
+  SELECT l.doc_id, s.height + g.level, s.i // CAST(pow(8, g.level) AS BIGINT), g.nodes FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang, g WHERE len(g.nodes) > 1),
+sides AS MATERIALIZED (
+  SELECT doc_id, level, array_to_string(nodes[place // 8 * 8 + 1 : place], '') AS before, array_to_string(nodes[place + 2 : place // 8 * 8 + 8], '') AS behind FROM steps),
+fold AS (
+  SELECT doc_id, 0 AS level, coalesce(altered, leaf) AS node FROM l
+  UNION ALL
+  SELECT fold.doc_id, fold.level + 1, sha256(before || node || behind) FROM fold JOIN sides ON sides.doc_id = fold.doc_id AND sides.level = fold.level),
+folded AS (SELECT doc_id, arg_max(node, level) AS folded_root FROM fold GROUP BY doc_id),
+proof AS (SELECT doc_id, sha256(string_agg(before || behind, '' ORDER BY level)) AS proof_sha256 FROM sides GROUP BY doc_id),
+root AS (SELECT nodes[1] AS root FROM g WHERE len(nodes) = 1)
+SELECT l.doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang JOIN folded ON folded.doc_id = l.doc_id LEFT JOIN proof ON proof.doc_id = l.doc_id, root
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2, "op8_near_duplicates": OP8}
+    return {"op2_mixing": OP2, "op8_near_duplicates": OP8, "op11_vector_codes": OP11, "op12_near_vectors": OP12, "op13_merkle": OP13}
