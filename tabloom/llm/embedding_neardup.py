@@ -9,12 +9,13 @@ of squares stays within 2 - 2t are a staircase from the nearest cell on; travers
 multi-sequence traversal, ends where the recall is 1: no cell beyond holds a partner. So no link is lost, and
 pairs that meet in a cell are verified by their cosine in double precision.
 
-Spark's part: rows equal in label and vector are one class. A class is at home in the row (label, first code)
-of the grid; it also visits those rows of a lower first code that its first half's bound allows, so that each
-pair meets once. A row with many classes is cut into strips of STRIP by hash, each a task unit of its own with
-its own visitors, so no row or group of copies meets in one task. Inside a strip, homes lie sorted by second
-code and visitors stream through them. What leaves a task are counts of links and links that connect what its
-links connect (a spanning forest), never all pairs. Components come from these by large-star and small-star.
+Spark's part: rows equal in label and vector are one class. The grid of a label is cut, cell after cell, into
+units of about STRIP classes (a small label is one unit), and a unit with a crowded cell is dealt by hash over
+several strips, so that no group of copies meets in one task. A class is at home in one strip and visits those
+units after its own that its traversal reaches, so each pair meets once. Inside a strip, homes lie sorted by cell
+and visitors stream through them. What leaves a task are counts of links and links that connect what its links
+connect (a spanning forest), never all pairs. Components come from these by large-star and small-star. The cut
+is known to all tasks; units grow with the table, so that there are never more than about UNITS of them.
 A group of n near but unequal vectors still takes about n * n / 2 cosines and n / STRIP / 2 copies of its rows.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and rows without label,
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ._common import arrow_schema, batch_of, discard, staged
 from .ann import usable
@@ -41,8 +42,8 @@ SAMPLE, SAMPLE_BYTES = 16_384, 16 << 20
 #: Classes for each cell that the size of the codebooks aims at, and the largest codebook.
 FILL, LARGEST = 64, 1024
 STRIP, TOGETHER = 8192, 1024
-#: Grid rows up to which their strips are broadcast; beyond, they are joined by a shuffle.
-ROWS = 200_000
+#: Units that a table is cut into, at most about twice as many.
+UNITS = 100_000
 #: What rounding may add to a squared distance, and how near to the threshold a cosine is computed again term by term.
 ROUNDING = 1e-9
 
@@ -83,39 +84,106 @@ def vectors_of(part) -> np.ndarray:
     return part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
 
 
-def placed(books: dict[int, tuple[np.ndarray, np.ndarray]], reach: float):
-    """class_id, second code, first code and the rows of the grid to visit with the square that each leaves to the second half."""
+Books = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def codes_of(books: Books, vectors: pa.Array, width: np.ndarray):
+    """For each width of a batch: its rows, their cells, and the bounds of both halves (None without a codebook)."""
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        if int(w) not in books:
+            yield at, np.zeros(len(at), np.int64), None
+            continue
+        halves = unit_halves(vectors_of(vectors.take(pa.array(at))))
+        (first, b1), (second, b2) = (bounds(h, book) for h, book in zip(halves, books[int(w)], strict=True))
+        yield at, first * b2.shape[1] + second, (b1, b2)
+
+
+def placed(books: Books):
+    """class_id, label, width, times and vector plus the cell of each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = np.zeros(batch.num_rows, np.int64)
+            for at, own, _ in codes_of(books, batch["vector"], batch["width"].to_numpy()):
+                cell[at] = own
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
+
+    return run
+
+
+class Cut:
+    """Where the units of the large grids begin, and over how many strips each is dealt."""
+
+    def __init__(self, rows: list):
+        rows = sorted((r["grid"], r["start"], r["strips"]) for r in rows)
+        self.grids, self.first = np.unique(np.array([g for g, _, _ in rows], np.int64), return_index=True)
+        self.first = np.append(self.first, len(rows))
+        self.starts, self.strips = np.array([x for _, x, _ in rows], np.int64), np.array([x for _, _, x in rows], np.int64)
+
+    def of(self, grid: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and strips of the units of a grid."""
+        i = int(np.searchsorted(self.grids, grid))
+        if i == len(self.grids) or self.grids[i] != grid:
+            return np.zeros(1, np.int64), np.ones(1, np.int64)
+        s = slice(self.first[i], self.first[i + 1])
+        return self.starts[s], self.strips[s]
+
+
+def cut_grids(home: DataFrame, strip: int) -> Cut:
+    """The cut of all grids of more than `strip` classes, cell after cell."""
+    cells = home.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("grid").orderBy("cell")) - F.col("n")
+    cells = cells.select("grid", "cell", "n", before.alias("before"), F.sum("n").over(Window.partitionBy("grid")).alias("total")).where(F.col("total") > strip)
+    units = cells.groupBy("grid", F.floor(F.col("before") / strip)).agg(F.min("cell").alias("start"), F.ceil(F.sum("n") / (2 * strip)).cast("int").alias("strips"))
+    return Cut(units.select("grid", "start", "strips").collect())
+
+
+def visiting(books: Books, cut, reach: float):
+    """The rows plus `to`: the strips (unit, strip) where a class is at home (asks is false) or asks for partners."""
+    kind = pa.list_(pa.struct([("unit", pa.int32()), ("strip", pa.int32()), ("asks", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            grid, cell, ids = (batch[c].to_numpy() for c in ("grid", "cell", "class_id"))
             width = batch["width"].to_numpy()
-            home, second = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int32)
-            visits: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for w in np.unique(width):
-                at = np.flatnonzero(width == w)
-                if int(w) not in books:
-                    continue
-                a, b = unit_halves(vectors_of(batch["vector"].take(pa.array(at))))
-                home[at], bound = bounds(a, books[int(w)][0])
-                second[at], _ = bounds(b, books[int(w)][1])
-                for i, j in zip(*np.nonzero((bound <= reach) & (np.arange(bound.shape[1]) < home[at][:, None])), strict=True):
-                    visits[at[i]].append({"row": int(j), "left": float(reach - bound[i, j])})
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("class_id", "label", "width", "times", "vector")), pa.array(home), pa.array(second), pa.array(visits, pa.list_(pa.struct([("row", pa.int32()), ("left", pa.float64())])))], ["class_id", "label", "width", "times", "vector", "home", "second", "visits"])
+            to: list = [None] * batch.num_rows
+            for at, _, bound in codes_of(books, batch["vector"], width):
+                for g in np.unique(grid[at]):
+                    own = np.flatnonzero(grid[at] == g)
+                    starts, strips = cut.value.of(int(g))
+                    unit = np.searchsorted(starts, cell[at[own]], "right") - 1
+                    seen = np.zeros((len(own), len(starts)), bool)
+                    if bound is not None and len(starts) > 1:
+                        b1, b2 = bound[0][own], bound[1][own]
+                        q, i = np.nonzero(b1 <= reach)
+                        for s in range(0, len(q), 4096):  # the stairs, row by row
+                            a, row = q[s : s + 4096], i[s : s + 4096]
+                            pair, j = np.nonzero(b2[a] <= (reach - b1[a, row])[:, None])
+                            seen[a[pair], np.searchsorted(starts, row[pair] * b2.shape[1] + j, "right") - 1] = True
+                    for n, k in enumerate(own):
+                        u = int(unit[n])
+                        mine = int(ids[at[k]] % strips[u])
+                        out = [{"unit": u, "strip": mine, "asks": False}]
+                        out += [{"unit": u, "strip": s, "asks": True} for s in range(mine + 1, int(strips[u]))]
+                        out += [{"unit": int(v), "strip": s, "asks": True} for v in np.flatnonzero(seen[n, u + 1 :]) + u + 1 for s in range(int(strips[v]))]
+                        to[at[k]] = out
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to, kind)], [*batch.schema.names, "to"])
 
     return run
 
 
 class Strip:
-    """Classes at home in one strip, sorted by second code, and what was found of them."""
+    """Classes at home in one strip, sorted by cell, and what was found of them."""
 
-    def __init__(self, ids: np.ndarray, times: np.ndarray, x: np.ndarray, second: np.ndarray, book: np.ndarray | None, t: float):
-        order = np.argsort(second, kind="stable")
-        self.ids, self.times, self.x, self.second, self.book, self.t = ids[order], times[order], x[order], second[order], book, t
+    def __init__(self, ids: np.ndarray, times: np.ndarray, x: np.ndarray, cell: np.ndarray, books: tuple[np.ndarray, np.ndarray] | None, t: float):
+        order = np.argsort(cell, kind="stable")
+        self.ids, self.times, self.x, self.books, self.t = ids[order], times[order], x[order], books, t
         first, second = unit_halves(self.x)
         self.unit = np.hstack([first, second])
         self.root = np.arange(len(ids))
         self.links = np.zeros(len(ids), np.int64)
-        self.codes, starts = np.unique(self.second, return_index=True)
+        self.cells, starts = np.unique(cell[order], return_index=True)
         self.ends = np.append(starts, len(ids))
 
     def same(self, cosine: np.ndarray, x: np.ndarray, begin: int) -> np.ndarray:
@@ -126,15 +194,16 @@ class Strip:
             linked[i, j] = math.fsum(u * v) / (math.sqrt(math.fsum(u * u)) * math.sqrt(math.fsum(v * v))) >= self.t
         return linked
 
-    def meet(self, ids: np.ndarray, times: np.ndarray, x: np.ndarray, left: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, list[int], list[int]]:
-        """Links of each asking class with homes of the cells that `left` allows, and spanning links; `own` are the places of
-        asking classes that are at home here, which meet only homes after them."""
-        first, second = unit_halves(x)
-        unit = np.hstack([first, second])
-        bound = bounds(second, self.book)[1] if self.book is not None else np.zeros((len(x), 1))
+    def meet(self, ids: np.ndarray, times: np.ndarray, x: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, list[int], list[int]]:
+        """Links of each asking class with homes, and spanning links; `own` are the places of asking classes that are at
+        home here, which meet only homes after them."""
+        halves = unit_halves(x)
+        unit, reach = np.hstack(halves), 2 - 2 * self.t + ROUNDING
+        b1, b2 = (bounds(h, book)[1] for h, book in zip(halves, self.books, strict=True)) if self.books else [np.zeros((len(x), 1))] * 2
         found, a, b = np.zeros(len(x), np.int64), [], []
-        for code, begin, end in zip(self.codes, self.ends[:-1], self.ends[1:], strict=True):
-            asks = np.flatnonzero(bound[:, code] <= left) if own is None else np.flatnonzero((bound[:, code] <= left) & (own < end - 1))
+        for cell, begin, end in zip(self.cells, self.ends[:-1], self.ends[1:], strict=True):
+            near = b1[:, cell // b2.shape[1]] + b2[:, cell % b2.shape[1]] <= reach
+            asks = np.flatnonzero(near if own is None else near & (own < end - 1))
             if not len(asks):
                 continue
             linked = self.same(unit[asks] @ self.unit[begin:end].T, x[asks], begin)
@@ -162,7 +231,7 @@ class Strip:
         a, b = [], []
         for i in range(0, len(self.ids), TOGETHER):
             own = np.arange(i, min(i + TOGETHER, len(self.ids)))
-            _, u, v = self.meet(self.ids[own], self.times[own], self.x[own], np.full(len(own), 2 - 2 * self.t + ROUNDING), own)
+            _, u, v = self.meet(self.ids[own], self.times[own], self.x[own], own)
             a, b = a + u, b + v
         return a, b
 
@@ -170,7 +239,7 @@ class Strip:
 FOUND = "a bigint, b bigint, links bigint"
 
 
-def met(books: dict[int, tuple[np.ndarray, np.ndarray]], t: float):
+def met(books: Books, t: float):
     """Rows (class, null, links with others) and (class, class, null) for a link; rows come sorted by strip, homes first."""
     schema = arrow_schema(FOUND)
 
@@ -204,10 +273,10 @@ def met(books: dict[int, tuple[np.ndarray, np.ndarray]], t: float):
                     strip, first = opened(homes)
                     homes = []
                     yield linked(*first)
-                ids, times, left, x = part["class_id"].to_numpy(), part["times"].to_numpy(), part["left"].to_numpy(), vectors_of(part["vector"])
+                ids, times, x = part["class_id"].to_numpy(), part["times"].to_numpy(), vectors_of(part["vector"])
                 for i in range(0, len(ids), TOGETHER):
                     s = slice(i, i + TOGETHER)
-                    links, a, b = strip.meet(ids[s], times[s], x[s], left[s], None)
+                    links, a, b = strip.meet(ids[s], times[s], x[s])
                     yield counted(ids[s], links)
                     yield linked(a, b)
         yield from finished(strip, homes)
@@ -215,7 +284,7 @@ def met(books: dict[int, tuple[np.ndarray, np.ndarray]], t: float):
     def opened(homes: list[pa.RecordBatch]) -> tuple[Strip, tuple]:
         width = homes[0]["width"][0].as_py()
         column = lambda c: np.concatenate([h[c].to_numpy() for h in homes])
-        strip = Strip(column("class_id"), column("times"), np.concatenate([vectors_of(h["vector"]) for h in homes]), column("second"), books[width][1] if width in books else None, t)
+        strip = Strip(column("class_id"), column("times"), np.concatenate([vectors_of(h["vector"]) for h in homes]), column("cell"), books.get(width), t)
         return strip, strip.among()
 
     def finished(strip: Strip | None, homes: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +311,7 @@ def classes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         seed += 1
 
 
-def fitted_books(classes: DataFrame, size: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def fitted_books(classes: DataFrame, size: int) -> Books:
     """Codebooks of the halves for each width that a sample of at most SAMPLE classes and SAMPLE_BYTES has; the others have none."""
     widest = classes.agg(F.max("width")).first()[0]
     if widest is None:
@@ -258,24 +327,15 @@ def fitted_books(classes: DataFrame, size: int) -> dict[int, tuple[np.ndarray, n
 
 def linked_classes(classes: DataFrame, t: float) -> DataFrame:
     """FOUND: counts of links with other classes, and links that connect what is linked; staged."""
-    reach = 2 - 2 * t + ROUNDING
-    books = fitted_books(classes, classes.count())
-    label, vector = (classes.schema[c].dataType.simpleString() for c in ("label", "vector"))
-    home = staged(classes.mapInArrow(placed(books, reach), f"class_id bigint, label {label}, width int, times bigint, vector {vector}, home int, second int, visits array<struct<row:int,left:double>>"), "multi-placed")
-    strips = home.groupBy(F.col("label").alias("l"), F.col("width").alias("w"), F.col("home").alias("row")).agg(F.ceil(F.count(F.lit(1)) / STRIP).cast("int").alias("strips"))
-    strips = staged(strips, "multi-strips")
-    if strips.count() <= ROWS:
-        strips = F.broadcast(strips)
-    at_home = home.select("*", F.explode(F.array_append("visits", F.struct(F.col("home").alias("row"), F.lit(reach).alias("left")))).alias("to"))
-    visiting = at_home.select("class_id", "label", "width", "times", "vector", "home", "second", F.col("to.row").alias("row_"), F.col("to.left").alias("left"))
-    visiting = visiting.join(strips, (F.col("label") == F.col("l")) & (F.col("width") == F.col("w")) & (F.col("row_") == F.col("row")))
-    own = F.pmod(F.xxhash64("class_id", F.lit(3)), F.col("strips")).cast("int")
-    low = F.when(F.col("row_") == F.col("home"), own).otherwise(0)
-    placed_rows = visiting.select("*", low.alias("low")).select("class_id", "label", "width", "times", "vector", "second", "left", "row_", F.explode(F.sequence("low", F.col("strips") - 1)).alias("strip"), ((F.col("row_") == F.col("home"))).alias("near"), "low")
-    asks = ~(F.col("near") & (F.col("strip") == F.col("low")))
-    placed_rows = placed_rows.select("class_id", "label", "width", "times", "vector", "second", "left", "row_", "strip", asks.alias("asks"))
-    dealt = placed_rows.repartition("label", "width", "row_", "strip").sortWithinPartitions("label", "width", "row_", "strip", "asks")
-    numbered = dealt.withColumn("strip_key", F.xxhash64("label", "width", "row_", "strip")).select("class_id", "width", "times", "vector", "second", "left", "asks", "strip_key")
+    size = classes.count()
+    books = fitted_books(classes, size)
+    kinds = ", ".join(f"{c} {classes.schema[c].dataType.simpleString()}" for c in classes.columns)
+    home = staged(classes.mapInArrow(placed(books), f"{kinds}, cell bigint").withColumn("grid", F.xxhash64("label", "width")), "multi-placed")
+    cut = classes.sparkSession.sparkContext.broadcast(cut_grids(home, max(STRIP, size // UNITS)))
+    sent = home.mapInArrow(visiting(books, cut, 2 - 2 * t + ROUNDING), f"{kinds}, cell bigint, grid bigint, to array<struct<unit:int,strip:int,asks:boolean>>")
+    sent = sent.select("*", F.explode("to").alias("at")).select("class_id", "label", "width", "times", "vector", "cell", "at.unit", "at.strip", "at.asks")
+    dealt = sent.repartition("label", "width", "unit", "strip").sortWithinPartitions("label", "width", "unit", "strip", "asks")
+    numbered = dealt.withColumn("strip_key", F.xxhash64("label", "width", "unit", "strip")).select("class_id", "width", "times", "vector", "cell", "asks", "strip_key")
     out = staged(numbered.mapInArrow(met(books, t), FOUND), "multi-found")
     discard(home)
     return out

@@ -81,7 +81,7 @@ def test_rounding_at_the_threshold():
     """A cosine of exactly the threshold links."""
     u, v = np.array([[3.0, 4.0]]), np.array([[3.0, 4.0], [4.0, 3.0]])
     strip = embedding_neardup.Strip(np.array([0, 1]), np.array([1, 1]), v, np.array([0, 0]), None, 0.96)
-    links, a, b = strip.meet(np.array([5]), np.array([1]), u, np.array([9.0]), None)
+    links, a, b = strip.meet(np.array([5]), np.array([1]), u)
     assert links.tolist() == [2] and a == [5, 5] and b == [0, 1]
 
 
