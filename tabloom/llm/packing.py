@@ -188,25 +188,29 @@ def pack(pieces: DataFrame, capacity=2048, slack=8, fan_in=8, leaf_size=LEAF, no
     names = [n for n in pieces.columns]
     local = spark.createDataFrame([], pieces.schema).selectExpr("*", "0L AS pack_bin", "0L AS pack_offset", "0L AS pack_fill").schema
 
-    def leaf(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows stay in Arrow: beside a null, a long id would become a float elsewhere
         number, base, held = TaskContext.get().partitionId(), 0, []
 
-        def placed() -> pd.DataFrame:
+        def placed() -> Iterator[pa.RecordBatch]:
             nonlocal base
-            frame = pd.concat(held, ignore_index=True)
-            where, offset, fill = best_fit(frame["length"].to_numpy(np.int64), capacity)
+            where, offset, fill = best_fit(np.concatenate([b["length"].to_numpy() for b in held]).astype(np.int64), capacity)
+            new, at = ((number << 40) + base + where, offset, fill[where]), 0
             base += len(fill)
-            return frame.assign(pack_bin=(number << 40) + base - len(fill) + where, pack_offset=offset, pack_fill=fill[where])
+            for b in held:
+                own = (pa.array(x[at : at + b.num_rows]) for x in new)
+                yield pa.RecordBatch.from_arrays([*b.columns, *own], [*b.schema.names, "pack_bin", "pack_offset", "pack_fill"])
+                at += b.num_rows
 
-        for frame in frames:
-            held.append(frame)
-            if sum(map(len, held)) >= leaf_size:
-                yield placed()
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= leaf_size:
+                yield from placed()
                 held = []
         if held:
-            yield placed()
+            yield from placed()
 
-    placed = staged(pieces.mapInPandas(leaf, local), f"{label}-leaves")
+    placed = staged(pieces.mapInArrow(leaf, local), f"{label}-leaves")
     bins = placed.where(F.col("pack_fill") < capacity - slack).groupBy(F.col("pack_bin").alias("item")).agg(F.first("pack_fill").alias("fill"))
     bins = bins.select("item", "fill", (F.shiftright("item", 40)).alias("node"))
     chains, level = None, 0

@@ -631,3 +631,10 @@ def test_smallest_by_range(spark):
     df = spark.range(3000).select((F.col("id") % 3).alias("g"), F.xxhash64("id").alias("h")).where("g < 2 or h > 9e18")
     want = {r["g"]: sorted(r["x"])[:100][-1] for r in df.groupBy("g").agg(F.collect_set("h").alias("x")).collect()}
     assert {r["g"]: r["end"] for r in smallest(df, "g", "h", 100).collect()} == want
+
+
+def test_packing_keeps_ids_beside_nulls(spark):
+    """Ids beyond 2^53 stay what they are beside a null one in the same batch."""
+    ids = [9007199254740993, None, 9007199254740995]
+    docs = spark.createDataFrame([(i, "some words") for i in ids], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in packing.pack(packing.token_pieces(docs, BPE)).collect()} == set(ids)
