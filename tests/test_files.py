@@ -1,11 +1,14 @@
+import csv
+import io
 import json
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from tabloom.plans.process import dashboard, load_run, process
-from tabloom.sources import readers, sinks, sniff
+from tabloom.sources import readers, records, sinks, sniff
 from tabloom.sources.xlsx import write_xlsx
 
 
@@ -21,6 +24,52 @@ def test_csv_with_title_rows_and_encoding(spark, tmp_path):
     assert rows_of(df) == [("قلم", "3", "1,5"), ("دفتر", "4", "2")]
 
 
+def test_csv_values_over_lines(spark, tmp_path):
+    """Quoted line breaks, blank lines inside of values and between records, quotes inside of values, and too many fields."""
+    p = tmp_path / "a.csv"
+    p.write_text('a,b,c\n1,"x\ny",3\n4,z,6\n\n7,"say ""hi"",\n\nthen go",8\n9,5" pipe,10\n11,"p,\nq",12,13\n')
+    df, info = readers.read(spark, str(p))
+    assert rows_of(df) == [("1", "x\ny", "3"), ("4", "z", "6"), ("7", 'say "hi",\n\nthen go', "8"), ("9", '5" pipe', "10"), ("11", "p,\nq", "12")]
+    assert len(info.warnings) == 1 and "[6]" in info.warnings[0]
+    assert process(spark, str(p), str(tmp_path / "out")).table.count() == 5
+
+
+def test_csv_open_quote(spark, tmp_path):
+    p = tmp_path / "a.csv"
+    p.write_text('a,b\n1,"x\n2,y\n3,z\n')
+    df, info = readers.read(spark, str(p))
+    assert [r["a"] for r in df.orderBy(readers.ROW).collect()] == ["1", "2", "3"] and "never closed" in info.warnings[0]
+
+
+@pytest.mark.parametrize("size", ["16", "70", "1000000"])
+def test_records_over_byte_ranges(spark, tmp_path, size):
+    """Wherever a file is cut, its records are those of a plain reader, and each is numbered by its place."""
+    rng, p = random.Random(int(size)), tmp_path / "a.csv"
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for trial in range(6):
+            out = io.StringIO()
+            csv.writer(out, lineterminator="\r\n" if trial % 2 else "\n").writerows([["".join(rng.choices('ab,"\n س', k=rng.randint(0, 12))) for _ in range(3)] for _ in range(rng.randint(1, 60))])
+            p.write_bytes(out.getvalue().encode("cp1256" if trial == 2 else "utf-8"))
+            got, closed = records.records(spark, str(p), ",", "cp1256" if trial == 2 else "utf-8")
+            got = sorted(map(tuple, got.collect()))
+            want = [r for r in csv.reader(io.StringIO(out.getvalue().replace("\r\n", "\n"))) if r]
+            assert closed and [n for n, _ in got] == list(range(1, len(want) + 1))
+            assert [next(csv.reader(io.StringIO(t))) for _, t in got] == want
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_html_keys_beside_nulls(spark):
+    """Long keys stay what they are beside a null one."""
+    page = "<table><tr><td>x</td></tr></table>"
+    df = spark.createDataFrame([(9007199254740993, page), (None, page), (9007199254740995, page)], "k long, html string").coalesce(1)
+    assert {r["key"] for r in readers.html_rows(df, "html", "k").collect()} == {9007199254740993, None, 9007199254740995}
+
+
 def test_csv_ragged_and_repeated_headers(spark, tmp_path):
     p = tmp_path / "a.csv"
     p.write_text('a,a,,d\n1,2,3,4\n5,"6,x",7,8\n1,2,3,4,9\n1,2\n')
