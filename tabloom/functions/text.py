@@ -54,11 +54,16 @@ def strip_diacritics(c: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode compatibility folding."""
+def _nfkc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC")
 
 
+def nfkc(c: Column) -> Column:
+    """Unicode compatibility folding; ASCII texts, which it leaves as they are, do not go to Python."""
+    s = c.cast("string")
+    return F.coalesce(_nfkc(F.when(s.rlike("[^\\x00-\\x7f]"), s)), s)
+
+
 def search_key(c: Column) -> Column:
     """The form in which texts are compared: marks dropped, letter forms unified, lower case.
 

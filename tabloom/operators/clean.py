@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..session import scratch
 from .metrics import named
 from .profile import TableProfile, fence, quartiles
 
@@ -199,7 +200,7 @@ def logged(df: DataFrame, ops: list[Operation], order: str | None = None) -> tup
             continue
         op, todo = todo[0], todo[1:]
         held = [c for c in op.columns if c in df.columns]
-        names = canonical_names(df, held) if op.kind == "fuzzy_entity_merge" and held else None
+        names = written_once(canonical_names(df, held)) if op.kind == "fuzzy_entity_merge" and held else None
         after, change = merge_entities(df, held, names=names) if names is not None else apply(df, op, order), Change(op.kind, op.columns)
         if op.kind == "deduplicate_rows":
             change.rows = df.count() - after.count()
@@ -214,6 +215,13 @@ def logged(df: DataFrame, ops: list[Operation], order: str | None = None) -> tup
     return out, df
 
 
+def written_once(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again: several jobs use what one has found."""
+    path = scratch(df.sparkSession, "names")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def derive_total(df: DataFrame, quantity: str, price: str, name: str = "total") -> DataFrame:
     """df with quantity times price, under a name that is not taken."""
     while name in df.columns:

@@ -9,8 +9,11 @@ number of columns, but for samples of columns that begin with blanks. Whole colu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, DateType, FractionalType, IntegralType, TimestampNTZType, TimestampType
 
@@ -21,8 +24,8 @@ from .metrics import named
 ACCEPT, FEW_VALUES, FEW_SHARE, MIXED_SHARE, IDENTIFIER_ROWS, CONSTANT_ROWS = 0.95, 50, 0.05, 0.3, 10, 10
 SPARSE_PCT, MISSING_PCT, HIJRI_SHARE, OUTLIER_SHARE, FENCE = 80, 5, 0.3, 0.15, 1.5
 TOP_VALUES, SAMPLES, HEAD_ROWS = 20, 10, 200
-#: Rows up to which order statistics come from one aggregation; half the width of a bracket around a rank, and what bounds its error.
-AT_ONCE, BRACKET, ACCURACY = 2_000_000, 3e-4, 10_000
+#: Bits that a pass of radix selection looks at, and how many values in all are sorted at once.
+RADIX, FEW_LEFT = 16, 1_000_000
 
 
 @dataclass
@@ -148,40 +151,82 @@ def infer_type(kind, got: dict) -> tuple[str, float]:
     return "text", 0.8
 
 
-def order_statistics(df: DataFrame, values: dict[str, Column], sizes: dict[str, int], ranks: dict[str, list[int]], at_once: int = AT_ONCE) -> dict[str, list[float]]:
+def ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned integers of the same order; both zeros are one, and what is no number comes last."""
+    bits = (x + 0.0).view(np.uint64)
+    bits = np.where(np.isnan(x), np.uint64(0x7FF8 << 48), bits)
+    return np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(1 << 63))
+
+
+def double_of(bits: int) -> float:
+    """The double of ordered bits."""
+    plain = bits ^ (1 << 63) if bits >> 63 else ~bits & (1 << 64) - 1
+    return float(np.array([plain], np.uint64).view(np.float64)[0])
+
+
+def cell_counts(numbers: DataFrame, open_cells: list[tuple[int, int]], done: int) -> DataFrame:
+    """slot, cell and n: of the numbers of a column whose first `done` ordered bits are those of an open cell
+    (column, bits), how many have which RADIX bits next. A task holds one array of counts for each open cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((len(open_cells), 1 << RADIX), np.int64)
+        for batch in batches:
+            bits = {}
+            for slot, (i, first) in enumerate(open_cells):
+                if i not in bits:
+                    bits[i] = ordered_bits(batch.column(i).drop_null().to_numpy().astype(np.float64))
+                own = bits[i] if not done else bits[i][bits[i] >> np.uint64(64 - done) == np.uint64(first)]
+                held[slot] += np.bincount((own >> np.uint64(64 - done - RADIX) & np.uint64((1 << RADIX) - 1)).astype(np.int64), minlength=1 << RADIX)
+        slot, cell = np.nonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(cell, pa.int32()), pa.array(held[slot, cell])], ["slot", "cell", "n"])
+
+    return numbers.mapInArrow(run, "slot int, cell int, n bigint").groupBy("slot", "cell").agg(F.sum("n").alias("n"))
+
+
+def order_statistics(df: DataFrame, values: dict[str, Column], sizes: dict[str, int], ranks: dict[str, list[int]], few: int = FEW_LEFT) -> dict[str, list[float]]:
     """The values of the given ranks (from 0) of each column that has `sizes` values, exactly.
 
-    Up to at_once rows, one aggregation finds them. Beyond, approximate percentiles, whose error in
-    rank is bounded, give a bracket around each rank; the rows below it are counted, and only those
-    inside (some 0.06 % of all) are kept for an exact answer. No task holds a column.
+    Radix selection: a pass over all columns counts the numbers of each open cell by their next RADIX
+    ordered bits, and the cell that holds a rank is open in the next pass. Once the open cells hold
+    `few` values or less, these are sorted in one aggregation; after 64 bits, all values of a cell are
+    equal, so any number of ties will do. No task holds more than its counts or `few` values.
     """
-    held = [(c, r, f"x{i}") for i, (c, r) in enumerate((c, r) for c in values for r in ranks[c])]
-    if not held:
-        return {c: [] for c in values}
-    # what a cell reads as is found once, below the aggregations
-    df, values = df.select(*[x.alias(f"v{i}") for i, x in enumerate(values.values())]), {c: F.col(f"v{i}") for i, c in enumerate(values)}
-    share = lambda r, n: min(max(r / (n - 1), 0.0), 1.0) if n > 1 else 0.0
-    if max(sizes.values()) <= at_once:
-        got = df.agg(*[F.percentile(values[c], F.lit(share(r, sizes[c]))).alias(x) for c, r, x in held]).first()
+    numbers = df.select(*[x.cast("double").alias(f"v{i}") for i, x in enumerate(values.values())])
+    at = {(i, r): (0, r, sizes[c]) for i, c in enumerate(values) for r in ranks[c]}  # first bits, rank in the cell, values in it
+    done = 0
+    while at and done < 64 and sum({(i, bits): n for (i, _), (bits, _, n) in at.items()}.values()) > few:
+        open_cells = sorted({(i, bits) for (i, _), (bits, _, _) in at.items()})
+        slots = {cell: slot for slot, cell in enumerate(open_cells)}
+        counts = cell_counts(numbers, open_cells, done)
+        upto = F.sum("n").over(Window.partitionBy("slot").orderBy("cell"))
+        wanted = df.sparkSession.createDataFrame([(slots[i, bits], i, r, inner) for (i, r), (bits, inner, _) in at.items()], "slot int, i int, r long, inner long")
+        found = counts.withColumn("before", upto - F.col("n")).join(F.broadcast(wanted), "slot").where("before <= inner AND inner < before + n")
+        at = {(x["i"], x["r"]): (at[x["i"], x["r"]][0] << RADIX | x["cell"], x["inner"] - x["before"], x["n"]) for x in found.collect()}
+        done += RADIX
+    rest = 64 - done
+    if done < 64 and at:
+        cells = sorted({(i, bits) for (i, _), (bits, _, _) in at.items()})
+        inside = lambda i, bits: F.col(f"v{i}") if not done else F.when((F.col(f"v{i}") >= double_of(bits << rest)) & (F.col(f"v{i}") <= double_of((bits + 1 << rest) - 1)), F.col(f"v{i}"))
+        lists = numbers.agg(*[F.sort_array(F.collect_list(inside(i, bits))).alias(f"c{k}") for k, (i, bits) in enumerate(cells)])
+        picks = {key: f"p{k}" for k, key in enumerate(at)}
+        got = lists.select(*[F.get(f"c{cells.index((key[0], at[key][0]))}", F.lit(at[key][1])).alias(p) for key, p in picks.items()]).first()
+        exact = {key: got[p] for key, p in picks.items()}
     else:
-        ends = df.agg(*[F.percentile_approx(values[c], [max(share(r, sizes[c]) - BRACKET, 0.0), min(share(r, sizes[c]) + BRACKET, 1.0)], ACCURACY).alias(x) for c, r, x in held]).first()
-        inside = {x: values[c].between(*ends[x]) for c, _, x in held}
-        n = df.agg(*[F.count_if(values[c] < ends[x][0]).alias(f"b{x}") for c, _, x in held], *[F.count_if(inside[x]).alias(f"n{x}") for _, _, x in held]).first()
-        got = df.agg(*[F.percentile(F.when(inside[x], values[c]), F.lit(share(r - n[f"b{x}"], n[f"n{x}"]))).alias(x) for c, r, x in held]).first()
-    return {c: [got[x] for d, _, x in held if d == c] for c in values}
+        exact = {key: double_of(bits) for key, (bits, _, _) in at.items()}
+    return {c: [exact[i, r] for r in ranks[c]] for i, c in enumerate(values)}
 
 
-def quartiles(df: DataFrame, values: dict[str, Column], sizes: dict[str, int], at_once: int = AT_ONCE) -> dict[str, tuple[float, float]]:
+def quartiles(df: DataFrame, values: dict[str, Column], sizes: dict[str, int], few: int = FEW_LEFT) -> dict[str, tuple[float, float]]:
     """The order statistics nearest to the quartiles."""
     ranks = {c: [round((sizes[c] - 1) * q) for q in (0.25, 0.75)] for c in values}
-    return {c: tuple(x) for c, x in order_statistics(df, values, sizes, ranks, at_once).items()}
+    return {c: tuple(x) for c, x in order_statistics(df, values, sizes, ranks, few).items()}
 
 
 def number_column(df: DataFrame, name: str) -> Column:
     return named(name).cast("double") if _numeric(df, name) else T.parse_number(F.when(~T.is_blank(named(name)), named(name)))
 
 
-def numeric_stats(df: DataFrame, sizes: dict[str, int], interpolate: bool = False, at_once: int = AT_ONCE) -> DataFrame:
+def numeric_stats(df: DataFrame, sizes: dict[str, int], interpolate: bool = False, few: int = FEW_LEFT) -> DataFrame:
     """One row of min, max, mean, median, std, p25 and p75 for each column of `sizes` (its number of values, at least one).
 
     Quartiles are the nearest order statistics, or with interpolate the linear ones; the median is always linear.
@@ -190,7 +235,7 @@ def numeric_stats(df: DataFrame, sizes: dict[str, int], interpolate: bool = Fals
         return df.sparkSession.range(1)
     values = {c: number_column(df, c) for c in sizes}
     at = {c: [(n - 1) * 0.5, *[(n - 1) * q if interpolate else float(round((n - 1) * q)) for q in (0.25, 0.75)]] for c, n in sizes.items()}
-    found = order_statistics(df, values, sizes, {c: [r for x in at[c] for r in (int(x), min(int(x) + 1, sizes[c] - 1))] for c in sizes}, at_once)
+    found = order_statistics(df, values, sizes, {c: [r for x in at[c] for r in (int(x), min(int(x) + 1, sizes[c] - 1))] for c in sizes}, few)
     plain, ranked = [], {}
     df, values = df.select(*[x.alias(f"v{i}") for i, x in enumerate(values.values())]), {c: F.col(f"v{i}") for i, c in enumerate(values)}
     for i, (c, x) in enumerate(values.items()):

@@ -65,7 +65,8 @@ def process(spark: SparkSession, path: str, out: str, overrides: dict[str, dict]
     on_progress("read")
     df, info = read(spark, path, sheet)
     on_progress("merge_columns")
-    df = merged_columns(df).cache()
+    # a small file is a few byte ranges only; all that follows works on its rows, so they are dealt to more tasks once
+    df = merged_columns(df).repartition(max(1, min(spark.sparkContext.defaultParallelism, info.size >> 19))).cache()
     on_progress("profile")
     found = profile.profile(df, ROW)
     on_progress("meaning")

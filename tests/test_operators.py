@@ -149,14 +149,80 @@ def test_mixed_currencies(spark):
     assert schema.currency.mixed and schema.currency.codes == ["USD", "SYP"]
 
 
-def test_order_statistics_by_brackets(spark):
-    """The way for large tables gives the same values as one aggregation."""
-    from tabloom.operators import profile
-
-    df = spark.range(20_001).select((F.pmod(F.xxhash64("id"), F.lit(1000)) * F.pmod(F.hash("id"), F.lit(7))).cast("double").alias("v"), F.lit(3.0).alias("same"))
-    values, sizes = {c: F.col(c) for c in df.columns}, {c: 20_001 for c in df.columns}
-    ranks = {c: [0, 5000, 10_000, 19_999, 20_000] for c in df.columns}
-    ordered = sorted(r["v"] for r in df.collect())
-    for at_once in (0, 10**9):
-        got = profile.order_statistics(df, values, sizes, ranks, at_once)
-        assert got["v"] == [ordered[i] for i in ranks["v"]] and got["same"] == [3.0] * 5
+def test_radix_selection(spark):
+    """Any number of passes gives what sorting gives: ties, both zeros, infinities, tiny and huge numbers, and nulls."""
+    n = 20_001
+    odd = F.when(F.col("id") < 9, F.get(F.array(*[F.lit(x) for x in (0.0, -0.0, float("inf"), float("-inf"), 5e-324, -5e-324, 1e308, -1e-300, 0.5)]), F.col("id").cast("int")))
+    df = spark.range(n).select((F.pmod(F.xxhash64("id"), F.lit(1000)) * F.pmod(F.hash("id"), F.lit(7))).cast("double").alias("v"), F.lit(3.0).alias("same"), F.coalesce(odd, F.randn(3)).alias("odd"), F.when(F.col("id") % 3 == 0, -F.col("id")).alias("few"))
+    rows = df.collect()
+    values, ranks = {c: F.col(c) for c in df.columns}, {}
+    ordered = {c: sorted(r[c] for r in rows if r[c] is not None) for c in df.columns}
+    for c, x in ordered.items():
+        ranks[c] = [0, 1, len(x) // 4, len(x) // 2, len(x) - 2, len(x) - 1]
+    for few in (0, 500, 10**9):
+        got = P.order_statistics(df, values, {c: len(x) for c, x in ordered.items()}, ranks, few)
+        assert got == {c: [ordered[c][i] for i in ranks[c]] for c in ordered}
+
+
+def test_radix_selection_of_many_ties(spark):
+    """Ten million values, of which nine in ten are one number: no task ever holds a list of them."""
+    n = 10_000_000
+    df = spark.range(n).select(F.when(F.col("id") % 10 != 0, 7.25).otherwise(F.col("id").cast("double")).alias("v"))
+    got = P.order_statistics(df, {"v": F.col("v")}, {"v": n}, {"v": [0, 1, n // 2, n - n // 10, n - n // 10 + 1, n - 1]}, few=1000)
+    assert got["v"] == [0.0, 7.25, 7.25, 7.25, 10.0, float(n - 10)]
+
+
+def test_similarity_of_names():
+    """The ratio of common letters, on keys."""
+    from difflib import SequenceMatcher
+
+    pairs = [("total", "total amount"), ("abcd", "abxy"), ("price", "prices"), ("Qty", "qty"), ("السعر", "سعر"), ("إجمالي", "اجمالي"), ("", ""), ("a", "")]
+    pairs += [(a, b) for a in ("unit price", "Invoice No", "stock", "customer name") for b in ("price unit", "invoice_no", "stocks", "name")]
+    for a, b in pairs:
+        assert meaning.similarity(a, b) == SequenceMatcher(None, meaning.plain_key(a), meaning.plain_key(b)).ratio()
+    assert meaning.by_name("prices", "float").confidence == meaning.CONTAINED and meaning.by_name("qty", "text").confidence == meaning.WRONG_TYPE
+
+
+def columns_of(df):
+    schema = meaning.resolve(df, P.profile(df))
+    return schema, {c.column: (c.concept, c.role) for c in schema.columns}
+
+
+def test_constant_columns(spark):
+    n = 40
+    df = spark.createDataFrame([("store", "SYP", n, 7, float(i % 9 + 1), f"p{i % 5}") for i in range(n)], "branch string, currency string, records int, level int, price double, product string")
+    schema, got = columns_of(df)
+    assert got["branch"] == (None, "constant") and got["records"] == (None, "constant") and schema.currency.codes == ["SYP"]
+    assert next(c for c in schema.columns if c.column == "level").confidence <= meaning.CONSTANT_CONFIDENCE
+    assert got["price"][0] == "unit_price" and got["product"][0] == "product_name"
+
+
+def test_inventory_domain(spark):
+    """A quantity beside barcodes and warehouses, without dates or customers, is a stock; a sale's is not."""
+    rows = [(f"62{i:08d}", f"drug {i % 30}", f"w{i % 3}", i % 7 + 1, 10.0 + i % 11) for i in range(120)]
+    df = spark.createDataFrame(rows, "barcode string, item string, warehouse string, qty int, price double")
+    schema, got = columns_of(df)
+    assert schema.domain == "inventory" and got["qty"] == ("stock_qty", "measure")
+    dated = df.selectExpr("*", "date_add(DATE'2026-01-01', qty) AS date")
+    schema, got = columns_of(dated)
+    assert schema.domain == "generic" and got["qty"][0] == "quantity"
+    schema, _ = columns_of(df.selectExpr("*", "date_add(DATE'2027-01-01', qty) AS expiry", "warehouse AS maker"))
+    assert schema.domain == "pharmacy"
+
+
+def test_vetoes_between_columns(spark):
+    """Sales beside a price is money; a price in dollars is no exchange rate; one date by shape, beside others."""
+    df = spark.createDataFrame([(5 + i % 9, 2.0 + i % 4, 100.0 + i % 13, f"2026-01-{i % 28 + 1:02d}", f"2026-02-{i % 28 + 1:02d}") for i in range(60)], "Sales int, price double, `السعر بالدولار` double, firstmoment string, othermoment string")
+    schema, got = columns_of(df)
+    assert got["Sales"][0] == "total_amount" and got["السعر بالدولار"] == ("unit_price", "measure")
+    assert got["firstmoment"] == ("date", "time") and got["othermoment"] == (None, "time")
+
+
+def test_products_among_many_columns(spark):
+    """Fifty numeric columns make a plan of bounded size, and the one true product is found."""
+    rnd = [F.round(F.rand(i) * 900 + 100, 2).alias(f"m{i}") for i in range(47)]
+    df = spark.range(400).select((F.col("id") % 9 + 1).cast("int").alias("a"), F.round(F.rand(99) * 50 + 1, 2).alias("b"), *rnd).withColumn("c", F.col("a") * F.col("b"))
+    numeric = df.columns
+    found = P.TableProfile(400, 0, [P.ColumnProfile(c, i, "integer" if c == "a" else "float", 1.0, 400, 0, 300, {"mean": 5.0 if c == "a" else 25.0}) for i, c in enumerate(numeric)], [])
+    assert len(meaning.likely_products(df, numeric)) <= 5
+    assert meaning.cross_validated(df, found, numeric) == {"a": "quantity", "b": "unit_price", "c": "total_amount"}
