@@ -275,9 +275,10 @@ def guarded_self_join(spark, sf_dir):
     return guard.guarded(table(spark, sf_dir, "lineitem"), SELF.format("dataset"))
 
 
-@query("SELECT 'l_orderkey,l_returnflag' AS columns, 3::BIGINT AS rows_in_scope, count(*) AS rows_total FROM lineitem")
+@query("SELECT 'l_orderkey,l_returnflag,l_quantity' AS columns, count(*) FILTER (WHERE l_quantity > 25) AS rows_in_scope, count(*) AS rows_total FROM lineitem")
 def guarded_evidence(spark, sf_dir):
-    rows, e = guard.answered(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_tax"), "SELECT l_returnflag, max(l_orderkey) FROM dataset GROUP BY l_returnflag")
+    """Columns that the plan reads, in the table's order, and rows that the condition lets through."""
+    rows, e = guard.answered(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_tax", "l_quantity"), "SELECT l_returnflag, max(l_orderkey), 'l_tax' AS said FROM dataset WHERE l_quantity > 25 GROUP BY l_returnflag")
     return spark.createDataFrame([(",".join(e.columns), e.rows_in_scope, e.rows_total)], "columns string, rows_in_scope long, rows_total long")
 
 

@@ -7,7 +7,6 @@ functions that reach outside of SQL are refused. Limits are applied on top of th
 
 from __future__ import annotations
 
-import re
 import threading
 import time
 import uuid
@@ -30,9 +29,8 @@ class GuardError(ValueError):
 
 
 @cache
-def own_functions() -> frozenset[str]:
+def own_functions(spark: SparkSession) -> frozenset[str]:
     """The names of Spark's own functions; what a session registered is not among them."""
-    spark = SparkSession.getActiveSession()
     return frozenset(r[0].lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect())
 
 
@@ -40,33 +38,33 @@ def _list(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
 
 
-def _check(plan, tables: set[str], set_operations: bool) -> None:
+def _check(plan, tables: set[str], set_operations: bool, known: frozenset[str]) -> None:
     kind = plan.nodeName()
     if kind not in ALLOWED and not (set_operations and kind in SET_OPERATIONS):
         raise GuardError(f"{kind} is not allowed")
     if kind == "UnresolvedWith":
         for pair in _list(plan.cteRelations()):
             tables = tables | {pair.productElement(0).lower()}
-            _check(pair.productElement(1), tables, set_operations)
+            _check(pair.productElement(1), tables, set_operations, known)
     if kind == "UnresolvedRelation":
         parts = _list(plan.multipartIdentifier())
         if len(parts) != 1 or parts[0].lower() not in tables:
             raise GuardError(f"unknown source {'.'.join(parts)}")
     for e in _list(plan.expressions()):
-        _check_expression(e, tables, set_operations)
+        _check_expression(e, tables, set_operations, known)
     for child in _list(plan.children()):
-        _check(child, tables, set_operations)
+        _check(child, tables, set_operations, known)
 
 
-def _check_expression(e, tables: set[str], set_operations: bool) -> None:
+def _check_expression(e, tables: set[str], set_operations: bool, known: frozenset[str]) -> None:
     if e.getClass().getSimpleName() == "UnresolvedFunction":
         name = _list(e.nameParts())[-1].lower()
-        if name in FORBIDDEN_FUNCTIONS or name not in own_functions():
+        if name in FORBIDDEN_FUNCTIONS or name not in known:
             raise GuardError(f"function {name} is not allowed")
     if hasattr(e, "plan") and e.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
-        _check(e.plan(), tables, set_operations)
+        _check(e.plan(), tables, set_operations, known)
     for child in _list(e.children()):
-        _check_expression(child, tables, set_operations)
+        _check_expression(child, tables, set_operations, known)
 
 
 def validate(spark: SparkSession, sql: str, tables: set[str] = frozenset({"dataset"}), set_operations: bool = False) -> None:
@@ -75,7 +73,7 @@ def validate(spark: SparkSession, sql: str, tables: set[str] = frozenset({"datas
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except PySparkException as error:
         raise GuardError(f"not a query: {error}") from error
-    _check(plan, {t.lower() for t in tables}, set_operations)
+    _check(plan, {t.lower() for t in tables}, set_operations, own_functions(spark))
 
 
 def guarded(df: DataFrame, sql: str, table: str = "dataset", most: int = MOST_ROWS) -> DataFrame:
@@ -93,13 +91,69 @@ def guarded(df: DataFrame, sql: str, table: str = "dataset", most: int = MOST_RO
             before.createOrReplaceTempView(table)
 
 
+def table_reads(plan, table: str, top=None) -> list[tuple]:
+    """For each place where an analysed plan reads the table: the plan with all conditions (WHERE, and of derived tables)
+    right above it, and the attributes of the table."""
+    kind = plan.nodeName()
+    if kind == "SubqueryAlias" and plan.alias().lower() == table.lower() and plan.child().nodeName() == "View":
+        return [(top or plan, _list(plan.output()))]
+    if kind in ("Filter", "SubqueryAlias", "Project"):
+        top = top or (plan if kind == "Filter" else None)
+    else:
+        top = None
+    found = []
+    for child in _list(plan.children()):
+        found += table_reads(child, table, top)
+    for e in _list(plan.subqueries()):
+        found += table_reads(e, table)
+    return found
+
+
+def _attributes(plan, found: set[int]) -> set[int]:
+    """Ids of the attributes that an optimised plan returns or that any node refers to; a local table that has filtered by itself has them as output."""
+    for attribute in _list(plan.output()):
+        found.add(attribute.exprId().id())
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        found |= {x.exprId().id() for x in _list(node.references().toSeq())}
+        if node.nodeName() == "LocalRelation":
+            found |= {x.exprId().id() for x in _list(node.output())}
+        todo += [*_list(node.children()), *_list(node.subqueries())]
+    return found
+
+
+def _conditions(plan, found: set[int]) -> set[int]:
+    """Ids of the attributes in the conditions of an analysed plan."""
+    if plan.nodeName() in ("Filter", "Join"):
+        found |= {a.exprId().id() for e in _list(plan.expressions()) for a in _list(e.references().toSeq())}
+    for child in [*_list(plan.children()), *_list(plan.subqueries())]:
+        _conditions(child, found)
+    return found
+
+
+def scope_of(df: DataFrame, result: DataFrame, table: str) -> tuple[list[str], int, int]:
+    """What a result over the table df rests on: the columns that reach the pruned plan, the rows of df that pass the
+    conditions right above the statement's first read of it, and all rows. One job counts both, where conditions see df's columns alone."""
+    run = result._jdf.queryExecution()
+    reads = table_reads(run.analyzed(), table)
+    used = _conditions(run.analyzed(), _attributes(run.optimizedPlan(), set()))
+    columns = [c for i, c in enumerate(df.columns) if any(attributes[i].exprId().id() in used for _, attributes in reads)]
+    total = df.count()
+    if not reads or reads[0][0].nodeName() == "SubqueryAlias":
+        return columns, total, total
+    spark = df.sparkSession
+    scope = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, reads[0][0])
+    return columns, DataFrame(scope, spark).count(), total
+
+
 def answered(df: DataFrame, sql: str, table: str = "dataset", most: int = MOST_ROWS, seconds: float = SECONDS) -> tuple[list, Evidence]:
-    """The rows of a guarded query, with what they rest on: the query, the columns that it reads, and how many rows the table has."""
+    """The rows of a guarded query, with what they rest on: the query, the columns that it reads, how many rows meet its conditions and how many there are."""
     began = time.monotonic()
-    rows = collect_within(guarded(df, sql, table, most), seconds)
-    words = {w.lower() for w in re.findall(r"`[^`]+`|[^\W\d]\w*", sql)}
-    read = [c for c in df.columns if {c.lower(), f"`{c.lower()}`"} & words]
-    return rows, Evidence(sql, read, [], len(rows), df.count(), time.monotonic() - began)
+    result = guarded(df, sql, table, most)
+    rows = collect_within(result, seconds)
+    columns, scope, total = scope_of(df, result, table)
+    return rows, Evidence(sql, columns, [], scope, total, time.monotonic() - began)
 
 
 def collect_within(df: DataFrame, seconds: float = SECONDS) -> list:

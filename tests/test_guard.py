@@ -40,3 +40,18 @@ def test_session_stays_as_it_is(spark):
     rows, evidence = guard.answered(df.withColumn("y", F.lit(1)), "SELECT x FROM dataset WHERE x > 2")
     assert len(rows) == 2 and evidence.columns == ["x"] and evidence.rows_in_scope == 2 and evidence.rows_total == 5
     spark.catalog.dropTempView("dataset")
+
+
+def test_evidence_is_of_the_plan(spark, tmp_path):
+    """Columns are those that the plan reads, not words of the text; the scope is what conditions let through, whatever is made of it."""
+    df = spark.range(1000).select(F.col("id").alias("a"), (F.col("id") % 10).alias("b"), F.lit("x").alias("tax"), (F.col("id") % 3).alias("c"))
+    df.write.parquet(str(tmp_path / "t"))
+    for source in (df, spark.read.parquet(str(tmp_path / "t")), df.limit(1000)):
+        got = lambda sql, source=source: (lambda e: (e.columns, e.rows_in_scope, e.rows_total))(guard.answered(source, sql)[1])
+        assert got("SELECT b, sum(a) FROM dataset WHERE c = 1 GROUP BY b") == (["a", "b", "c"], 333, 1000)
+        assert got("SELECT count(*), 'tax' AS t FROM dataset") == ([], 1000, 1000)
+        assert got("SELECT max(a) FROM (SELECT * FROM dataset WHERE b < 5) WHERE c = 0 LIMIT 1") == (["a", "b", "c"], 167, 1000)
+        assert got("WITH t AS (SELECT a, c FROM dataset WHERE b = 2) SELECT c, count(*) FROM t GROUP BY c")[1:] == (100, 1000)
+        assert got("SELECT x.a FROM dataset x JOIN dataset y ON x.a = y.b WHERE x.b = 3")[0] == ["a", "b"]
+        assert got("SELECT a FROM dataset WHERE a > (SELECT avg(c) FROM dataset)")[0] == ["a", "c"]
+        assert got("SELECT a FROM dataset WHERE c = 7") == (["a", "c"], 0, 1000)
