@@ -87,8 +87,23 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)
 
 
-def pieces_of(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
-    """Slices of batch with about `limit` bytes of text each, and their texts with null as ''."""
+_MEMORIES: list[dict] = []
+
+
+def worker_memory() -> dict:
+    """A dictionary that a Python worker keeps from task to task, for as long as these are of the operator that holds it."""
+    _MEMORIES.append({})
+    return _MEMORIES[-1]
+
+
+def pieces_of(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES, memory: dict | None = None):
+    """Slices of batch with about `limit` bytes of text each, and their texts with null as ''.
+
+    Spark hands workers from one stage to the next; what another operator remembers in this one is forgotten.
+    """
+    for other in _MEMORIES:
+        if other and other is not memory:
+            other.clear()
     texts = batch.column(batch.schema.get_field_index(column))
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import arrow_schema, batch_of, pieces_of, staged, texts_of
+from ._common import arrow_schema, batch_of, pieces_of, staged, texts_of, worker_memory
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Cuts, and ids of cuts, that a worker remembers before it starts anew.
@@ -37,7 +37,7 @@ MEMORY, MEMORY_IDS = 1_500_000, 12_000_000
 LEAF, NODE = 1_000_000, 200_000
 #: White space as the pre-tokeniser knows it.
 BLANK = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = worker_memory()
 
 
 class Encoder:
@@ -132,7 +132,7 @@ def token_pieces(docs: DataFrame, path: str, capacity=2048, end_id=0, id_col="do
             _ENCODERS[path] = Encoder(path)
         encode = _ENCODERS[path]
         for batch in batches:
-            for part, texts in pieces_of(batch, "text"):
+            for part, texts in pieces_of(batch, "text", memory=_ENCODERS):
                 out = []
                 for doc_id, own in zip(part.column(0).to_pylist(), encode(texts), strict=True):
                     ids = np.append(own, np.uint32(end_id)).astype("<u4")

@@ -24,14 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import arrow_schema, batch_of, mixed, per_text, pieces_of, texts_of
+from ._common import arrow_schema, batch_of, mixed, per_text, pieces_of, texts_of, worker_memory
 
 MARK = "▁"
 LONG = 96
 #: Words whose counts a worker remembers before it starts anew.
 MEMORY = 500_000
 BYTE_SCORE = -12.0
-_VOCABULARIES: dict[str, Vocabulary] = {}
+_VOCABULARIES: dict[str, Vocabulary] = worker_memory()
 
 
 class Vocabulary:
@@ -167,7 +167,7 @@ def token_counts(docs: DataFrame, path: str, id_col="doc_id", text_col="text") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = zipf_vocabulary(path)
         for batch in batches:
-            for part, texts in pieces_of(batch, "text"):
+            for part, texts in pieces_of(batch, "text", memory=_VOCABULARIES):
                 lists = pc.ascii_split_whitespace(texts)
                 coded = lists.flatten().dictionary_encode()
                 offsets = lists.offsets.to_numpy().astype(np.int64)

@@ -8,7 +8,8 @@ kept as a matrix with the largest of each block; of the others as inverted lists
 lists up, bounds each block by the largest of these sums and the products of the block's largest
 weights, and reads only blocks that can hold a nearer example, so the k nearest are exact. Their
 votes, weighted by similarity and by how many rows of the whole table an example stands for, are
-mapped to probabilities by isotonic regression on leave-one-out votes. The index holds all words of
+mapped to probabilities by isotonic regression on leave-one-out votes, taken fold by fold with words
+weighted by the labels of the other folds. The index holds all words of
 at most 2 * per_label examples and is broadcast within that bound.
 
 Words that no example holds change a text's norm alone, so neither its neighbours nor its score.
@@ -38,12 +39,14 @@ from .language_model import packed, unpacked
 BLOCK = 64
 NEAREST = 15
 #: Terms of one example in so many are kept as a matrix, the COLUMNS most frequent at most.
-OFTEN, COLUMNS = 24, 512
-QUERIES, ENTRIES = 64, 1 << 20  # texts that are searched together, and entries of inverted lists that these read (one longer text is searched alone)
+OFTEN, COLUMNS = 24, 256
+QUERIES, ENTRIES = 32, 1 << 18  # texts that are searched together, and entries of inverted lists that these read (one longer text is searched alone)
 #: Examples that go into the matrix and the lists together; what workers make of an index; bytes of text that are searched together.
 PART, PREPARED, SEARCHED = 1024, ("column", "matrix", "most", "at", "times", "heft", "scale", "start"), 1 << 20
 HOME = 4096  # texts of a task whose norms are brought together
-SHARD_BYTES, MAX_SHARDS = 64 << 20, 4096
+SHARD_BYTES = 64 << 20
+#: Folds of the examples for the calibration: the votes of one are taken with words weighted by the labels of the others.
+FOLDS = 2
 
 
 def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,6 +124,18 @@ class Index:
         self.prepare()
         return self.__dict__[name]
 
+    def release(self) -> None:
+        """Let go of what prepare made: a worker waits for its next task beside those at work, and may wait long."""
+        for name in PREPARED:
+            self.__dict__.pop(name, None)
+        give_back()
+
+    def reweighted(self, idf: np.ndarray) -> Index:
+        """The same examples with other weights of their words."""
+        out = Index.__new__(Index)
+        out.__dict__.update({k: v for k, v in self.__dict__.items() if k not in PREPARED} | {"idf": idf, "shared": None})
+        return out
+
     def own(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Term places and counts of the example at place i."""
         part = slice(self.ends[i], self.ends[i + 1])
@@ -285,23 +300,33 @@ def fit(docs: DataFrame, labels: DataFrame, may_teach: Column | None = None, per
     if not a + b:
         return Index(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), [])
     held = examples.select("ex_id", "label", "terms", F.col("counts").cast("array<int>")).toArrow().sort_by("ex_id").combine_chunks()
-    lists = held["terms"].combine_chunks()
+    lists, label, ids = held["terms"].combine_chunks(), held["label"].to_numpy(), held["ex_id"].to_numpy()
     terms, counts, ends = lists.flatten().to_numpy(), held["counts"].combine_chunks().flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-    known, terms = np.unique(terms, return_inverse=True)
-    terms = terms.astype(np.int32)
+    parts = [slice(i, i + (1 << 18)) for i in range(0, len(terms), 1 << 18)]  # some entries at a time: the driver is small
+    known = np.zeros(0, np.int64)
+    for part in parts:
+        known = np.union1d(known, terms[part])
+    terms = np.concatenate([np.searchsorted(known, terms[part]).astype(np.int32) for part in parts] or [np.zeros(0, np.int32)])
+    del held, lists
     frequency, documents, size = document_frequencies(docs, known)
     vectors = []
     for i, j in zip(ends[:-1], ends[1:], strict=True):
         order = np.argsort(terms[i:j])
         vectors.append((terms[i:j][order], counts[i:j][order]))
-    label = held["label"].to_numpy()
-    toxic = np.repeat(label == 1, np.diff(ends))
-    n1, n0 = (np.bincount(terms[x], minlength=len(known)) for x in (toxic, ~toxic))
+    idf, sizes = idf_of(frequency, documents), np.diff(ends)
+    fold = (mixed(ids.astype(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
+
+    def weighted(rows: np.ndarray) -> np.ndarray:
+        """The words' weights as the labels of these examples have them."""
+        n1, n0 = (np.bincount(terms[np.repeat(rows & (label == x), sizes)], minlength=len(known)) for x in (1, 0))
+        return idf * relevance(n1, n0, int((rows & (label == 1)).sum()), int((rows & (label == 0)).sum()))
+
     weights = np.where(label == 1, totals.get(1, 0) / max(a, 1), totals.get(0, 0) / max(b, 1))
-    index = Index(known, idf_of(frequency, documents) * relevance(n1, n0, a, b), held["ex_id"].to_numpy(), label, weights, vectors, documents, int(min(MAX_SHARDS, max(8, -(-size // SHARD_BYTES)))))
-    del held, lists, terms, counts, vectors, toxic  # the index has them; the driver is small
+    index = Index(known, weighted(np.ones(len(label), bool)), ids, label, weights, vectors, documents, int(max(8, -(-size // SHARD_BYTES))))
+    others = [weighted(fold != f) for f in range(FOLDS)]
+    del terms, counts, vectors  # the index has them
     give_back()
-    calibrate(docs, index)
+    calibrate(docs, index, others)
     return index
 
 
@@ -329,22 +354,29 @@ def document_frequencies(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray
     return out, int(n[place == -1].sum()), int(n[place == -2].sum())
 
 
-def calibrate(docs: DataFrame, index: Index) -> None:
-    """Leave-one-out votes of all examples (a Spark job over their numbers), then the isotonic map."""
+def calibrate(docs: DataFrame, index: Index, weights: list[np.ndarray]) -> None:
+    """Leave-one-out votes of the examples (Spark jobs over their numbers), then the isotonic map. The
+    words' weights of a fold's votes owe nothing to the labels of that fold."""
     if not len(index.ids):
         return
-    shared = index.broadcast(docs)
-
-    def votes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = shared.value
-        for f in frames:
-            ids = f["id"].tolist()
-            own = [index.own(j) for j in ids]
-            found = [x for g in index.together(own) for x in index.search(own[g], NEAREST, ids[g])]
-            yield pd.DataFrame({"id": ids, "vote": [index.vote(*x) for x in found]})
-
-    got = docs.sparkSession.range(0, len(index.ids), numPartitions=8).mapInPandas(votes, "id long, vote double").toArrow().to_pandas().sort_values("id")
-    index.steps = isotonic(np.round(got["vote"].to_numpy(), 12), index.labels, index.weights)
+    fold = (mixed(index.ids.astype(np.uint64)) % np.uint64(len(weights))).astype(np.int64)
+    took = np.zeros(len(index.ids))
+    for f, idf in enumerate(weights):
+        shared = docs.sparkSession.sparkContext.broadcast(index.reweighted(idf))
+
+        def votes(frames: Iterator[pd.DataFrame], shared=shared, f=f) -> Iterator[pd.DataFrame]:
+            index = shared.value
+            for frame in frames:
+                ids = [j for j in frame["id"].tolist() if fold[j] == f]
+                own = [index.own(j) for j in ids]
+                found = [x for g in index.together(own) for x in index.search(own[g], NEAREST, ids[g])]
+                yield pd.DataFrame({"id": ids, "vote": [index.vote(*x) for x in found]})
+            index.release()
+
+        got = docs.sparkSession.range(0, len(index.ids), numPartitions=8).mapInPandas(votes, "id long, vote double").toArrow()
+        took[got["id"].to_numpy()] = got["vote"].to_numpy()
+        shared.destroy()
+    index.steps = isotonic(np.round(took, 12), index.labels, index.weights)
 
 
 def judged(index: Index, steps: tuple[np.ndarray, np.ndarray], texts: pa.Array, nearest: int) -> tuple[np.ndarray, list, list, np.ndarray, tuple]:
@@ -402,6 +434,7 @@ def score(docs: DataFrame, index: Index, id_col="doc_id", text_col="text", neare
                     seen += len(own)
         if held:
             yield from others()
+        ix.release()
 
     def count(table: pa.Table) -> pa.Table:
         """The squares of a shard's words, summed for each text."""
@@ -441,6 +474,7 @@ def scorer(docs: DataFrame, index: Index, nearest: int, name: str):
             for part, texts in pieces_of(batch, "text", SEARCHED):
                 scores = pa.array(judged(shared.value, steps, texts, nearest)[0])
                 yield pa.RecordBatch.from_arrays([*part.columns, scores], schema=pa.schema([*part.schema, pa.field(name, pa.float64())]))
+        shared.value.release()
 
     return run
 
