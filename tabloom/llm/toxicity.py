@@ -36,13 +36,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ._common import arrow_schema, batch_of, give_back, hash_words, mixed, pieces_of, smallest, spaced, staged, texts_of
 from .language_model import packed, unpacked
 
-BLOCK = 64
+BLOCK = 256
 NEAREST = 15
 #: Terms of one example in so many are kept as a matrix, the COLUMNS most frequent at most.
-OFTEN, COLUMNS = 24, 256
-QUERIES, ENTRIES = 32, 1 << 18  # texts that are searched together, and entries of inverted lists that these read (one longer text is searched alone)
+OFTEN, COLUMNS = 24, 512
+QUERIES, ENTRIES = 64, 1 << 20  # texts that are searched together, and entries of inverted lists that these read (one longer text is searched alone)
 #: Examples that go into the matrix and the lists together; what workers make of an index; bytes of text that are searched together.
-PART, PREPARED, SEARCHED = 1024, ("column", "matrix", "most", "at", "times", "heft", "scale", "start"), 1 << 20
+PART, PREPARED, SEARCHED = 1024, ("column", "matrix", "most", "at", "worth", "start"), 1 << 20
 HOME = 4096  # texts of a task whose norms are brought together
 SHARD_BYTES = 64 << 20
 #: Folds of the examples for the calibration: the votes of one are taken with words weighted by the labels of the others.
@@ -161,7 +161,7 @@ class Index:
         kinds = np.unique(self.counts)
         heft, scale = 1 + np.log(kinds.astype(float)), np.zeros(self.blocks * BLOCK)
         matrix = np.zeros((self.blocks * BLOCK, len(often)))
-        at, times, free = np.zeros(start[-1], np.int32), np.zeros(start[-1], np.uint8 if len(kinds) <= 256 else np.int32), start[:-1].copy()
+        at, worth, free = np.zeros(start[-1], np.int32), np.zeros(start[-1]), start[:-1].copy()
         for part in parts:
             terms, kind = self.terms[entries(part)], np.searchsorted(kinds, self.counts[entries(part)])
             place = np.repeat(np.arange(part.stop - part.start), np.diff(self.ends[part.start : part.stop + 1]))
@@ -173,9 +173,9 @@ class Index:
             order = order[np.argsort(terms[order], kind="stable")]
             found, first, n_found = np.unique(terms[order], return_index=True, return_counts=True)
             to = np.arange(len(order)) + np.repeat(free[found] - first, n_found)
-            at[to], times[to] = part.start + place[order], kind[order]
+            at[to], worth[to] = part.start + place[order], value[order] * scale[part][place[order]]
             free[found] += n_found
-        self.column, self.start, self.heft, self.scale, self.at, self.times, self.matrix = column, start, heft, scale, at, times, matrix
+        self.column, self.start, self.at, self.worth, self.matrix = column, start, at, worth, matrix
         self.most = matrix.reshape(self.blocks, BLOCK, len(often)).max(axis=1).T if self.blocks else np.zeros((len(often), 0))
 
     @property
@@ -186,8 +186,7 @@ class Index:
     @property
     def what(self) -> list[np.ndarray]:
         """The weights that belong to `where`."""
-        listed = lambda own: self.heft[self.times[own]] * self.scale[self.at[own]]
-        return [self.matrix[self.matrix[:, c] != 0, c] if c >= 0 else self.idf[t] * listed(slice(self.start[t], self.start[t + 1])) for t, c in enumerate(self.column)]
+        return [self.matrix[self.matrix[:, c] != 0, c] if c >= 0 else self.worth[self.start[t] : self.start[t + 1]] for t, c in enumerate(self.column)]
 
     def square(self, terms: np.ndarray, counts: np.ndarray) -> float:
         w = (1 + np.log(counts)) * self.idf[terms]
@@ -222,8 +221,7 @@ class Index:
         q[owner[dense], self.column[terms[dense]]] = w[dense]
         first, size = self.start[terms[~dense]], self.start[terms[~dense] + 1] - self.start[terms[~dense]]
         at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
-        rest = np.bincount(np.repeat(owner[~dense] * m, size) + self.at[at], np.repeat(w[~dense] * self.idf[terms[~dense]], size) * self.heft[self.times[at]], n * m).astype(float).reshape(n, m)
-        rest = (rest * self.scale).reshape(n, self.blocks, BLOCK)
+        rest = np.bincount(np.repeat(owner[~dense] * m, size) + self.at[at], np.repeat(w[~dense], size) * self.worth[at], n * m).astype(float).reshape(n, self.blocks, BLOCK)
         bound = rest.max(axis=2) + q @ self.most
         score = np.full((n, self.blocks, BLOCK), -1.0)
         left = np.full(n, -1) if but is None else np.asarray(but)
@@ -243,13 +241,13 @@ class Index:
         found = np.take_along_axis(score, best[:, :, None], axis=1).reshape(n, -1)
         least = np.partition(found, -k, axis=1)[:, -k] if found.shape[1] >= k else np.full(n, -1.0)
         read(~opened & (bound > 0) & (bound >= least[:, None] - 1e-12))
-        out = []
-        for own, low in zip(score.reshape(n, m), least, strict=True):
-            hit = np.flatnonzero((own > 0) & (own >= low - 1e-12))
-            near = np.round(own[hit], 12)
-            top = np.lexsort((hit, -near))[:k]
-            out.append((hit[top], near[top]))
-        return out
+        flat = score.reshape(n, m)
+        row, hit = np.nonzero(flat >= np.maximum(least - 1e-12, 1e-300)[:, None])
+        near = np.round(flat[row, hit], 12)
+        order = np.lexsort((hit, -near, row))
+        row, hit, near = row[order], hit[order], near[order]
+        first = np.searchsorted(row, np.arange(n + 1))
+        return [(hit[a : min(a + k, b)], near[a : min(a + k, b)]) for a, b in zip(first[:-1], first[1:], strict=True)]
 
     def vote(self, at: np.ndarray, near: np.ndarray) -> float:
         w = near**2 * self.weights[at]
