@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import text as T
 from .functions.currency import with_currency
-from .operators import catalog, clean, meaning, metrics as M, profile as P
+from .operators import catalog, clean, indexed, meaning, metrics as M, profile as P
 from .plans import guard, insights
 from .plans.process import process
-from .queries import FENCES, QUERIES, SQL, query, rounded, table
+from .queries import FENCES, KEY, QUERIES, SQL, query, rounded, table
 from .session import scratch
 from .sources import readers, sinks
 from .sources.xlsx import write_xlsx
@@ -282,6 +282,30 @@ def guarded_evidence(spark, sf_dir):
     return spark.createDataFrame([(",".join(e.columns), e.rows_in_scope, e.rows_total)], "columns string, rows_in_scope long, rows_total long")
 
 
+@query(f"SELECT doc_id, source FROM documents WHERE contains({KEY.replace('@', 'text')}, 'tion the') OR contains({KEY.replace('@', 'source')}, 'tion the')")
+def search_by_index(spark, sf_dir):
+    """All rows in which a text is found, from the ranges of rows that hold all of its trigrams."""
+    path = scratch(spark, "indexed")
+    indexed.write_indexed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), path, ["text", "source"])
+    return indexed.search_indexed(spark, path, "  TION the").select("doc_id", "source")
+
+
+@query("SELECT * FROM part ORDER BY p_retailprice DESC NULLS LAST, p_partkey LIMIT 50 OFFSET 950")
+def deep_page(spark, sf_dir):
+    """The twentieth page of a table, from the one range of its order index that holds it."""
+    path = scratch(spark, "order")
+    indexed.write_order_index(table(spark, sf_dir, "part"), path, "p_retailprice", True, ["p_partkey"])
+    return indexed.page_rows(spark, path, 20, 50)[0]
+
+
+@query("SELECT c_custkey::VARCHAR AS id, c_name || chr(10) || 'said \"' || c_mktsegment || '\", once' AS remark, c_mktsegment AS segment FROM customer")
+def csv_records(spark, sf_dir):
+    """Values over two lines with quotes and delimiters inside, as spreadsheets export remarks."""
+    remark = F.concat("c_name", F.lit('\nsaid "'), "c_mktsegment", F.lit('", once'))
+    df = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), remark.alias("remark"), F.col("c_mktsegment").alias("segment"))
+    return readers.read(spark, written(df, "csv", header=True, escape='"'))[0].drop(readers.ROW)
+
+
 MONTHS = "SELECT strftime(o_orderdate, '%Y-%m') AS m, sum(o_totalprice) AS v FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1"
 MONTH_PAIR = "SELECT a.m AS month_1, b.m AS month_2, round(a.v, 2) AS value_1, round(b.v, 2) AS value_2, round((b.v - a.v) / a.v * 100, 2) AS change_pct FROM {0} a, {0} b"
 
