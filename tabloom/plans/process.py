@@ -46,8 +46,8 @@ def load_run(spark: SparkSession, out: str) -> Run:
     return Run(spark.read.parquet(out), FileInfo(**got["info"]), found, schema, [clean.Operation(**x) for x in got["recipe"]], [clean.Change(**x) for x in got["changes"]], [insights.Insight(**x) for x in got["insights"]])
 
 
-def merged_columns(df: DataFrame) -> DataFrame:
-    """df with columns of one meaning, which never have a value in the same row, as one."""
+def merged_columns(df: DataFrame, info: FileInfo) -> DataFrame:
+    """df with columns of one meaning, which never have a value in the same row, as one; info says so in a warning."""
     first: dict[str, str] = {}
     for c in [c for c in df.columns if c != ROW]:
         m = meaning.by_name(c, "mixed")
@@ -55,6 +55,7 @@ def merged_columns(df: DataFrame) -> DataFrame:
             continue
         if m.concept in first and clean.exclusive(df, first[m.concept], c):
             df = clean.coalesce_columns(df, first[m.concept], c)
+            info.warnings.append(f"column {c} is merged into {first[m.concept]}: both are {m.concept}, never in the same row")
         else:
             first.setdefault(m.concept, c)
     return df
@@ -66,7 +67,7 @@ def process(spark: SparkSession, path: str, out: str, overrides: dict[str, dict]
     df, info = read(spark, path, sheet)
     on_progress("merge_columns")
     # a small file is a few byte ranges only; all that follows works on its rows, so they are dealt to more tasks once
-    df = merged_columns(df).repartition(max(1, min(spark.sparkContext.defaultParallelism, info.size >> 19))).cache()
+    df = merged_columns(df, info).repartition(max(1, min(spark.sparkContext.defaultParallelism, info.size >> 19))).cache()
     on_progress("profile")
     found = profile.profile(df, ROW)
     on_progress("meaning")

@@ -75,9 +75,18 @@ def latest_state(spark: SparkSession, root: str, before: int | None = None) -> D
 
 def sync_batch(items: DataFrame, version: int, root: str, mode: str = "full") -> None:
     """Merge the snapshots of a batch into the state as version `version`, in the order of synced_at. Running
-    it again rewrites the same version from the same predecessor, so a batch that is replayed changes nothing."""
+    it again rewrites the same version from the same predecessor, so a batch that is replayed changes nothing.
+
+    A snapshot that is not newer than the state says what no longer holds: it is not merged, but kept beside the version, in `late`.
+    """
     spark = items.sparkSession
     state, changes = latest_state(spark, root, version), None
+    newest = state.agg(F.max("last_seen_at")).first()[0] if state is not None else None
+    if newest is not None:
+        late = items.where(F.col("synced_at") <= F.lit(newest))
+        if not late.isEmpty():
+            late.write.mode("overwrite").parquet(f"{root}/version={version}/late")
+        items = items.where(F.col("synced_at") > F.lit(newest))
     times = [r[0] for r in items.select("synced_at").distinct().orderBy("synced_at").collect()]
     for at in times:
         snapshot = catalog.accept(items.where(F.col("synced_at") == F.lit(at)).drop("synced_at"), mode)

@@ -156,3 +156,22 @@ def test_gzip(spark, tmp_path):
     p.write_bytes(gzip.compress(b"name,n\nx,1\ny,2\n"))
     df, _ = readers.read(spark, str(p))
     assert rows_of(df) == [("x", "1"), ("y", "2")]
+
+
+def test_declared_encodings(spark, tmp_path):
+    """What a page declares is taken before guessing, if the page can be read in it."""
+    page = '<html><meta charset="windows-1256"><table><tr><td>اسم</td><td>n</td></tr><tr><td>قلم</td><td>1</td></tr></table></html>'
+    p = tmp_path / "a.html"
+    p.write_bytes(page.encode("cp1256"))
+    df, info = readers.read(spark, str(p))
+    assert info.encoding == "cp1256" and rows_of(df) == [("قلم", "1")]
+    assert sniff.encoding_of(b"<meta charset='latin-1'>caf\xe9") == "iso8859-1"
+    assert sniff.encoding_of("<meta charset=ascii>é".encode()) == "utf-8" and sniff.encoding_of(b"charset=nonsense") == "utf-8"
+    assert sniff.encoding_of("charset=utf-8 é".encode()[:-1]) == "utf-8"
+
+
+def test_merged_columns_are_told(spark, tmp_path):
+    p = tmp_path / "a.csv"
+    p.write_text("الإجمالي,المبلغ,name\n" + "\n".join(f"{i},,a{i}" if i % 2 else f",{i},b{i}" for i in range(30)))
+    run = process(spark, str(p), str(tmp_path / "out"))
+    assert len([w for w in run.info.warnings if "merged" in w]) == 1 and "المبلغ" not in run.table.columns

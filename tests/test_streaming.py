@@ -57,3 +57,18 @@ def test_same_content_is_taken_in_once(spark, tmp_path):
     take = lambda source, f: jobs.take_in(spark, ledger, source, str(tmp_path / f), work)
     assert [take("s", "x.csv"), take("s", "y.csv"), take("t", "y.csv")] == [("r1", True), ("r1", False), ("r2", True)]
     assert jobs.content_ledger(spark, ledger).count() == 2
+
+
+def test_late_snapshots_change_nothing(spark, tmp_path):
+    """A snapshot older than the state is kept aside: neither prices nor times go back."""
+    from datetime import datetime
+
+    root = str(tmp_path / "state")
+    of = lambda day, price: spark.createDataFrame([("a", price, datetime(2026, 1, day))], "item_id string, price double, synced_at timestamp")
+    jobs.sync_batch(of(2, 5.0), 0, root)
+    jobs.sync_batch(of(1, 4.0), 1, root)
+    jobs.sync_batch(of(3, 6.0).unionByName(of(2, 9.0)), 2, root)
+    row = jobs.latest_state(spark, root).first()
+    assert row["price"] == 6.0 and row["first_seen_at"] == datetime(2026, 1, 2) and row["last_seen_at"] == datetime(2026, 1, 3)
+    assert jobs.state_versions(spark, root) == [0, 2]
+    assert spark.read.parquet(f"{root}/version=1/late").first()["price"] == 4.0 and spark.read.parquet(f"{root}/version=2/late").first()["price"] == 9.0
