@@ -33,7 +33,7 @@ from ._common import arrow_schema, batch_of, pieces_of, staged, texts_of, worker
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Cuts, and ids of cuts, that a worker remembers before it starts anew.
-MEMORY, MEMORY_IDS = 1_500_000, 12_000_000
+MEMORY, MEMORY_IDS = 800_000, 6_400_000
 LEAF, NODE = 1_000_000, 200_000
 #: White space as the pre-tokeniser knows it.
 BLANK = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
