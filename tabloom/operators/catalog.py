@@ -2,7 +2,7 @@
 
 The state has the snapshot's columns and active, first_seen_at, last_seen_at, price_changed_at. A
 full snapshot deactivates items that are missing from it, a delta leaves them. Nothing is deleted.
-State is written as one immutable folder for each version.
+How state is stored by version is in `streaming.state`.
 """
 
 from __future__ import annotations
@@ -136,6 +136,32 @@ def merge(previous: DataFrame | None, items: DataFrame, synced_at: Column, mode:
     return Merge(current.unionByName(absent, allowMissingColumns=True), changes, stats)
 
 
+def changed_rows(previous: DataFrame | None, items: DataFrame, synced_at: Column, mode: str = "full") -> DataFrame:
+    """The rows of the next state that a snapshot changes, with __changed (the price is another) and __old_price.
+
+    By one join. Left out are items of a full snapshot that are as they were: all that is new of them is last_seen_at,
+    which is the snapshot's time for every active item.
+    """
+    now = synced_at.cast("timestamp")
+    none = F.lit(None).cast("double")
+    if previous is None:
+        return items.withColumns({"active": F.lit(True), "first_seen_at": now, "last_seen_at": now, "price_changed_at": F.lit(None).cast("timestamp"), "__old_price": none, "__changed": F.lit(False)})
+    kinds = {f.name: f.dataType for df in (previous, items) for f in df.schema if f.name not in (KEY, *TRACKING)}
+    pack = lambda df, name: df.select(KEY, F.struct(F.lit(True).alias("__there"), *[named(c) for c in df.columns if c != KEY]).alias(name))
+    joined = pack(items, "__new").join(pack(previous, "__old"), KEY, "full" if mode == "full" else "left")
+    came, known, old = F.col("__new").isNotNull(), F.col("__old").isNotNull(), F.col("__old")
+    of = lambda df, name, c: F.col(name)[c] if c in df.columns else F.lit(None).cast(kinds[c])
+    differs = F.lit(mode == "delta")
+    for c in kinds:
+        differs = differs | ~of(items, "__new", c).eqNullSafe(of(previous, "__old", c))
+    priced = "price" in items.columns and "price" in previous.columns
+    changed = came & known & ~F.col("__new")["price"].eqNullSafe(old["price"]) if priced else F.lit(False)
+    kept = joined.where(F.when(came, ~known | ~old["active"] | differs).otherwise(old["active"]))
+    values = [F.when(came, of(items, "__new", c)).otherwise(of(previous, "__old", c)).alias(c) for c in sorted(kinds)]
+    seen = [came.alias("active"), F.coalesce(old["first_seen_at"], now).alias("first_seen_at"), F.when(came, now).otherwise(old["last_seen_at"]).alias("last_seen_at")]
+    return kept.select(KEY, *values, *seen, F.when(changed, now).otherwise(old["price_changed_at"]).alias("price_changed_at"), (old["price"] if priced else none).alias("__old_price"), changed.alias("__changed"))
+
+
 def stale_sources(events: DataFrame, source: str, time: str, now: Column, hours: int = 26) -> DataFrame:
     """Sources whose last event is over `hours` before now, with that event's time."""
     last = events.groupBy(named(source).alias("source")).agg(F.max(named(time)).alias("last_seen"))

@@ -11,7 +11,7 @@ from .functions.currency import currency_counts
 from .operators import browse, catalog, clean, meaning, metrics as M, profile as P
 from .plans import guard
 from .sources.readers import flattened, narrative_words
-from .streaming import jobs
+from .streaming import jobs, silence
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -320,6 +320,12 @@ def stale_sources(spark, sf_dir):
     return catalog.stale_sources(e, "user_id", "ts", F.lit(now))
 
 
+@query("WITH l AS (SELECT user_id::VARCHAR AS source, ts AS since, coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts), (SELECT max(ts) FROM events)) AS upto, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS heard FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), p AS (SELECT * FROM l WHERE upto > since + INTERVAL 26 HOUR) SELECT source, 'silent' AS kind, since, since + INTERVAL 26 HOUR AS at FROM p UNION ALL SELECT source, 'recovered', since, heard FROM p WHERE heard IS NOT NULL")
+def silent_sources(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return silence.silences(e, "user_id", "ts", F.lit(e.agg(F.max("ts")).first()[0]))
+
+
 CTE = "WITH t AS (SELECT l_returnflag, l_quantity, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS k FROM {0}) SELECT l_returnflag, sum(l_quantity) AS q FROM t WHERE k <= (SELECT max(l_linenumber) FROM {0}) GROUP BY l_returnflag"
 
 

@@ -1,14 +1,12 @@
-"""Streaming forms: windowed metrics with late data, idempotent arrivals, and catalog state by versions."""
+"""Streaming forms: windowed metrics with late data, arrivals without repeats, and the stream of catalog snapshots."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import catalog
 from ..operators.metrics import named
+from .state import sync_batch
 
 
 def timed(events: DataFrame, time: str, late: str) -> DataFrame:
@@ -34,71 +32,6 @@ def once_each(arrivals: DataFrame, keys: list[str], time: str, late: str = "1 da
     return timed(arrivals, time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def content_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """source, sha256, result and arrived_at of everything that was taken in."""
-    schema = "source string, sha256 string, result string, arrived_at timestamp"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
-
-
-def take_in(spark: SparkSession, ledger: str, source: str, file: str, work: Callable[[str], str]) -> tuple[str, bool]:
-    """The result of work(file), and whether it ran: a file whose content came from the source before gets the first result.
-
-    Contents are told apart by SHA-256, computed by an executor where the file is read. One writer for a ledger.
-    """
-    digest = spark.read.format("binaryFile").load(file).select(F.sha2("content", 256)).first()[0]
-    known = content_ledger(spark, ledger).where((F.col("source") == source) & (F.col("sha256") == digest))
-    first = known.orderBy("arrived_at").select("result").first()
-    if first is not None:
-        return first[0], False
-    result = work(file)
-    row = spark.range(1).select(F.lit(source).alias("source"), F.lit(digest).alias("sha256"), F.lit(result).alias("result"), F.current_timestamp().alias("arrived_at"))
-    row.coalesce(1).write.mode("append").parquet(ledger)
-    return result, True
-
-
-def state_versions(spark: SparkSession, root: str) -> list[int]:
-    """The versions of a catalog's state that are complete, in order."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    done = [s.getPath().getName() for s in fs.listStatus(path) if fs.exists(s.getPath().suffix("/state/_SUCCESS"))]
-    return sorted(int(n.partition("=")[2]) for n in done if n.startswith("version="))
-
-
-def latest_state(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
-    known = [v for v in state_versions(spark, root) if before is None or v < before]
-    return spark.read.parquet(f"{root}/version={known[-1]}/state") if known else None
-
-
-def sync_batch(items: DataFrame, version: int, root: str, mode: str = "full") -> None:
-    """Merge the snapshots of a batch into the state as version `version`, in the order of synced_at. Running
-    it again rewrites the same version from the same predecessor, so a batch that is replayed changes nothing.
-
-    A snapshot that is not newer than the state says what no longer holds: it is not merged, but kept beside the version, in `late`.
-    """
-    spark = items.sparkSession
-    state, changes = latest_state(spark, root, version), None
-    newest = state.agg(F.max("last_seen_at")).first()[0] if state is not None else None
-    if newest is not None:
-        late = items.where(F.col("synced_at") <= F.lit(newest))
-        if not late.isEmpty():
-            late.write.mode("overwrite").parquet(f"{root}/version={version}/late")
-        items = items.where(F.col("synced_at") > F.lit(newest))
-    times = [r[0] for r in items.select("synced_at").distinct().orderBy("synced_at").collect()]
-    for at in times:
-        snapshot = catalog.accept(items.where(F.col("synced_at") == F.lit(at)).drop("synced_at"), mode)
-        out = catalog.merge(state, snapshot, F.lit(at), mode)
-        state, changes = out.state, out.price_changes if changes is None else changes.unionByName(out.price_changes)
-    if not times:
-        return
-    if not changes.isEmpty():
-        changes.write.mode("overwrite").parquet(f"{root}/version={version}/price_changes")
-    state.sort(catalog.KEY).write.mode("overwrite").parquet(f"{root}/version={version}/state")
-
-
 def sync_stream(snapshots: DataFrame, root: str, checkpoint: str, mode: str = "full") -> StreamingQuery:
     """Items of one synced_at are a snapshot; a micro-batch may hold several. One writer for a state, all that has arrived."""
     return snapshots.writeStream.foreachBatch(lambda df, n: sync_batch(df, n, root, mode)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
