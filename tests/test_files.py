@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabloom.plans.process import dashboard, load_run, process
 from tabloom.sources import readers, records, sinks, sniff
+from tabloom.sources.sniff import FileError
 from tabloom.sources.xlsx import write_xlsx
 
 
@@ -175,3 +176,55 @@ def test_merged_columns_are_told(spark, tmp_path):
     p.write_text("الإجمالي,المبلغ,name\n" + "\n".join(f"{i},,a{i}" if i % 2 else f",{i},b{i}" for i in range(30)))
     run = process(spark, str(p), str(tmp_path / "out"))
     assert len([w for w in run.info.warnings if "merged" in w]) == 1 and "المبلغ" not in run.table.columns
+
+
+ODD_XML = """<?xml version="1.0"?>
+<!DOCTYPE r>
+<r note='a > b "'><!-- <sale> > --><head>%s</head>
+<sales><?x <sale> > ?>
+%s</sales><more><x/></more></r>
+"""
+
+
+def test_xml_records_over_byte_ranges(spark, tmp_path):
+    """Records that begin after the first 64 KB, in ranges that begin in comments, CDATA, quotes, tags and records."""
+    one = lambda i: f"<sale id='{i}' k=\"a&gt;>{i}'\"><!-- > </sale> --><qty>{i % 7}</qty>\n<t><![CDATA[<b> > {i}]]> &amp; é</t><none/></sale>"
+    p = tmp_path / "odd.xml"
+    p.write_text(ODD_XML % ("x" * 70_000, "\n".join(map(one, range(300)))))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    want = [(i + 1, str(i), f"a>>{i}'", str(i % 7), f"<b> > {i} & é") for i in range(300)]
+    try:
+        for size in (77, 1000, 1 << 27):
+            if size == 77:  # many ranges: fewer records
+                q = tmp_path / "small.xml"
+                q.write_text(ODD_XML % ("x", "\n".join(map(one, range(12)))))
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 0)
+            df, info = readers.read(spark, str(q if size == 77 else p))
+            got = sorted(map(tuple, df.select(readers.ROW, "id", "k", "qty", "t").collect()))
+            assert info.row_tag == "sale" and got == (want[:12] if size == 77 else want), size
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_xml_shapes(spark, tmp_path):
+    def read(text):
+        p = tmp_path / "s.xml"
+        p.write_text(text)
+        df, info = readers.read(spark, str(p))
+        return info.row_tag, [tuple(r) for r in df.drop(readers.ROW).orderBy(df[readers.ROW]).collect()]
+
+    assert read('<r><a><s>1</s></a><b><s x="2"/><s x="3"/><t/></b><c><u v="4"/><u v="5"/><u v="6"/></c></r>') == ("s", [("2",), ("3",)])
+    assert read("<r><s><q>1</q><q>2</q></s><s><q>3</q></s></r>") == ("s", [("2",), ("3",)])
+    for text, why in (
+        ("<r><s><q>1</q></s><s><p>1</p></s></r>", "different fields"),
+        ("<r><s><q><w>1</w></q></s><s><q>1</q></s></r>", "nested"),
+        ("<r><s><q>1</q></s><s><q>1</q></s>", "not closed"),
+        ("<r><s a='1'><q>1</q></s><s a='2><q>1</q></s></r>", "broken"),
+        ("<r><s><q>1</p></s><s><q>1</q></s></r>", "can't be read"),
+        ("<r><s>1</s><t>2</t></r>", "no element repeats"),
+        ("<r><s/><s/></r>", "no fields"),
+    ):
+        with pytest.raises(FileError, match=why):
+            read(text)
