@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -66,7 +67,9 @@ class Encoder:
     def places(self, cuts: list[str], joinable: bool = False) -> np.ndarray:
         """The place of each cut in memory. Joinable ones (a blank, then no blank at the end, nothing special) are
         encoded as one text; how many bytes each id stands for shows where a cut ends."""
-        new = list(dict.fromkeys(c for c in cuts if c not in self.place))
+        at = np.fromiter(map(self.place.get, cuts, repeat(-1)), np.int64, len(cuts))
+        missing = np.flatnonzero(at < 0).tolist()
+        new = list(dict.fromkeys(cuts[i] for i in missing))
         if new and joinable:
             ids = np.array(self.exact.encode_batch_fast(["".join(new)], add_special_tokens=False)[0].ids, np.int64)
             size = pc.binary_length(pa.array(new)).to_numpy()
@@ -74,7 +77,8 @@ class Encoder:
         elif new:
             parts = [e.ids for e in self.exact.encode_batch_fast(new, add_special_tokens=False)]
             self.add(new, np.array([i for x in parts for i in x], np.int64), np.cumsum([len(x) for x in parts]))
-        return np.fromiter(map(self.place.__getitem__, cuts), np.int64, len(cuts))
+        at[missing] = [self.place[cuts[i]] for i in missing]
+        return at
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
@@ -97,10 +101,11 @@ class Encoder:
         for x in self.special:
             alone |= pc.match_substring(words, x).to_numpy(zero_copy_only=False)
         after = np.zeros(len(words), np.int64)
-        after[~alone] = self.places(marked.filter(pa.array(~alone)).to_pylist(), True)
-        after[alone] = self.places(marked.filter(pa.array(alone)).to_pylist())
+        marked = marked.to_numpy(zero_copy_only=False)  # at once, which to_pylist does not do
+        after[~alone] = self.places(marked[~alone].tolist(), True)
+        after[alone] = self.places(marked[alone].tolist())
         at = after[codes]
-        at[offsets[:-1]] = self.places(words.take(pa.array(codes[offsets[:-1]])).to_pylist())
+        at[offsets[:-1]] = self.places(words.take(pa.array(codes[offsets[:-1]])).to_numpy(zero_copy_only=False).tolist())
         word = lambda j: words[int(codes[j])].as_py()
         own = {}
         for i in odd:
