@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 AGGREGATES = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
 GRAINS = ("day", "week", "month", "year")
@@ -28,6 +29,19 @@ def where(filters: Iterable[tuple[str, str, object]] = ()) -> Column:
     return reduce(lambda a, b: a & b, [getattr(named(c), ops[op])(F.lit(v)) for c, op, v in filters], F.lit(True))
 
 
+def group_value(df: DataFrame, measure: str, agg: str = "sum") -> Column:
+    """A group's aggregate as a double, 0 over no values. Sums of doubles are the same in any order of rows, so that
+    equal groups stay equal: they are added as decimals where every value of the group is read back unchanged."""
+    x = named(measure)
+    plain = AGGREGATES[agg](x).cast("double")
+    if agg == "sum" and isinstance(df.schema[measure].dataType, (DoubleType, FloatType)):
+        x = x.cast("double")
+        written = x.try_cast("decimal(38,18)")
+        kept = F.count_if(~F.coalesce(written.cast("double") == x, x.isNull())) == 0
+        plain = F.coalesce(F.when(kept, F.try_sum(written).cast("double")), plain)
+    return F.coalesce(plain, F.lit(0.0))
+
+
 def aggregate(df: DataFrame, measure: str, agg: str = "sum", filters: Iterable[tuple] = ()) -> DataFrame:
     """value (0 over no rows) and rows_in_scope, in one pass."""
     return df.where(where(filters)).agg(F.coalesce(AGGREGATES[agg](named(measure)), F.lit(0)).cast("double").alias("value"), F.count(F.lit(1)).alias("rows_in_scope"))
@@ -55,7 +69,7 @@ def count_distinct(df: DataFrame, column: str, filters: Iterable[tuple] = ()) ->
 
 def top_n(df: DataFrame, measure: str, dimension: str, n: int = 10, agg: str = "sum", ascending: bool = False, filters: Iterable[tuple] = ()) -> DataFrame:
     """label and value of the first n groups; null labels are a group, null values count as 0."""
-    g = df.where(where(filters)).groupBy(named(dimension).alias("label")).agg(F.coalesce(AGGREGATES[agg](named(measure)), F.lit(0)).cast("double").alias("value"))
+    g = df.where(where(filters)).groupBy(named(dimension).alias("label")).agg(group_value(df, measure, agg).alias("value"))
     return g.orderBy(F.asc_nulls_last("value") if ascending else F.desc_nulls_last("value"), F.asc_nulls_last("label")).limit(n)
 
 
@@ -101,7 +115,7 @@ def concentration(df: DataFrame, measure: str, dimension: str, share: float = 0.
     keep these out of a single task, entities are cut at approximate quantiles, so that all ranges
     hold about as many, and only the range in which the share is reached is ranked.
     """
-    g = df.groupBy(named(dimension).alias("label")).agg(F.coalesce(F.sum(named(measure)), F.lit(0)).cast("double").alias("value"))
+    g = df.groupBy(named(dimension).alias("label")).agg(group_value(df, measure).alias("value"))
     spans = 1024
     bounds = g.agg(F.max("value").alias("hi"), F.sum("value").alias("total"), F.count(F.lit(1)).alias("entities"), F.percentile_approx("value", [i / spans for i in range(1, spans)], 4 * spans).alias("cuts"))
     whole = F.when(F.col("total") == 0, 1.0).otherwise(F.col("total"))

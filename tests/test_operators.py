@@ -42,6 +42,16 @@ def test_concentration_edges(spark):
     assert got["entities_for_share"] == k and got["top_label"] == "100"
 
 
+def test_equal_groups_stay_equal_in_any_order(spark):
+    """Sums of doubles depend on the order of rows; the same values in another order are the same sum."""
+    rows = [("a", 0.3), ("a", 0.2), ("a", 0.1), ("b", 0.1), ("b", 0.2), ("b", 0.3), ("c", 0.1)]
+    df = spark.createDataFrame(rows, "k string, v double").coalesce(1)
+    assert M.concentration(df, "v", "k").first()["top_label"] == "a"
+    assert [tuple(r) for r in M.top_n(df, "v", "k", 2).collect()] == [("a", 0.6), ("b", 0.6)]
+    odd = spark.createDataFrame([("a", 1e300), ("a", 1e-300), ("b", float("inf")), ("c", 1e19), ("c", 9e19), ("d", None)], "k string, v double")
+    assert {r["label"]: r["value"] for r in M.top_n(odd, "v", "k", 4).collect()} == {"a": 1e300, "b": float("inf"), "c": 1e20, "d": 0.0}
+
+
 def test_histogram_of_equal_values(spark):
     df = spark.createDataFrame([(2.0,)] * 3 + [(None,)], "v double")
     assert [tuple(r)[::2] for r in M.histogram(df, "v").collect()] == [(0.0, 3)]
