@@ -66,8 +66,9 @@ def process(spark: SparkSession, path: str, out: str, overrides: dict[str, dict]
     on_progress("read")
     df, info = read(spark, path, sheet)
     on_progress("merge_columns")
-    # a small file is a few byte ranges only; all that follows works on its rows, so they are dealt to more tasks once
-    df = merged_columns(df, info).repartition(max(1, min(spark.sparkContext.defaultParallelism, info.size >> 19))).cache()
+    # a small file is a few byte ranges only; all that follows works on its rows, so they are dealt to more tasks once,
+    # and to more of them where the file is large, so that no task holds more than some 32 MB of it
+    df = merged_columns(df, info).repartition(max(1, min(spark.sparkContext.defaultParallelism, info.size >> 19), info.size >> 25)).cache()
     on_progress("profile")
     found = profile.profile(df, ROW)
     on_progress("meaning")

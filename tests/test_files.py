@@ -88,6 +88,20 @@ def test_refused_files(spark, tmp_path):
         readers.read(spark, str(tmp_path / "none.csv"))
 
 
+def test_size_bounds_only_what_one_task_holds(spark, tmp_path, monkeypatch):
+    """Files that are read by byte ranges have no largest size; the others do."""
+    monkeypatch.setattr(sniff, "MOST_BYTES", 20)
+    (tmp_path / "a.csv").write_text("a,b\n" + "1,2\n" * 30)
+    assert readers.read(spark, str(tmp_path / "a.csv"))[0].count() == 30
+    (tmp_path / "b.csv").write_bytes(("الصنف,ب\n" + "قلم,2\n" * 30).encode("cp1256"))
+    assert readers.read(spark, str(tmp_path / "b.csv"))[0].count() == 30
+    (tmp_path / "c.csv").write_text("a,b\n" + "1,2\n" * 30, encoding="utf-16")
+    (tmp_path / "d.html").write_text("<table><tr><td>a</td></tr><tr><td>1</td></tr></table>")
+    for name in ("c.csv", "d.html"):
+        with pytest.raises(FileError, match="over"):
+            readers.read(spark, str(tmp_path / name))
+
+
 def test_json_envelope(spark, tmp_path):
     p = tmp_path / "a.json"
     p.write_text(json.dumps({"warehouse": "W1", "sales": [{"sku": "1", "qty": 2, "tags": ["a", None, "b"], "o": {"x": 1}}, {"sku": "2", "price": "N/A"}]}))
