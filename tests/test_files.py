@@ -102,6 +102,14 @@ def test_size_bounds_only_what_one_task_holds(spark, tmp_path, monkeypatch):
             readers.read(spark, str(tmp_path / name))
 
 
+def test_html_tables_of_many_pages_together():
+    """What is open at the end of a page ends there; pages without rows have none."""
+    pages = ["<table><tr><td>a<td>b", "text <table><script><tr><td>c</td></tr>", "<p>d</p>", "<table></table><table><tr><td></td></tr><tr><td>e</td><td> </td></tr><tr><td>f g"]
+    got = readers.table_rows(pages)
+    assert got[["page", "table_no", "row_no", "text"]].values.tolist() == [[0, 0, 0, ["a", "b"]], [3, 1, 0, ["e", ""]], [3, 1, 1, ["f g"]]]
+    assert len(readers.table_rows([])) == 0
+
+
 def test_json_envelope(spark, tmp_path):
     p = tmp_path / "a.json"
     p.write_text(json.dumps({"warehouse": "W1", "sales": [{"sku": "1", "qty": 2, "tags": ["a", None, "b"], "o": {"x": 1}}, {"sku": "2", "price": "N/A"}]}))
