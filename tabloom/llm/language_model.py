@@ -12,14 +12,14 @@ customers out of each and seats them again, so no count leaves the sampler. Word
 parent are drawn likewise from the Stirling numbers, and beyond ROWS by sequential seating in
 blocks of a 64th of those who sit already. All cells of a sweep are drawn at once, given the others.
 
-Spark's part: the text is read once. Each task packs its tokens by shard of the word, and a shard
+Spark's part: the text is read twice, once to count words. Each task packs its tokens by shard of the word, and a shard
 becomes one row of sorted cells (word, context, training count) with the places of their tokens,
 bucketed by shard, so that passes shuffle totals only. A pass runs sweeps over each shard. The
 totals of a context are sums over shards; they meet by context, and each shard gets those of its own
 contexts back, between passes. The first pass burns in, the second goes on from its seating and
 keeps its samples. The last job scores cells, and sums for each text go back to the text's block.
-Words of over HOT of all tokens (found in a sample of the texts, which decides on placement alone)
-are spread over shards by context; what is known of them as a whole is a row for each, at most 2/HOT.
+Words of HOT of all tokens or more (counted over all texts before)
+are spread over shards by context; what is known of them as a whole is a row for each, at most 1/HOT.
 
 Defined results: null and empty texts are the end token alone; repeated rows count as often as
 they occur and are scored each; without training tokens the model is uniform over one unknown word;
@@ -38,16 +38,16 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import arrow_schema, batch_of, discard, hash_words, mixed, pieces_of, shared_dir, staged, texts_of, words_of
+from ._common import arrow_schema, batch_of, discard, give_back, hash_words, mixed, pieces_of, shared_dir, staged, texts_of, words_of
 
 HOT = 0.002
-#: One text in so many is looked at to find the frequent words, all of them in small tables.
-PROBED, PROBED_LEAST = 32, 50_000
+#: Distinct words that a task counts before it passes them on.
+MOST_COUNTED = 1_000_000
 SHARD_BYTES = 16 << 20
 MOST_BUCKETS = 20_000
 #: Word shards for each shard of context totals.
 SPREAD = 16
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 STRENGTH = 1.0
 ROWS, RESEATED = 256, 16
 END, START = (hash_words(pa.array([x]))[0] for x in (" end", " start"))
@@ -142,26 +142,49 @@ class Model:
     samples: int = field(default=SAMPLES)
 
 
-def hot_words(docs: DataFrame, text_col="text", id_col="doc_id") -> np.ndarray:
-    """Sorted hashes of the words that make up over HOT of the tokens of a sample of texts."""
+def hot_words(docs: DataFrame, text_col="text") -> np.ndarray:
+    """Sorted hashes of the words that make up HOT of all tokens, or more."""
     ddl = "word bigint, n bigint"
     schema = arrow_schema(ddl)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for _, texts in pieces_of(batch, "text"):
-                h, _, _ = tokens_of(texts)
-                words, n = np.unique(h, return_counts=True)
-                own = n * 4 >= HOT * len(h)  # what is rare in most pieces is not frequent in all
-                yield batch_of(schema, [0, *words[own].astype(np.int64)], [len(h), *n[own]])
-
-    part = F.pmod(F.xxhash64(F.col(id_col), F.length(text_col)), F.lit(PROBED)) == 0
-    few = docs.limit(PROBED_LEAST + 1).count() <= PROBED_LEAST
-    counts = texts_of(docs if few else docs.where(part), F.col(text_col).alias("text")).mapInArrow(count, ddl).groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counts.crossJoin(F.broadcast(counts.where("word = 0").select(F.col("n").alias("all_n")))).where(F.col("n") >= HOT / 2 * F.col("all_n")).where("word <> 0").select("word").collect()
+                words, n = counted(np.concatenate([words, tokens_of(texts)[0]]), n)
+                if len(words) > MOST_COUNTED:
+                    yield batch_of(schema, words.astype(np.int64), n)
+                    words, n = words[:0], n[:0]
+        yield batch_of(schema, words.astype(np.int64), n)
+
+    counts = texts_of(docs, F.col(text_col).alias("text")).mapInArrow(count, ddl).groupBy("word").agg(F.sum("n").alias("n"))
+    counts = staged(counts, "lm-words")
+    tokens = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.where(F.col("n") >= HOT * tokens).select("word").collect()
+    discard(counts)
     return np.sort(np.array([r[0] for r in rows], np.int64).astype(np.uint64))
 
 
+def counted(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words, sorted, and how often each occurs; the first have been counted before, n times each."""
+    words, at = np.unique(words, return_inverse=True)
+    out = np.bincount(at, minlength=len(words))
+    np.add.at(out, at[: len(n)], n - 1)
+    return words, out
+
+
+def trimmed(f):
+    """f, after which the worker gives freed memory back."""
+
+    def run(*tables: pa.Table) -> pa.Table:
+        out = f(*tables)
+        give_back()
+        return out
+
+    # Spark counts a function's parameters
+    return (lambda table: run(table)) if f.__code__.co_argcount == 1 else (lambda table, other: run(table, other))
+
+
 def token_blocks(docs: DataFrame, teaches: Column, hot: np.ndarray, shards: int, id_col="doc_id", text_col="text") -> DataFrame:
     """A row for each block of texts and shard with their tokens; and with a shard below 0, one of the texts themselves."""
     ddl = "home bigint, shard int, texts binary, words binary, sizes binary, contexts binary, at binary, docs binary"
@@ -204,6 +227,8 @@ def token_blocks(docs: DataFrame, teaches: Column, hot: np.ndarray, shards: int,
                     held, texts_held, size = [], [], 0
         if held:
             yield from flush()
+            held, texts_held = [], []
+        give_back()
 
     return texts_of(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(teaches, F.lit(False)).alias("teaches")).mapInArrow(run, ddl)
 
@@ -245,7 +270,7 @@ def shard_states(blocks: DataFrame, hot: np.ndarray) -> DataFrame:
         row = (table["shard"][0].as_py(), packed(words), small(spread), packed(contexts), small(at), small(counts), small(uses), packed(np.array(homes, np.int64)), small(home), small(doc >> 1), small(np.bincount(at, counts, len(contexts)).astype(np.int64)), small(np.bincount(at, known, len(contexts)).astype(np.int64)), int(counts.sum()), int((seats[place < 0] > 0).sum()), *once, hot_n, hot_t, None, None)
         return pa.Table.from_batches([batch_of(schema, *[[x] for x in row])])
 
-    return blocks.groupBy("shard").applyInArrow(gather, STATE)
+    return blocks.groupBy("shard").applyInArrow(trimmed(gather), STATE)
 
 
 def bucketed(df: DataFrame, label: str, buckets: int) -> DataFrame:
@@ -269,7 +294,7 @@ def totals_of_contexts(rows: DataFrame, kinds: int) -> DataFrame:
         ctx = table["ctx"][0].as_py()
         return pa.Table.from_batches([batch_of(schema, [s], [ctx], [small(np.stack([x[at[a:b]] for x in sums]))]) for s, a, b in zip(table["shard"].to_pylist(), ends[:-1], ends[1:], strict=True)])
 
-    return rows.groupBy("ctx").applyInArrow(total, ddl)
+    return rows.groupBy("ctx").applyInArrow(trimmed(total), ddl)
 
 
 def by_context_shard(contexts: np.ndarray, sums: np.ndarray, shards: int) -> list[tuple[int, bytes, bytes]]:
@@ -458,7 +483,7 @@ def gibbs_pass(state: DataFrame, came: DataFrame, totals: Totals, hot: np.ndarra
         return pa.Table.from_batches([batch_of(schema, *zip(*out, strict=True))])
 
     needed = state.select("shard", "words", "spread", "contexts", "at", "counts")
-    return needed.groupBy("shard").cogroup(came.groupBy("shard")).applyInArrow(run, SEATS)
+    return needed.groupBy("shard").cogroup(came.groupBy("shard")).applyInArrow(trimmed(run), SEATS)
 
 
 def summed(rows: DataFrame, column: str, length: int) -> np.ndarray:
@@ -473,7 +498,7 @@ def fit(docs: DataFrame, teaches: Column, id_col="doc_id", text_col="text") -> M
     """A model that learned from the rows for which `teaches` is true, and can score all rows of docs."""
     all_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = int(max(8, -(-all_bytes // SHARD_BYTES)))
-    hot = hot_words(docs, text_col, id_col)
+    hot = hot_words(docs, text_col)
     held = bucketed(shard_states(token_blocks(docs, teaches, hot, shards, id_col, text_col), hot), "lm_state", min(shards, MOST_BUCKETS))
     state = held.where("shard >= 0")
     s = state.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "cells1", "cells2", "words1", "words2")]).first()
@@ -604,7 +629,7 @@ def score(model: Model) -> DataFrame:
         total = np.round(sums[:, at], 9)
         return pa.Table.from_batches([batch_of(result, pa.array(ids, mask=gone.astype(bool)), n, known[at], total[0], total[1], np.round(10 ** np.minimum(-total[1] / n, 300), 6))])
 
-    answers = joined(model, ["uses", "homes", "home_at", "docs"]).applyInArrow(answer, ddl)
+    answers = joined(model, ["uses", "homes", "home_at", "docs"]).applyInArrow(trimmed(answer), ddl)
     blank = F.lit(None).cast("binary")
     texts = model.texts.select("home", "texts", blank.alias("docs"), blank.alias("known"), blank.alias("sums"))
-    return texts.unionByName(answers).groupBy("home").applyInArrow(finish, out_ddl)
+    return texts.unionByName(answers).groupBy("home").applyInArrow(trimmed(finish), out_ddl)

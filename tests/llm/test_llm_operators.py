@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +209,15 @@ def hot_share(request, monkeypatch):
     return request.param
 
 
+def test_frequent_words_are_counted_over_all_texts(spark, monkeypatch):
+    """A word that is frequent in a few long texts only, of which a sample may see none, is found."""
+    monkeypatch.setattr(language_model, "MOST_COUNTED", 3)
+    rows = [(i, f"w{i % 1000} v{i % 999}") for i in range(60_000)] + [(60_000 + i, "seldom " * 300) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    wanted = language_model.hash_words(pa.array(["seldom", " end"]))
+    assert language_model.hot_words(df).tolist() == sorted(wanted.tolist())
+
+
 def test_language_model(docs, hot_share):
     """Counts and base scores by brute force; scores from the model's own seatings, by sums over plain dictionaries."""
     teaches = F.coalesce(fold_of(F.col("doc_id"), 5) != 1, F.lit(False))
