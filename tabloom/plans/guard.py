@@ -21,6 +21,7 @@ from ..operators.metrics import Evidence
 MOST_ROWS, SECONDS = 10_000, 30
 ALLOWED = {"Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "LimitAll", "Offset", "Join", "SubqueryAlias", "UnresolvedWith", "UnresolvedRelation", "Distinct", "OneRowRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedHaving", "WithWindowDefinition", "Window", "UnresolvedOrderBy"}
 SET_OPERATIONS = {"Union", "Intersect", "Except"}
+SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"}
 FORBIDDEN_FUNCTIONS = {"java_method", "reflect", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "read_files", "current_user", "session_user", "user", "current_catalog", "current_database", "current_schema", "version", "spark_partition_id", "assert_true", "raise_error", "from_avro", "to_avro"}
 
 
@@ -61,7 +62,7 @@ def _check_expression(e, tables: set[str], set_operations: bool, known: frozense
         name = _list(e.nameParts())[-1].lower()
         if name in FORBIDDEN_FUNCTIONS or name not in known:
             raise GuardError(f"function {name} is not allowed")
-    if hasattr(e, "plan") and e.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
+    if hasattr(e, "plan") and e.getClass().getSimpleName() in SUBQUERIES:
         _check(e.plan(), tables, set_operations, known)
     for child in _list(e.children()):
         _check_expression(child, tables, set_operations, known)
@@ -76,14 +77,17 @@ def validate(spark: SparkSession, sql: str, tables: set[str] = frozenset({"datas
     _check(plan, {t.lower() for t in tables}, set_operations, own_functions(spark))
 
 
-def guarded(df: DataFrame, sql: str, table: str = "dataset", most: int = MOST_ROWS) -> DataFrame:
-    """The result of a guarded query over df, of at most `most` rows. Views of the session stay as they are."""
+def guarded(df: DataFrame, sql: str, table: str = "dataset", most: int = MOST_ROWS, ready: bool = True, seconds: float = SECONDS) -> DataFrame:
+    """The result of a guarded query over df, of at most `most` rows. Views of the session stay as they are.
+
+    Scalar subqueries that stand alone are answered first (ready), within `seconds`, so that Spark plans with their values: a bound
+    on a rank that is a number keeps whole groups out of the sort of a window."""
     spark = df.sparkSession
     validate(spark, sql, {table})
     before = spark.table(table) if any(t.isTemporary and t.name == table for t in spark.catalog.listTables()) else None
     df.createOrReplaceTempView(table)
     try:
-        return spark.sql(sql).limit(most)
+        return spark.sql(answered_subqueries(spark, sql, table, seconds) if ready else sql).limit(most)
     finally:
         if before is None:
             spark.catalog.dropTempView(table)
@@ -91,6 +95,54 @@ def guarded(df: DataFrame, sql: str, table: str = "dataset", most: int = MOST_RO
             before.createOrReplaceTempView(table)
 
 
+def _scalar_subqueries(plan, found: list[tuple[int, int]], names: set[str]) -> None:
+    """Where outermost scalar subqueries stand in the statement, and the names of its CTEs."""
+
+    def within(e) -> None:
+        if e.getClass().getSimpleName() == "ScalarSubquery":
+            origin = e.origin()
+            if origin.startIndex().isDefined() and origin.stopIndex().isDefined():
+                found.append((origin.startIndex().get(), origin.stopIndex().get()))
+            return
+        if e.getClass().getSimpleName() in SUBQUERIES:
+            _scalar_subqueries(e.plan(), found, names)
+        for child in _list(e.children()):
+            within(child)
+
+    if plan.nodeName() == "UnresolvedWith":
+        for pair in _list(plan.cteRelations()):
+            names.add(pair.productElement(0).lower())
+            _scalar_subqueries(pair.productElement(1), found, names)
+    for e in _list(plan.expressions()):
+        within(e)
+    for child in _list(plan.children()):
+        _scalar_subqueries(child, found, names)
+
+
+def answered_subqueries(spark: SparkSession, sql: str, table: str, seconds: float) -> str:
+    """sql with the values of scalar subqueries over the table that refer to nothing outside of them and are whole numbers."""
+    found, names = [], set()
+    _scalar_subqueries(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), found, names)
+    if table.lower() in names:  # a CTE of the table's name stands for something else
+        return sql
+    for start, stop in sorted(set(found), reverse=True):
+        text = sql[start : stop + 1]
+        if not (text.startswith("(") and text.endswith(")")):
+            continue
+        try:
+            one = spark.sql(text[1:-1])
+        except PySparkException:  # it refers to the statement around it
+            continue
+        kind = one.dtypes[0][1]
+        if kind not in ("tinyint", "smallint", "int", "bigint") or not one._jdf.queryExecution().optimizedPlan().deterministic():
+            continue
+        rows = collect_within(one.limit(2), seconds)
+        if len(rows) < 2:  # more than one row is an error, which the statement itself gives
+            value = rows[0][0] if rows else None
+            sql = f"{sql[:start]}CAST({'NULL' if value is None else repr(str(value))} AS {kind}){sql[stop + 1 :]}"
+    return sql
+
+
 def table_reads(plan, table: str, top=None) -> list[tuple]:
     """For each place where an analysed plan reads the table: the plan with all conditions (WHERE, and of derived tables)
     right above it, and the attributes of the table."""
@@ -150,9 +202,9 @@ def scope_of(df: DataFrame, result: DataFrame, table: str) -> tuple[list[str], i
 def answered(df: DataFrame, sql: str, table: str = "dataset", most: int = MOST_ROWS, seconds: float = SECONDS) -> tuple[list, Evidence]:
     """The rows of a guarded query, with what they rest on: the query, the columns that it reads, how many rows meet its conditions and how many there are."""
     began = time.monotonic()
-    result = guarded(df, sql, table, most)
-    rows = collect_within(result, seconds)
-    columns, scope, total = scope_of(df, result, table)
+    rows = collect_within(guarded(df, sql, table, most, seconds=seconds), max(seconds - (time.monotonic() - began), 0.001))
+    # what the statement rests on is told by its plan as it was written
+    columns, scope, total = scope_of(df, guarded(df, sql, table, most, ready=False), table)
     return rows, Evidence(sql, columns, [], scope, total, time.monotonic() - began)
 
 

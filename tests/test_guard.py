@@ -55,3 +55,18 @@ def test_evidence_is_of_the_plan(spark, tmp_path):
         assert got("SELECT x.a FROM dataset x JOIN dataset y ON x.a = y.b WHERE x.b = 3")[0] == ["a", "b"]
         assert got("SELECT a FROM dataset WHERE a > (SELECT avg(c) FROM dataset)")[0] == ["a", "c"]
         assert got("SELECT a FROM dataset WHERE c = 7") == (["a", "c"], 0, 1000)
+
+
+def test_standing_subqueries_are_planned_with_their_values(spark):
+    """A bound on a rank that a subquery gives keeps groups out of the window; subqueries that refer outwards stay as they are."""
+    df = spark.range(200).selectExpr("id", "id % 2 AS g", "CAST(id % 7 AS INT) AS n")
+    top = "WITH t AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY id DESC) AS k FROM dataset) SELECT id FROM t WHERE k <= (SELECT max(n) FROM dataset)"
+    got = guard.guarded(df, top)
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r[0] for r in got.collect()) == list(range(188, 200))
+    outer = "SELECT count(*) AS c FROM dataset a WHERE n = (SELECT max(b.n) FROM dataset b WHERE b.g = a.g)"
+    assert guard.guarded(df, outer).first()["c"] == sum(i % 7 == 6 for i in range(200))
+    shadowed = "WITH dataset AS (SELECT 1 AS n) SELECT (SELECT max(n) FROM dataset) AS m"
+    assert guard.guarded(df, shadowed).first()["m"] == 1
+    assert guard.guarded(df, "SELECT (SELECT max(n) FROM dataset WHERE id < 0) AS m, (SELECT min(n) - 3 FROM dataset) AS l").first().asDict() == {"m": None, "l": -3}
+    assert guard.answered(df, "SELECT g FROM dataset WHERE id <= (SELECT max(n) FROM dataset)")[1].columns == ["id", "g", "n"]
