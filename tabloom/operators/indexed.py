@@ -12,8 +12,12 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -38,14 +42,42 @@ def write_indexed(df: DataFrame, path: str, columns: list[str] | None = None, ro
     kinds = dict(stored.dtypes)
     wanted = columns or [c for c in df.columns]
     forms = [search_key(named(c)) if kinds[c] == "string" else F.lower(named(c).cast("string")) for c in wanted]
-    grams = lambda k: F.regexp_extract_all(F.coalesce(k, F.lit("")), F.lit("(?s)(?=(.{3}))"), F.lit(1))
-    several = F.array_distinct(F.flatten(F.array(*[grams(k) for k in forms])))
-    pairs = stored.select(PART, F.explode(several).alias("gram")).distinct()
-    lists = pairs.groupBy("gram").agg(F.sort_array(F.collect_list(PART)).alias("ranges"), F.count(F.lit(1)).alias("n"))
+    keys = stored.select(PART, *[F.coalesce(k, F.lit("")).alias(f"k{i}") for i, k in enumerate(forms)])
+    pairs = keys.mapInArrow(grams_of_ranges, f"{PART} long, gram string")
+    lists = pairs.groupBy("gram").agg(F.sort_array(F.collect_set(PART)).alias("ranges")).withColumn("n", F.size("ranges").cast("long"))
     lists.repartitionByRange(max(1, tasks // 4), "gram").sortWithinPartitions("gram").write.parquet(f"{path}/grams")
     spark.createDataFrame([(",".join(wanted), rows)], "columns string, rows int").coalesce(1).write.parquet(f"{path}/about")
 
 
+def grams_of_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The range and each of its trigrams once, for runs of rows of one range: first column the range, all others texts."""
+    for batch in batches:
+        part = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), len(part)] if len(part) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            codes = np.unique(np.concatenate([gram_codes(batch.column(i).slice(a, b - a)) for i in range(1, batch.num_columns)]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), part[a])), gram_texts(codes)], [PART, "gram"])
+
+
+def gram_codes(texts: pa.Array) -> np.ndarray:
+    """All trigrams of all texts as numbers, 21 bits for each code point."""
+    points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if len(points) < 3:
+        return np.zeros(0, np.uint64)
+    size = pc.utf8_length(texts).to_numpy().astype(np.int64)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(points))  # letters from here to the end of the text
+    codes = points[:-2] << np.uint64(42) | points[1:-1] << np.uint64(21) | points[2:]
+    return codes[left[:-2] >= 3]
+
+
+def gram_texts(codes: np.ndarray) -> pa.Array:
+    """The trigrams of numbers."""
+    points = np.stack([codes >> np.uint64(42), codes >> np.uint64(21) & np.uint64(0x1FFFFF), codes & np.uint64(0x1FFFFF)], axis=1).astype("<u4")
+    size = (1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)).sum(axis=1)
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(codes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(points.tobytes().decode("utf-32-le").encode())])
+
+
 def trigrams(key: str) -> list[str]:
     return sorted({key[i : i + 3] for i in range(len(key) - 2)})
 

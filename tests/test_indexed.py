@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,3 +44,10 @@ def test_empty_tables(spark, table, tmp_path):
     assert indexed.search_indexed(spark, str(tmp_path / "a"), "zebra").count() == 0
     indexed.write_order_index(empty, str(tmp_path / "b"), "v")
     assert indexed.browse_order(spark, str(tmp_path / "b")).pages == 1
+
+
+def test_trigrams_of_ranges():
+    """Trigrams are of code points, each once in a range, none over the end of a text or a column."""
+    batch = pa.RecordBatch.from_pydict({"part": [0, 0, 1], "a": ["abca", "b", "\U0001d54f\u0645z\0"], "b": ["cab", "", "xy"]})
+    got = [(p, g) for b in indexed.grams_of_ranges(iter([batch])) for p, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    assert sorted(got) == sorted([(0, "abc"), (0, "bca"), (0, "cab"), (1, "\U0001d54f\u0645z"), (1, "\u0645z\0")])
