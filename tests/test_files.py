@@ -121,6 +121,30 @@ def test_json_envelope(spark, tmp_path):
         readers.read(spark, str(p))
 
 
+@pytest.mark.parametrize("size", ["16", "70", "1000000"])
+def test_json_over_byte_ranges(spark, tmp_path, size):
+    """Wherever a file is cut, its records are those of a plain parser, in order; brackets in strings are letters."""
+    rng, p = random.Random(int(size)), tmp_path / "a.json"
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for trial in range(2):
+            items = [{"a": str(i), "b": "".join(rng.choices('x{}[]"\\, س', k=rng.randint(1, 9))) + "."} for i in range(rng.randint(2, 12))]
+            p.write_text(json.dumps(items if trial else {"w": 1.50, "few": [{"z": 1}], "s": "]}", "items": items}, indent=trial or None, ensure_ascii=False))
+            df, info = readers.read(spark, str(p))
+            got = df.orderBy(readers.ROW).collect()
+            assert [(r["a"], r["b"]) for r in got] == [(x["a"], x["b"]) for x in items]
+            assert trial or got[0]["w"] == "1.5" and got[0]["s"] == "]}" and info.warnings == ["list few is left out"]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    for broken in ('[{"a":1},]', '[{"a":1} {"a":2}]', '[{"a":1},{"a":2'):
+        p.write_text(broken)
+        with pytest.raises(FileError):
+            readers.read(spark, str(p))
+
+
 def test_xml_and_html(spark, tmp_path):
     x = tmp_path / "a.xml"
     x.write_text('<r><meta>1</meta><sale id="1"><qty>2</qty></sale><sale id="2"><qty>-3</qty></sale></r>')
