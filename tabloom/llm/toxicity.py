@@ -40,7 +40,7 @@ BLOCK = 64
 NEAREST = 15
 #: Terms of one example in so many are kept as a matrix, the COLUMNS most frequent at most.
 OFTEN, COLUMNS = 24, 256
-QUERIES, ENTRIES = 32, 1 << 18  # texts that are searched together, and entries of inverted lists that these read (one longer text is searched alone)
+QUERIES, ENTRIES = 32, 1 << 18  # texts that are searched together, and entries of inverted lists that are added up at once
 #: Examples that go into the matrix and the lists together; what workers make of an index; bytes of text that are searched together.
 PART, PREPARED, SEARCHED = 1024, ("column", "matrix", "most", "at", "times", "heft", "scale", "start"), 1 << 20
 HOME = 4096  # texts of a task whose norms are brought together
@@ -202,28 +202,35 @@ class Index:
         return self.search([(terms, counts)], k, [but])[0]
 
     def together(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[slice]:
-        """Texts to be searched together: at most QUERIES, with at most ENTRIES entries of lists."""
-        size = np.cumsum([0, *[(self.start[t + 1] - self.start[t]).sum() for t, _ in vectors]])
-        first = 0
-        while first < len(vectors):
-            last = max(first + 1, min(first + QUERIES, int(np.searchsorted(size, size[first] + ENTRIES, "right")) - 1))
-            yield slice(first, last)
-            first = last
+        """Texts to be searched together, at most QUERIES: these read the matrix once."""
+        for first in range(0, len(vectors), QUERIES):
+            yield slice(first, min(first + QUERIES, len(vectors)))
+
+    def listed(self, terms: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """For each example the sum of products over terms that are kept in lists, some ENTRIES at a time."""
+        out = np.zeros(self.blocks * BLOCK)
+        first, last, w = self.start[terms], self.start[terms + 1], w * self.idf[terms]
+        cuts = [*np.searchsorted(np.cumsum(last - first), np.arange(0, (last - first).sum(), ENTRIES), "right").tolist(), len(terms)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            lists = list(zip(first[i:j].tolist(), last[i:j].tolist(), strict=True))
+            if lists:
+                weight = np.repeat(w[i:j], last[i:j] - first[i:j])
+                weight *= self.heft[np.concatenate([self.times[a:b] for a, b in lists])]
+                out += np.bincount(np.concatenate([self.at[a:b] for a, b in lists]), weight, len(out))
+        return out * self.scale
 
     def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """As nearest, for several texts, each with a term at least."""
         n, m = len(vectors), self.blocks * BLOCK
         if not n or not m:
             return [(np.zeros(0, np.int64), np.zeros(0))] * n
-        terms, owner = np.concatenate([t for t, _ in vectors]), np.repeat(np.arange(n), [len(t) for t, _ in vectors])
-        w = np.concatenate([self.vector(t, c) for t, c in vectors])
-        dense = self.column[terms] >= 0
-        q = np.zeros((n, self.matrix.shape[1]))
-        q[owner[dense], self.column[terms[dense]]] = w[dense]
-        first, size = self.start[terms[~dense]], self.start[terms[~dense] + 1] - self.start[terms[~dense]]
-        at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
-        rest = np.bincount(np.repeat(owner[~dense] * m, size) + self.at[at], np.repeat(w[~dense] * self.idf[terms[~dense]], size) * self.heft[self.times[at]], n * m).astype(float).reshape(n, m)
-        rest = (rest * self.scale).reshape(n, self.blocks, BLOCK)
+        q, rest = np.zeros((n, self.matrix.shape[1])), np.zeros((n, m))
+        for i, (terms, counts) in enumerate(vectors):
+            w, column = self.vector(terms, counts), self.column[terms]
+            dense = column >= 0
+            q[i, column[dense]] = w[dense]
+            rest[i] = self.listed(terms[~dense], w[~dense])
+        rest = rest.reshape(n, self.blocks, BLOCK)
         bound = rest.max(axis=2) + q @ self.most
         score = np.full((n, self.blocks, BLOCK), -1.0)
         left = np.full(n, -1) if but is None else np.asarray(but)

@@ -437,6 +437,23 @@ def test_block_max_search_is_exact():
             assert np.allclose(index.nearest(t, c, 15)[1], want[want > 0])
 
 
+def test_texts_are_searched_together_however_long_their_lists(monkeypatch):
+    rng = np.random.default_rng(12)
+    n, terms = 300, 60
+    vectors = [(np.sort(rng.choice(terms, int(rng.integers(1, 9)), replace=False)), rng.integers(1, 4, 9)) for _ in range(n)]
+    vectors = [(t, c[: len(t)]) for t, c in vectors]
+    index = toxicity.Index(np.arange(terms), rng.random(terms) + 0.5, np.arange(n), rng.integers(0, 2, n), np.ones(n), vectors)
+    vectors[5] = (index.column >= 0).nonzero()[0], np.ones((index.column >= 0).sum(), int)  # no word that is in a list
+    alone = [index.nearest(t, c, 15) for t, c in vectors[:40] if len(t)]
+    monkeypatch.setattr(toxicity, "ENTRIES", 7)
+    own = [v for v in vectors[:40] if len(v[0])]
+    groups = list(index.together(own))
+    assert len(groups) == -(-len(own) // toxicity.QUERIES)  # each reads the matrix once
+    for one, many in zip(alone, [x for g in groups for x in index.search(own[g], 15)], strict=True):
+        assert one[0].tolist() == many[0].tolist() and np.array_equal(one[1], many[1])
+
+
+
 def test_isotonic():
     x, y = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 1.0]), np.ones(4))
     assert np.all(np.diff(y) >= 0) and np.allclose(y, [0, 0.5, 1])
