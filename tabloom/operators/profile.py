@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, DateType, FractionalType, IntegralType, TimestampNTZType, TimestampType
 
 from ..functions import text as T
+from ..session import removed, stored
 from .metrics import named
 
 # The shares and counts at which a type is accepted or an issue is raised.
@@ -102,12 +103,15 @@ def value_counts(df: DataFrame, columns: list[str], order: str | None = None) ->
     number of rows that have white space around it (spaced) and the total length of all its rows.
 
     Values are grouped by column and value, so that each row is read once; distinct counts side by
-    side in one aggregation would copy every row for every column.
+    side in one aggregation would copy every row for every column. Cells are grouped as they are first:
+    blanks and white space are looked at once for each distinct cell.
     """
     first = named(order) if order else F.lit(0)
     cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("column"), named(c).cast("string").alias("raw"), first.alias("at")) for i, c in enumerate(columns)])).alias("x")).select("x.*")
-    full = cells.where(~T.is_blank(F.col("raw"))).withColumn("value", T.strip(F.col("raw")))
-    return full.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.count_if(F.col("raw") != F.col("value")).alias("spaced"), F.sum(F.length("raw")).alias("length"))
+    raw, n = F.col("raw"), F.col("n")
+    once = cells.groupBy("column", "raw").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    full = once.where(~T.is_blank(raw)).withColumn("value", T.strip(raw))
+    return full.groupBy("column", "value").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.sum(F.when(raw != F.col("value"), n).otherwise(0)).alias("spaced"), F.sum(F.length("raw") * n).alias("length"))
 
 
 def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -279,13 +283,16 @@ def profile(df: DataFrame, order: str | None = None) -> TableProfile:
             p.grain = "day" if span < 90 else "month" if span < 1100 else "year"
         cols.append((p, got))
     numeric = {p.name: got["number"] for p, got in cols if p.type in ("integer", "float") and got["number"]}
+    numbers, path = stored(df.select(*[number_column(df, c).alias(c) for c in numeric]), "numbers") if numeric else (df, "")  # read as numbers once, for all passes
     if numeric:
-        stats = numeric_stats(df, numeric).first().asDict()
+        stats = numeric_stats(numbers, numeric).first().asDict()
         for i, name in enumerate(numeric):
             own = next(p for p, _ in cols if p.name == name)
             own.stats = {k.split("_", 1)[1]: v for k, v in stats.items() if k.startswith(f"{i}_")} | {"zeros": next(g for p, g in cols if p is own)["zero"], "negatives": next(g for p, g in cols if p is own)["negative"]}
     fences = {n: fence(p.stats["p25"], p.stats["p75"]) for p, _ in cols if (n := p.name) in numeric and p.stats["p75"] > p.stats["p25"]}
-    beyond = df.agg(*[F.count_if(_outside(df, n, lo, hi)).alias(f"o{i}") for i, (n, (lo, hi)) in enumerate(fences.items())]).first() if fences else []
+    beyond = numbers.agg(*[F.count_if(_outside(numbers, n, lo, hi)).alias(f"o{i}") for i, (n, (lo, hi)) in enumerate(fences.items())]).first() if fences else []
+    if numeric:
+        removed(df.sparkSession, path)
     tops: dict[int, list] = {}
     listed = [p.position for p, _ in cols if p.type in ("categorical", "text", "identifier", "boolean")]
     for at, value, n in top_values(counted.where(F.col("column").isin(listed))).collect() if listed else []:

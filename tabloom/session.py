@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 HOME = Path(__file__).resolve().parent.parent
 _SHIPPED: dict[str, bool] = {}
@@ -41,3 +41,16 @@ def scratch(spark: SparkSession, label: str) -> str:
     if not named and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{(named or tempfile.mkdtemp(prefix='tabloom-')).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """df written once, to be read several times, and where it is; columns go by their places, so that names may be any."""
+    path = scratch(df.sparkSession, label)
+    df.toDF(*[f"c{i}" for i in range(len(df.columns))]).write.parquet(path)
+    return df.sparkSession.read.parquet(path).toDF(*df.columns), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete what stored() wrote, once nothing will read it again."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

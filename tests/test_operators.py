@@ -236,3 +236,40 @@ def test_products_among_many_columns(spark):
     found = P.TableProfile(400, 0, [P.ColumnProfile(c, i, "integer" if c == "a" else "float", 1.0, 400, 0, 300, {"mean": 5.0 if c == "a" else 25.0}) for i, c in enumerate(numeric)], [])
     assert len(meaning.likely_products(df, numeric)) <= 5
     assert meaning.cross_validated(df, found, numeric) == {"a": "quantity", "b": "unit_price", "c": "total_amount"}
+
+
+def looked_at(spark, df, name):
+    """df with a column more in which each reading of a row is counted, and the counter."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(x):
+        seen.add(1)
+        return x
+
+    return df.withColumn(name, read.asNondeterministic()(F.col(name))), seen
+
+
+def test_profile_reads_text_as_numbers_once(spark):
+    df, seen = looked_at(spark, spark.range(0, 400, 1, 2).select((F.col("id") % 130).cast("string").alias("v"), F.lit(" x ").alias("t")), "v")
+    found = P.profile(df)
+    assert seen.value <= 4 * 400  # cells, numbers, head, whole rows; not each pass over the numbers
+    v, t = found.columns
+    assert (v.type, v.unique, v.stats["min"], v.stats["max"], v.stats["median"]) == ("integer", 130, 0, 129, 63)
+    assert [(i.kind, i.count) for i in t.issues if i.kind == "whitespace"] == [("whitespace", 400)] and t.average_length == 3
+
+
+def test_meaning_reads_its_input_once(spark, monkeypatch):
+    from tabloom import more_queries
+
+    rows = spark.range(0, 200, 1, 2).select((F.col("id") % 7 + 1).alias("qty"), (F.col("id") % 11 + 2.5).alias("x1")).withColumn("x2", F.col("qty") * F.col("x1"))
+    df, seen = looked_at(spark, rows.withColumn("product", F.concat(F.lit("p"), (F.col("x1") * 10).cast("string"))), "product")
+    found = more_queries.meaning_of(df)
+    assert seen.value == 200
+    assert {c.column: c.concept for c in found.columns} == {"qty": "quantity", "x1": "unit_price", "x2": "total_amount", "product": "product_name"}
+
+
+def test_cells_that_differ_in_white_space_are_one_value(spark):
+    df = spark.createDataFrame([(" a", 5), ("a", 3), ("a ", 4), (" a", 2), ("n/a", 1), (None, 0)], "v string, at long")
+    got = P.value_counts(df, ["v"], "at").collect()
+    assert [tuple(r) for r in got] == [(0, "a", 4, 2, 3, 7)]
