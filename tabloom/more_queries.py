@@ -10,7 +10,7 @@ from .operators import catalog, clean, indexed, meaning, metrics as M, profile a
 from .plans import guard, insights
 from .plans.process import process
 from .queries import FENCES, KEY, QUERIES, SQL, query, rounded, table
-from .session import scratch
+from .session import removed, scratch, stored
 from .sources import readers, sinks
 from .sources.xlsx import write_xlsx
 
@@ -218,7 +218,10 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def meaning_of(df: DataFrame) -> meaning.Schema:
-    return meaning.resolve(df, P.profile(df))
+    df, path = stored(df, "meaning")  # some ten passes read it, and what it is joined from is read once
+    found = meaning.resolve(df, P.profile(df))
+    removed(df.sparkSession, path)
+    return found
 
 
 @query("SELECT * FROM (VALUES ('product', 'product_name', 'dimension', 'dictionary'), ('date', 'date', 'time', 'dictionary'), ('qty', 'quantity', 'measure', 'dictionary'), ('x1', 'unit_price', 'measure', 'cross_validation'), ('x2', 'total_amount', 'measure', 'cross_validation')) AS t(name, concept, role, method)")
