@@ -43,7 +43,7 @@ from ._common import arrow_schema, batch_of, discard, give_back, hash_words, mix
 HOT = 0.002
 #: Distinct words that a task counts before it passes them on.
 MOST_COUNTED = 1_000_000
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 10 << 20
 MOST_BUCKETS = 20_000
 #: Word shards for each shard of context totals.
 SPREAD = 16
@@ -245,29 +245,35 @@ def shard_states(blocks: DataFrame, hot: np.ndarray) -> DataFrame:
         if table["shard"][0].as_py() < 0:
             n = table.num_rows
             return pa.Table.from_arrays([table[f.name].combine_chunks() if f.name in ("shard", "home", "texts") else pa.nulls(n, f.type) for f in schema], schema=schema)
-        parts, homes = [], []
-        for i, r in enumerate(table.select(["home", "words", "sizes", "contexts", "at", "docs"]).to_pylist()):
-            homes.append(r["home"])
-            doc = whole(r["docs"])
-            parts.append((np.repeat(unpacked(r["words"], np.uint64), whole(r["sizes"])), unpacked(r["contexts"], np.uint64)[whole(r["at"])], doc, np.full(len(doc), i, np.int32)))
-        h, u, doc, home = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
+        # a column at a time, each in its narrow type: a worker holds the tokens of a shard once, not as blocks and as a whole
+        column = lambda name: (x.as_py() for x in table[name])
+        homes = table["home"].to_pylist()
+        doc = [whole(x).astype(np.uint16) for x in column("docs")]  # below 2 * HOME
+        home = np.repeat(np.arange(len(doc), dtype=np.int32), [len(x) for x in doc])
+        doc = np.concatenate(doc)
+        h = np.concatenate([np.repeat(unpacked(w, np.uint64), whole(n)) for w, n in zip(column("words"), column("sizes"), strict=True)])
+        u = np.concatenate([unpacked(c, np.uint64)[whole(at)] for c, at in zip(column("contexts"), column("at"), strict=True)])
         order = np.lexsort((u, h))
-        h, u, doc, home = h[order], u[order], doc[order], home[order]
+        h = h[order]
+        u = u[order]
+        doc, home = doc[order], small(home[order])
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (u[1:] != u[:-1])])
         first = np.flatnonzero(new)
-        counts = np.add.reduceat(doc & 1, first)
-        uses = np.diff(np.append(first, len(h)))
-        contexts, at = np.unique(u[first], return_inverse=True)
-        w = runs(h[first])
-        words, spread = h[first][w[:-1]], np.diff(w)
+        uses = small(np.diff(np.append(first, len(h))))
+        h, u = h[first], u[first]
+        counts, docs = np.add.reduceat(doc & 1, first, dtype=np.int64), small(doc >> 1)
+        del order, new, first, doc
+        contexts, at = np.unique(u, return_inverse=True)
+        del u
+        w = runs(h)
+        words, spread = h[w[:-1]], np.diff(w)
         known = counts > 0
         seats = np.add.reduceat(known.astype(np.int64), w[:-1])
         place = place_of(hot, words)
         of_hot = np.repeat(place, spread)
         hot_n, hot_t = (np.bincount(of_hot[of_hot >= 0], x[of_hot >= 0], len(hot)).astype(np.int64) for x in (counts, known))
         once = [int((counts == i).sum()) for i in (1, 2)] + [int((seats[place < 0] == i).sum()) for i in (1, 2)]
-        row = (table["shard"][0].as_py(), packed(words), small(spread), packed(contexts), small(at), small(counts), small(uses), packed(np.array(homes, np.int64)), small(home), small(doc >> 1), small(np.bincount(at, counts, len(contexts)).astype(np.int64)), small(np.bincount(at, known, len(contexts)).astype(np.int64)), int(counts.sum()), int((seats[place < 0] > 0).sum()), *once, hot_n, hot_t, None, None)
+        row = (table["shard"][0].as_py(), packed(words), small(spread), packed(contexts), small(at), small(counts), uses, packed(np.array(homes, np.int64)), home, docs, small(np.bincount(at, counts, len(contexts)).astype(np.int64)), small(np.bincount(at, known, len(contexts)).astype(np.int64)), int(counts.sum()), int((seats[place < 0] > 0).sum()), *once, hot_n, hot_t, None, None)
         return pa.Table.from_batches([batch_of(schema, *[[x] for x in row])])
 
     return blocks.groupBy("shard").applyInArrow(trimmed(gather), STATE)
