@@ -16,6 +16,8 @@ from tabloom.llm._common import free_name, shared_dir
 from tabloom.llm.queries import BPE, TOXIC_FROM, not_fold
 
 LANGUAGE_FROM = 0.5
+#: Cuts that a worker remembers while it packs: it shares an executor with workers of the stages before.
+REMEMBERED = 500_000
 #: SQL cannot express the learned stages; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
@@ -46,7 +48,7 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 2048 tokens."""
-    return packing.pack(packing.token_pieces(docs, BPE, capacity=2048), capacity=2048)
+    return packing.pack(packing.token_pieces(docs, BPE, capacity=2048, remembered=REMEMBERED), capacity=2048)
 
 
 STAGES = [

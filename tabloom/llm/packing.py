@@ -33,8 +33,10 @@ from pyspark.sql import DataFrame, functions as F
 from ._common import arrow_schema, batch_of, pieces_of, staged, texts_of, worker_memory
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-#: Cuts, and ids of cuts, that a worker remembers before it starts anew.
-MEMORY, MEMORY_IDS = 1_500_000, 12_000_000
+#: Cuts that a worker remembers before it starts anew, and ids for each of them.
+MEMORY, IDS_OF_CUT = 1_500_000, 8
+#: New cuts that are encoded as one text: the encoder keeps more than the ids of what it is given.
+TOGETHER = 20_000
 LEAF, NODE = 1_000_000, 200_000
 #: White space as the pre-tokeniser knows it.
 BLANK = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -53,6 +55,7 @@ class Encoder:
         vocabulary = self.exact.get_vocab(with_added_tokens=False)
         self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # a character of a byte-level token is a byte
         self.bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.most = MEMORY
         self.forget()
 
     def forget(self) -> None:
@@ -70,10 +73,12 @@ class Encoder:
         at = np.fromiter(map(self.place.get, cuts, repeat(-1)), np.int64, len(cuts))
         missing = np.flatnonzero(at < 0).tolist()
         new = list(dict.fromkeys(cuts[i] for i in missing))
-        if new and joinable:
-            ids = np.array(self.exact.encode_batch_fast(["".join(new)], add_special_tokens=False)[0].ids, np.int64)
-            size = pc.binary_length(pa.array(new)).to_numpy()
-            self.add(new, ids, np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(size)) + 1)
+        if joinable:
+            for i in range(0, len(new), TOGETHER):
+                own = new[i : i + TOGETHER]
+                ids = np.array(self.exact.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, np.int64)
+                size = pc.binary_length(pa.array(own)).to_numpy()
+                self.add(own, ids, np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(size)) + 1)
         elif new:
             parts = [e.ids for e in self.exact.encode_batch_fast(new, add_special_tokens=False)]
             self.add(new, np.array([i for x in parts for i in x], np.int64), np.cumsum([len(x) for x in parts]))
@@ -82,7 +87,7 @@ class Encoder:
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.ends) > MEMORY or len(self.flat) > MEMORY_IDS:
+        if len(self.ends) > self.most or len(self.flat) > self.most * IDS_OF_CUT:
             self.forget()
         lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()
@@ -127,15 +132,16 @@ class Encoder:
         return out
 
 
-def token_pieces(docs: DataFrame, path: str, capacity=2048, end_id=0, id_col="doc_id", text_col="text") -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity=2048, end_id=0, id_col="doc_id", text_col="text", remembered=MEMORY) -> DataFrame:
     """The pieces of each document: ids and one end id, cut only where longer than the capacity;
-    the first piece takes what the full ones leave."""
+    the first piece takes what the full ones leave. A worker remembers up to `remembered` cuts."""
     schema = arrow_schema(PIECES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(path)
         encode = _ENCODERS[path]
+        encode.most = remembered
         for batch in batches:
             for part, texts in pieces_of(batch, "text", memory=_ENCODERS):
                 out = []

@@ -665,3 +665,46 @@ def test_packing_keeps_ids_beside_nulls(spark):
     ids = [9007199254740993, None, 9007199254740995]
     docs = spark.createDataFrame([(i, "some words") for i in ids], "doc_id long, text string").coalesce(1)
     assert {r["doc_id"] for r in packing.pack(packing.token_pieces(docs, BPE)).collect()} == set(ids)
+
+
+def test_packing_forgets_beyond_what_it_is_told_to_remember(spark):
+    texts = pa.array([f"word{i} other{i} third{i}" for i in range(40)])
+    free, tight = packing.Encoder(BPE), packing.Encoder(BPE)
+    tight.most = 6
+    for i in range(0, 40, 2):
+        assert [x.tolist() for x in free(texts[i : i + 2])] == [x.tolist() for x in tight(texts[i : i + 2])]
+        assert len(tight.place) <= 6 + 6  # what it may hold and the cuts of one batch
+    assert len(free.place) > 100
+    import corpus_pipeline
+
+    assert corpus_pipeline.REMEMBERED < packing.MEMORY
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts.to_pylist())], "doc_id long, text string")
+    assert sorted(packing.token_pieces(docs, BPE, remembered=6).collect()) == sorted(packing.token_pieces(docs, BPE).collect())
+
+
+def test_a_shard_is_gathered_within_a_few_times_its_tokens():
+    import tracemalloc
+
+    class Kept:
+        def groupBy(self, *_):
+            return self
+
+        def applyInArrow(self, f, _):
+            self.f = f
+            return self
+
+    kept, rng, n, blocks = Kept(), np.random.default_rng(3), 50_000, 16
+    language_model.shard_states(kept, np.zeros(0, np.uint64))
+    rows = []
+    for b in range(blocks):
+        h, u, doc = np.sort(language_model.mixed(rng.integers(0, 5000, n).astype(np.uint64))), language_model.mixed(rng.integers(0, 5000, n).astype(np.uint64)), rng.integers(0, 2 * language_model.HOME, n)
+        w, (contexts, at) = language_model.runs(h), np.unique(u, return_inverse=True)
+        rows.append((b, 3, None, language_model.packed(h[w[:-1]]), language_model.small(np.diff(w)), language_model.packed(contexts), language_model.small(at), language_model.small(doc)))
+    schema = language_model.arrow_schema("home bigint, shard int, texts binary, words binary, sizes binary, contexts binary, at binary, docs binary")
+    table = pa.Table.from_batches([language_model.batch_of(schema, *zip(*rows, strict=True))])
+    tracemalloc.start()
+    out = kept.f(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == 1 and out["tokens"][0].as_py() > 0
+    assert peak < 85 * n * blocks, peak / (n * blocks)
